@@ -38,6 +38,24 @@ def slot_of(value: Column, bounds: Column, descending: bool = False) -> Column:
     return before * 2 + F.when(F.array_contains(bounds, value), 1).otherwise(0)
 
 
+def _bounds(df: DataFrame, values: list[str], key: str, slots: int) -> Column:
+    """One-row subquery with the quantile bounds of every sort value and of the key."""
+    named = [quantile_bounds(v, slots).alias(f"v{i}") for i, v in enumerate(values)]
+    return df.agg(F.struct(*named, quantile_bounds(key, slots).alias("k"))).scalar()
+
+
+def _placed(df: DataFrame, orders: list[tuple[str, bool]], key: str, slots: int) -> DataFrame:
+    """Add ``_o_slot{i}`` and ``_o_part{i}`` for each (value, descending) order."""
+    out = df.withColumn("_o_bounds", _bounds(df, [v for v, _ in orders], key, slots))
+    for i, (value, descending) in enumerate(orders):
+        slot = slot_of(F.col(value), F.col(f"_o_bounds.v{i}"), descending)
+        out = out.withColumn(f"_o_slot{i}", F.coalesce(slot, F.lit(0)))
+        inside_tie = F.size(F.filter(F.col("_o_bounds.k"), lambda b: b < F.col(key)))
+        part = F.when(F.col(f"_o_slot{i}") % 2 == 1, inside_tie)
+        out = out.withColumn(f"_o_part{i}", F.coalesce(part, F.lit(0)))
+    return out.drop("_o_bounds")
+
+
 def with_global_order(
     df: DataFrame,
     value: str,
@@ -54,39 +72,26 @@ def with_global_order(
     ``value`` must be numeric and not null; ``key`` numeric and unique. With a
     decimal ``value`` the running sums are exact and independent of task order.
     """
-    bounds = df.agg(
-        F.struct(
-            quantile_bounds(value, slots).alias("v"), quantile_bounds(key, slots).alias("k")
-        )
-    ).scalar()
     v, k = F.col(value), F.col(key)
-    placed = df.withColumn("_o_bounds", bounds)
-    placed = placed.withColumn("_o_slot", slot_of(v, F.col("_o_bounds.v"), descending))
-    placed = placed.withColumn(
-        "_o_part",
-        F.when(
-            F.col("_o_slot") % 2 == 1, F.size(F.filter(F.col("_o_bounds.k"), lambda b: b < k))
-        ).otherwise(0),
-    ).drop("_o_bounds")
-
-    before = Window.orderBy("_o_slot", "_o_part").rowsBetween(Window.unboundedPreceding, -1)
-    everything = Window.orderBy(F.lit(1)).rowsBetween(
+    placed = _placed(df, [(value, descending)], key, slots)
+    place = ["_o_slot0", "_o_part0"]
+    before = Window.orderBy(*place).rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.orderBy(*place).rowsBetween(
         Window.unboundedPreceding, Window.unboundedFollowing
     )
     starts = (
-        placed.groupBy("_o_slot", "_o_part")
+        placed.groupBy(*place)
         .agg(F.count("*").alias("_o_n"), F.sum(v).alias("_o_s"))
         .select(
-            "_o_slot",
-            "_o_part",
+            *place,
             F.coalesce(F.sum("_o_n").over(before), F.lit(0)).alias("_o_n0"),
             F.sum("_o_s").over(before).alias("_o_s0"),
-            F.sum("_o_n").over(everything).alias("_o_rows"),
-            F.sum("_o_s").over(everything).alias("_o_total"),
+            F.sum("_o_n").over(whole).alias("_o_rows"),
+            F.sum("_o_s").over(whole).alias("_o_total"),
         )
     )
-    inside = Window.partitionBy("_o_slot", "_o_part").orderBy(v.desc() if descending else v.asc(), k)
-    out = placed.join(F.broadcast(starts), ["_o_slot", "_o_part"])
+    inside = Window.partitionBy(*place).orderBy(v.desc() if descending else v.asc(), k)
+    out = placed.join(F.broadcast(starts), place)
     out = out.withColumn(position, F.row_number().over(inside) + F.col("_o_n0"))
     if running:
         within = F.sum(v).over(inside.rowsBetween(Window.unboundedPreceding, 0))
@@ -95,7 +100,58 @@ def with_global_order(
         out = out.withColumn(rows, F.col("_o_rows"))
     if total:
         out = out.withColumn(total, F.col("_o_total"))
-    return out.drop("_o_slot", "_o_part", "_o_n0", "_o_s0", "_o_rows", "_o_total")
+    return out.drop(*place, "_o_n0", "_o_s0", "_o_rows", "_o_total")
+
+
+def with_ntiles(
+    df: DataFrame, orders: list[tuple[str, str, bool]], key: str, tiles: int, slots: int = SLOTS
+) -> DataFrame:
+    """Add one ntile column per (value, name, descending) order.
+
+    All orders share the bounds subquery and one pass for the slot counts, so the
+    input is referenced three times however many orders are asked for.
+    """
+    placed = _placed(df, [(v, d) for v, _, d in orders], key, slots)
+    places = F.array(
+        *[
+            F.struct(
+                F.lit(i).alias("i"),
+                F.col(f"_o_slot{i}").alias("slot"),
+                F.col(f"_o_part{i}").alias("part"),
+            )
+            for i in range(len(orders))
+        ]
+    )
+    per_order = Window.partitionBy("i").orderBy("slot", "part")
+    starts = (
+        placed.select(F.inline(places))
+        .groupBy("i", "slot", "part")
+        .agg(F.count("*").alias("n"))
+        .select(
+            "i",
+            "slot",
+            "part",
+            F.coalesce(
+                F.sum("n").over(per_order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
+            ).alias("_o_n0"),
+            F.sum("n")
+            .over(per_order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+            .alias("_o_rows"),
+        )
+    )
+    out = placed
+    for i, (value, name, descending) in enumerate(orders):
+        place = [f"_o_slot{i}", f"_o_part{i}"]
+        mine = starts.filter(F.col("i") == i).select(
+            F.col("slot").alias(place[0]), F.col("part").alias(place[1]), "_o_n0", "_o_rows"
+        )
+        v = F.col(value)
+        inside = Window.partitionBy(*place).orderBy(v.desc() if descending else v.asc(), key)
+        position = F.row_number().over(inside) + F.col("_o_n0")
+        out = out.join(F.broadcast(mine), place).withColumn("_o_pos", position)
+        out = out.withColumn(name, ntile_of(F.col("_o_pos"), F.col("_o_rows"), tiles))
+        out = out.drop(*place, "_o_pos", "_o_n0", "_o_rows")
+    return out
 
 
 def ntile_of(position: Column, rows: Column, tiles: int) -> Column:
@@ -108,15 +164,6 @@ def ntile_of(position: Column, rows: Column, tiles: int) -> Column:
     ).otherwise(larger + F.ceil((position - in_larger) / F.greatest(size, F.lit(1)))).cast("int")
 
 
-def with_ntile(
-    df: DataFrame, value: str, key: str, tiles: int, name: str, descending: bool = False
-) -> DataFrame:
-    out = with_global_order(
-        df, value, key, descending=descending, position="_pos", rows="_cnt"
-    )
-    return out.withColumn(name, ntile_of(F.col("_pos"), F.col("_cnt"), tiles)).drop("_pos", "_cnt")
-
-
 def first_per_group(df: DataFrame, keys: list, order: list, n: int = 1) -> DataFrame:
     """First ``n`` rows per group.
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from dealscope import fixed_values as fv
 from dealscope.functions.dates import age_days, as_of_timestamp, whole_days
 from dealscope.functions.numbers import count_if, money_sum, money_sum_double, ratio
-from dealscope.functions.ordering import with_ntile
+from dealscope.functions.ordering import with_ntiles
 from dealscope.operators.analytics import won
 
 
@@ -35,8 +35,8 @@ def tenure_vs_volume(deals: DataFrame, as_of: str) -> DataFrame:
     per = deals.groupBy("account_id").agg(
         age_days(F.min("created"), as_of).alias("tenure_days"), F.count("*").alias("deals")
     )
-    per = with_ntile(per, "tenure_days", "account_id", 4, "tenure_quartile", descending=True)
-    per = with_ntile(per, "deals", "account_id", 4, "volume_quartile")
+    orders = [("tenure_days", "tenure_quartile", True), ("deals", "volume_quartile", False)]
+    per = with_ntiles(per, orders, "account_id", 4)
     return per.filter((F.col("tenure_quartile") == 1) & (F.col("volume_quartile") == 1))
 
 
@@ -88,7 +88,9 @@ def engagement(accounts: DataFrame, activity: DataFrame) -> DataFrame:
 def won_despite_low_engagement(accounts: DataFrame, activity: DataFrame, deals: DataFrame) -> DataFrame:
     """Q10: lowest engagement quartile with at least one won deal."""
     wins = deals.filter(won()).groupBy("account_id").agg(F.count("*").alias("won"))
-    quartile = with_ntile(engagement(accounts, activity), "events", "account_id", 4, "quartile")
+    quartile = with_ntiles(
+        engagement(accounts, activity), [("events", "quartile", False)], "account_id", 4
+    )
     return quartile.filter(F.col("quartile") == 1).join(wins, "account_id").drop("quartile")
 
 
@@ -101,8 +103,7 @@ def underexploited_accounts(accounts: DataFrame, deals: DataFrame) -> DataFrame:
         .join(per, "account_id", "left")
         .fillna({"deals": 0})
     )
-    base = with_ntile(base, "_size", "account_id", 4, "_big", descending=True)
-    base = with_ntile(base, "deals", "account_id", 4, "_few")
+    base = with_ntiles(base, [("_size", "_big", True), ("deals", "_few", False)], "account_id", 4)
     return base.filter((F.col("_big") == 1) & (F.col("_few") == 1)).select(
         "account_id", F.col("_size").cast("double").alias("revenue"), "deals"
     )
@@ -138,8 +139,12 @@ def segments(accounts: DataFrame, activity: DataFrame, deals: DataFrame, as_of:
         money_sum("deal_value").alias("_rev"), age_days(F.min("created"), as_of).alias("_tenure")
     )
     base = engagement(accounts, activity).join(per, "account_id")
-    for value, name in (("_rev", "revenue_tier"), ("_tenure", "tenure_tier"), ("events", "activity_tier")):
-        base = with_ntile(base, value, "account_id", 3, name, descending=True)
+    tiers = [
+        ("_rev", "revenue_tier", True),
+        ("_tenure", "tenure_tier", True),
+        ("events", "activity_tier", True),
+    ]
+    base = with_ntiles(base, tiers, "account_id", 3)
     return base.groupBy("revenue_tier", "tenure_tier", "activity_tier").agg(
         F.count("*").alias("accounts"), F.sum("_rev").cast("double").alias("revenue")
     )
