@@ -6,7 +6,7 @@ import importlib
 
 from dealscope.plans.registry import REGISTRY, Query
 
-MODULES = ("analytics", "questions")
+MODULES = ("analytics", "questions", "profiling")
 
 
 def load_all() -> dict[str, Query]:
