@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SLOTS = 48
-SKETCH_ACCURACY = 10000
+SKETCH_ACCURACY = 1000
 
 
 def quantile_points(slots: int = SLOTS) -> list[float]:

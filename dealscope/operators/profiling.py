@@ -17,8 +17,8 @@ from pyspark.sql import types as T
 
 from dealscope import fixed_values as fv
 from dealscope.functions.names import profile_type
-from dealscope.functions.numbers import count_if, is_missing, ratio
-from dealscope.functions.ordering import SLOTS, first_per_group, quantile_points, slot_of
+from dealscope.functions.numbers import ratio
+from dealscope.functions.ordering import first_per_group, quantile_bounds, slot_of
 
 _INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 _FLOATING = (T.FloatType, T.DoubleType, T.DecimalType)
@@ -33,25 +33,42 @@ def kind_of(data_type: T.DataType) -> str:
     return "date" if isinstance(data_type, _DATES) else "text"
 
 
-def _value(field: T.StructField) -> Column:
+# Generated per-column expressions are SQL text: one parse in the JVM per column
+# instead of dozens of small calls from Python.
+
+
+def _name(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def _text(value: str) -> str:
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _value(field: T.StructField) -> str:
     """The column with NaN as null."""
-    c = F.col(f"`{field.name}`")
-    return F.when(~F.isnan(c), c) if isinstance(field.dataType, (T.FloatType, T.DoubleType)) else c
+    c = _name(field.name)
+    floating = isinstance(field.dataType, (T.FloatType, T.DoubleType))
+    return f"nullif({c}, double('NaN'))" if floating else c
+
+
+def _missing(field: T.StructField) -> str:
+    return f"{_value(field)} IS NULL"
 
 
 def _long_rows(df: DataFrame, offset: int = 0, columns: list[str] | None = None) -> DataFrame:
-    """(ordinal, l, d, s) rows: each non-null cell in the field of its physical family.
+    """(ordinal, l, d, t, s) rows: each non-null cell in the field of its physical family.
 
-    Whole numbers and dates keep all 64 bits in ``l``, fractions are in ``d`` and
-    text in ``s``; one scan of the table feeds every column.
+    Whole numbers keep all 64 bits in ``l``, fractions are in ``d``, dates as
+    microseconds in ``t`` and text in ``s``; one scan feeds every column.
     """
     cells = []
     for i, f in enumerate(df.schema.fields):
         if columns is not None and f.name not in columns:
             continue
-        v, whole, fraction, text = _value(f), F.lit(None), F.lit(None), F.lit(None)
+        v, whole, fraction, date, text = _value(f), "NULL", "NULL", "NULL", "NULL"
         if isinstance(f.dataType, _DATES):
-            whole = F.unix_micros(v.cast("timestamp"))
+            date = f"unix_micros(CAST({v} AS TIMESTAMP))"
         elif isinstance(f.dataType, _INTEGRAL):
             whole = v
         elif isinstance(f.dataType, _FLOATING):
@@ -59,89 +76,86 @@ def _long_rows(df: DataFrame, offset: int = 0, columns: list[str] | None = None)
         else:
             text = v
         cells.append(
-            F.struct(
-                F.lit(offset + i).alias("ordinal"),
-                whole.cast("bigint").alias("l"),
-                fraction.cast("double").alias("d"),
-                text.cast("string").alias("s"),
-            )
+            f"struct({offset + i} AS ordinal, CAST({whole} AS BIGINT) AS l, "
+            f"CAST({fraction} AS DOUBLE) AS d, CAST({date} AS BIGINT) AS t, CAST({text} AS STRING) AS s)"
         )
-    return df.select(F.inline(F.array(*cells))).filter(F.coalesce(
-        F.col("l").isNotNull() | F.col("d").isNotNull() | F.col("s").isNotNull(), F.lit(False)
-    ))
+    rows = df.selectExpr(f"inline(array({', '.join(cells)}))")
+    return rows.filter("l IS NOT NULL OR d IS NOT NULL OR t IS NOT NULL OR s IS NOT NULL")
 
 
 def value_counts(rows: DataFrame) -> DataFrame:
     """Rows per distinct cell of each column, combined on the map side."""
-    return rows.groupBy("ordinal", "l", "d", "s").agg(F.count("*").alias("n"))
+    return rows.groupBy("ordinal", "l", "d", "t", "s").agg(F.count("*").alias("n"))
 
 
-def _facts(df: DataFrame, table: str, as_of: str, offset: int = 0, sketch: bool = True) -> DataFrame:
-    """One row per column from a single wide aggregate; ``sketch`` adds quantile bounds."""
-    aggs, rows = [F.count("*").alias("rows")], []
-    empty_double = F.lit(None).cast("double")
+def _facts(df: DataFrame, table: str, as_of: str, offset: int = 0, moments: bool = True) -> DataFrame:
+    """One row per column from a single wide aggregate."""
+    aggs, rows = ["count(*) AS rows"], []
     for i, f in enumerate(df.schema.fields):
         v, kind = _value(f), kind_of(f.dataType)
-        aggs.append(count_if(is_missing(f.name, f.dataType.simpleString())).alias(f"null{i}"))
+        name_type = profile_type(f.name, kind)
         fact = {
-            "ordinal": F.lit(offset + i),
-            "table": F.lit(table),
-            "column": F.lit(f.name),
-            "dtype": F.lit(f.dataType.simpleString()),
-            "kind": F.lit(kind),
-            "name_type": F.lit(profile_type(f.name, kind)).cast("string"),
-            "row_count": F.col("rows"),
-            "null_count": F.col(f"null{i}"),
+            "ordinal": str(offset + i),
+            "table": _text(table),
+            "column": _text(f.name),
+            "dtype": _text(f.dataType.simpleString()),
+            "kind": _text(kind),
+            "name_type": f"CAST({_text(name_type) if name_type else 'NULL'} AS STRING)",
+            "row_count": "rows",
+            "null_count": f"null{i}",
+            "min_num": "CAST(NULL AS DOUBLE)",
+            "max_num": "CAST(NULL AS DOUBLE)",
+            "mean": "CAST(NULL AS DOUBLE)",
+            "std": "CAST(NULL AS DOUBLE)",
+            "zero_count": "0L",
+            "negative_count": "0L",
+            "min_date": "CAST(NULL AS STRING)",
+            "max_date": "CAST(NULL AS STRING)",
+            "future_count": "0L",
         }
-        numbers = {k: empty_double for k in ("min_num", "max_num", "mean", "std")}
-        counts = {k: F.lit(0).cast("bigint") for k in ("zero_count", "negative_count", "future_count")}
-        dates = {k: F.lit(None).cast("string") for k in ("min_date", "max_date")}
-        bounds = F.lit(None).cast("array<double>")
+        aggs.append(f"count_if({_missing(f)}) AS null{i}")
         if kind == "number":
-            x = v.cast("double")
-            aggs += [
-                F.round(F.min(x), 4).alias(f"min{i}"),
-                F.round(F.max(x), 4).alias(f"max{i}"),
-                F.round(F.avg(x), 4).alias(f"avg{i}"),
-                F.when(F.count(x) > 0, F.round(F.coalesce(F.stddev_samp(x), F.lit(0.0)), 4)).alias(f"std{i}"),
-                count_if(x == 0).alias(f"zero{i}"),
-                count_if(x < 0).alias(f"neg{i}"),
-            ]
-            if sketch:
-                aggs.append(F.percentile_approx(x, quantile_points(SLOTS), 10000).alias(f"q{i}"))
-                bounds = F.sort_array(F.array_distinct(F.col(f"q{i}")))
-            numbers = {
-                "min_num": F.col(f"min{i}"),
-                "max_num": F.col(f"max{i}"),
-                "mean": F.col(f"avg{i}"),
-                "std": F.col(f"std{i}"),
-            }
-            counts["zero_count"], counts["negative_count"] = F.col(f"zero{i}"), F.col(f"neg{i}")
+            x = f"CAST({v} AS DOUBLE)"
+            aggs += [f"count_if({x} = 0) AS zero{i}", f"count_if({x} < 0) AS neg{i}"]
+            fact |= {"zero_count": f"zero{i}", "negative_count": f"neg{i}"}
+            if moments:
+                aggs += [
+                    f"round(min({x}), 4) AS min{i}",
+                    f"round(max({x}), 4) AS max{i}",
+                    f"round(avg({x}), 4) AS avg{i}",
+                    f"if(count({x}) > 0, round(coalesce(stddev_samp({x}), 0D), 4), NULL) AS std{i}",
+                ]
+                fact |= {"min_num": f"min{i}", "max_num": f"max{i}", "mean": f"avg{i}", "std": f"std{i}"}
         elif kind == "date":
-            day = v.cast("date")
+            today = f"CAST({_text(as_of)} AS {f.dataType.simpleString()})"
             aggs += [
-                F.min(day).cast("string").alias(f"dmin{i}"),
-                F.max(day).cast("string").alias(f"dmax{i}"),
-                count_if(v > F.lit(as_of).cast(f.dataType)).alias(f"fut{i}"),
+                f"CAST(min(CAST({v} AS DATE)) AS STRING) AS dmin{i}",
+                f"CAST(max(CAST({v} AS DATE)) AS STRING) AS dmax{i}",
+                f"count_if({v} > {today}) AS fut{i}",
             ]
-            dates = {"min_date": F.col(f"dmin{i}"), "max_date": F.col(f"dmax{i}")}
-            counts["future_count"] = F.col(f"fut{i}")
-        fact |= numbers | counts | dates | {"bounds": bounds}
-        rows.append(F.struct(*[c.alias(n) for n, c in fact.items()]))
-    return df.agg(*aggs).select(F.inline(F.array(*rows)))
+            fact |= {"min_date": f"dmin{i}", "max_date": f"dmax{i}", "future_count": f"fut{i}"}
+        rows.append("struct(" + ", ".join(f"{e} AS `{n}`" for n, e in fact.items()) + ")")
+    return df.selectExpr(*aggs).selectExpr(f"inline(array({', '.join(rows)}))")
 
 
-def _medians(counts: DataFrame, facts: DataFrame) -> DataFrame:
+def _medians(counts: DataFrame) -> DataFrame:
     """Exact medians from value counts.
 
-    The quantile bounds cut each column into slots; only the slots holding the
-    middle ranks are ordered, so no task sorts a whole column. ``facts`` has one
-    row per column, hence the broadcast.
+    Quantile bounds over the distinct values cut each column into slots; only the
+    slots holding the middle ranks are ordered, so no task sorts a whole column.
+    The limits have one row per column, hence the broadcast.
     """
-    limits = facts.filter(F.col("kind") == "number").select(
-        "ordinal", "bounds", (F.col("row_count") - F.col("null_count")).alias("total")
+    # the value depends on n, so its filter stays above the counting shuffle and every
+    # use of the counts reads the same exchange
+    number = F.when(F.col("n") > 0, F.coalesce("d", F.col("l").cast("double")))
+    numbers = counts.select("ordinal", number.alias("value"), "n").filter(
+        F.col("value").isNotNull()
+    )
+    limits = (
+        numbers.groupBy("ordinal")
+        .agg(quantile_bounds("value", slots=16).alias("bounds"), F.sum("n").alias("total"))
+        .filter(F.col("total") > 0)
     )
-    numbers = counts.select("ordinal", F.coalesce("d", F.col("l").cast("double")).alias("value"), "n")
     placed = numbers.join(F.broadcast(limits), "ordinal").withColumn(
         "slot", slot_of(F.col("value"), F.col("bounds"))
     )
@@ -208,12 +222,12 @@ def profile_all(
         counts = value_counts(_union([_long_rows(df, offsets[t]) for t, df in tables.items()]))
         distinct = counts.groupBy("ordinal").agg(F.count("*").alias("distinct_count"))
         out = facts.join(F.broadcast(distinct), "ordinal", "left").join(
-            F.broadcast(_medians(counts, facts)), "ordinal", "left"
+            F.broadcast(_medians(counts)), "ordinal", "left"
         )
     else:
         out = facts.join(
             F.broadcast(_union([_sketched(df, offsets[t]) for t, df in tables.items()])), "ordinal"
-        ).withColumn("median", F.get("bounds", F.floor(F.size("bounds") / 2).cast("int")))
+        )
     guess = F.coalesce(
         F.col("name_type"),
         F.when(F.col("distinct_count") <= fv.MAX_CATEGORIES, "categorical").otherwise("text"),
@@ -251,21 +265,21 @@ def profile_columns(df: DataFrame, table: str, as_of: str, **options) -> DataFra
 
 
 def _sketched(df: DataFrame, offset: int) -> DataFrame:
-    sketches = F.array(
-        *[
-            F.struct(
-                F.lit(offset + i).alias("ordinal"),
-                F.approx_count_distinct(_value(f)).alias("distinct_count"),
-            )
-            for i, f in enumerate(df.schema.fields)
-        ]
-    )
-    return df.agg(sketches.alias("s")).select(F.inline("s"))
+    rows = []
+    for i, f in enumerate(df.schema.fields):
+        middle = "CAST(NULL AS DOUBLE)"
+        if kind_of(f.dataType) == "number":
+            middle = f"percentile_approx(CAST({_value(f)} AS DOUBLE), 0.5D)"
+        rows.append(
+            f"struct({offset + i} AS ordinal, approx_count_distinct({_value(f)}) AS distinct_count, "
+            f"{middle} AS median)"
+        )
+    return df.selectExpr(f"array({', '.join(rows)}) AS s").selectExpr("inline(s)")
 
 
 def rule_facts(tables: dict[str, DataFrame], as_of: str) -> DataFrame:
     """What the column rules need: one scan per table, no distinct counts, no sketches."""
-    facts = _union([_facts(df, t, as_of, sketch=False) for t, df in tables.items()])
+    facts = _union([_facts(df, t, as_of, moments=False) for t, df in tables.items()])
     return facts.select(
         "table",
         "column",
@@ -282,26 +296,15 @@ def rule_facts(tables: dict[str, DataFrame], as_of: str) -> DataFrame:
 def null_rates(df: DataFrame, table: str) -> DataFrame:
     """E3/S8 without distinct counts: one scan, one row per task shuffled."""
     fields = df.schema.fields
-    one = df.agg(
-        F.count("*").alias("rows"),
-        *[
-            count_if(is_missing(f.name, f.dataType.simpleString())).alias(f"n{i}")
-            for i, f in enumerate(fields)
-        ],
-    )
-    rows = F.array(
-        *[
-            F.struct(
-                F.lit(table).alias("table"),
-                F.lit(f.name).alias("column"),
-                F.lit(f.dataType.simpleString()).alias("dtype"),
-                F.col("rows").alias("row_count"),
-                F.col(f"n{i}").alias("null_count"),
-            )
-            for i, f in enumerate(fields)
-        ]
+    one = df.selectExpr(
+        "count(*) AS rows", *[f"count_if({_missing(f)}) AS n{i}" for i, f in enumerate(fields)]
     )
-    return one.select(F.inline(rows)).select("*", _null_pct())
+    rows = [
+        f"struct({_text(table)} AS `table`, {_text(f.name)} AS `column`, "
+        f"{_text(f.dataType.simpleString())} AS dtype, rows AS row_count, n{i} AS null_count)"
+        for i, f in enumerate(fields)
+    ]
+    return one.selectExpr(f"inline(array({', '.join(rows)}))").select("*", _null_pct())
 
 
 def all_null_rates(tables: dict[str, DataFrame]) -> DataFrame:
@@ -331,11 +334,12 @@ def sample_values(df: DataFrame, table: str, n: int = 10) -> DataFrame:
     """
     label = F.array(*[F.lit(x) for x in df.columns])
     counts = value_counts(_long_rows(df))
-    shown = F.coalesce("s", F.col("d").cast("string"), F.col("l").cast("string"))
+    day = F.timestamp_micros("t").cast("timestamp_ntz").cast("string")
+    shown = F.coalesce("s", F.col("d").cast("string"), F.col("l").cast("string"), day)
     firsts = (
-        first_per_group(counts, ["ordinal"], [F.col("l"), F.col("d"), F.col("s")], n)
+        first_per_group(counts, ["ordinal"], [F.col(c) for c in "ldts"], n)
         .groupBy("ordinal")
-        .agg(F.array_sort(F.collect_list(F.struct("l", "d", "s", shown.alias("shown")))).alias("v"))
+        .agg(F.array_sort(F.collect_list(F.struct(*"ldts", shown.alias("shown")))).alias("v"))
     )
     sizes = counts.groupBy("ordinal").agg(F.count("*").alias("distinct_count"))
     return firsts.join(F.broadcast(sizes), "ordinal").select(
@@ -348,7 +352,7 @@ def sample_values(df: DataFrame, table: str, n: int = 10) -> DataFrame:
 
 def duplicate_rows(df: DataFrame) -> DataFrame:
     """Rows beyond the first of each distinct row, after map-side counting."""
-    counted = df.groupBy(*[F.col(f"`{c}`") for c in df.columns]).agg(F.count("*").alias("_n"))
+    counted = df.groupBy(*[_name(c) for c in df.columns]).agg(F.count("*").alias("_n"))
     return counted.agg(
         F.coalesce(F.sum("_n"), F.lit(0)).alias("row_count"),
         F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).alias("duplicate_rows"),
@@ -362,35 +366,27 @@ def profile_table(df: DataFrame, table: str) -> DataFrame:
     shuffle gives duplicates and null rates.
     """
     fields = df.schema.fields
-    counted = df.groupBy(*[F.col(f"`{f.name}`") for f in fields]).agg(F.count("*").alias("_n"))
-    zero = F.lit(0).cast("bigint")
-
-    def missing(f: T.StructField) -> Column:
-        hit = is_missing(f.name, f.dataType.simpleString())
-        return F.coalesce(F.sum(F.when(hit, F.col("_n"))), zero)
-
-    one = counted.agg(
-        F.coalesce(F.sum("_n"), zero).alias("row_count"),
-        F.coalesce(F.sum(F.col("_n") - 1), zero).alias("duplicate_rows"),
-        *[missing(f).alias(f"_null{i}") for i, f in enumerate(fields)],
+    counted = df.groupBy(*[_name(f.name) for f in fields]).agg(F.count("*").alias("_n"))
+    one = counted.selectExpr(
+        "coalesce(sum(_n), 0L) AS row_count",
+        "coalesce(sum(_n - 1), 0L) AS duplicate_rows",
+        *[f"coalesce(sum(if({_missing(f)}, _n, 0L)), 0L) AS _null{i}" for i, f in enumerate(fields)],
     )
-    nulls = [F.col(f"_null{i}") for i in range(len(fields))]
-    cells = F.col("row_count") * F.lit(len(fields))
+    nulls = " + ".join(f"_null{i}" for i in range(len(fields)))
     by_name = sorted(range(len(fields)), key=lambda i: fields[i].name)
-    empty = [
-        F.when((nulls[i] == F.col("row_count")) & (nulls[i] > 0), F.lit(fields[i].name))
-        for i in by_name
-    ]
-    rate = F.coalesce(ratio(reduce(Column.__add__, nulls), cells), F.lit(0.0))
-    dup = F.coalesce(ratio(F.col("duplicate_rows"), F.col("row_count")), F.lit(0.0))
-    return one.select(
-        F.lit(table).alias("table"),
+    empty = ", ".join(
+        f"if(_null{i} = row_count AND row_count > 0, {_text(fields[i].name)}, NULL)" for i in by_name
+    )
+    dup = "coalesce(try_divide(CAST(duplicate_rows AS DOUBLE), CAST(row_count AS DOUBLE)), 0D)"
+    rate = f"coalesce(try_divide(CAST({nulls} AS DOUBLE), CAST(row_count * {len(fields)} AS DOUBLE)), 0D)"
+    return one.selectExpr(
+        f"{_text(table)} AS `table`",
         "row_count",
-        F.lit(len(fields)).cast("bigint").alias("col_count"),
+        f"{len(fields)}L AS col_count",
         "duplicate_rows",
-        F.round(dup * 100, 2).alias("duplicate_pct"),
-        F.round(rate * 100, 2).alias("overall_null_pct"),
-        F.concat_ws(",", *empty).alias("empty_columns"),
+        f"round({dup} * 100, 2) AS duplicate_pct",
+        f"round({rate} * 100, 2) AS overall_null_pct",
+        f"concat_ws(',', {empty}) AS empty_columns",
     )
 
 
