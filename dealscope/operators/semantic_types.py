@@ -19,7 +19,7 @@ from dealscope.functions import names
 from dealscope.operators.profiling import _name, _text, _value, kind_of, value_counts, _long_rows, null_rates
 
 NUMBER = r"^[+-]?(\\d+\\.?\\d*|\\.\\d+)([eE][+-]?\\d+)?$"
-SKETCH_ERROR = 0.02
+SKETCH_ERROR = 0.05
 
 
 def _pattern(regex: str) -> str:
@@ -108,7 +108,7 @@ class _Distinct:
         self.exact: int | None = None
 
     def above(self, threshold: float) -> bool:
-        margin = 5 * SKETCH_ERROR * max(threshold, 1)
+        margin = 4 * SKETCH_ERROR * max(threshold, 1)
         if self.exact is None and abs(self.estimate - threshold) <= margin:
             self.exact = self.df.agg(F.count_distinct(_name(self.column))).first()[0]
         return (self.estimate if self.exact is None else self.exact) > threshold

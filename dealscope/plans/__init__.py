@@ -6,7 +6,7 @@ import importlib
 
 from dealscope.plans.registry import REGISTRY, Query
 
-MODULES = ("analytics", "questions", "profiling", "types")
+MODULES = ("analytics", "questions", "profiling", "types", "joins", "changes")
 
 
 def load_all() -> dict[str, Query]:
