@@ -139,17 +139,16 @@ def site_root(url: Column) -> Column:
     return F.regexp_extract(url, r"^(https?://[^/?#]+)", 1)
 
 
-def character_vector(column: str, dims: int = fv.EMBEDDING_DIMS) -> Column:
+def character_vector(column: str, lowered: str, dims: int = fv.EMBEDDING_DIMS) -> Column:
     """X11: character frequencies, then MD5 bytes, zero-padded to ``dims``.
 
-    Native expression, no model: lower-cased text for the frequencies, the text as
-    given for the digest.
+    ``lowered`` names a column with the lower-cased text, so it is built once and
+    not once per character; the digest is over the text as given.
     """
-    low = f"lower({column})"
-    n = f"greatest(1, length({low}))"
+    n = f"CAST(greatest(1, length({lowered})) AS DOUBLE)"
     parts = []
     for ch in fv.EMBEDDING_CHARS:
-        parts.append(f"(length({low}) - length(replace({low}, '{ch}', ''))) / CAST({n} AS DOUBLE)")
+        parts.append(f"(length({lowered}) - length(replace({lowered}, '{ch}', ''))) / {n}")
     for i in range(16):
         parts.append(f"CAST(conv(substring(md5({column}), {2 * i + 1}, 2), 16, 10) AS DOUBLE) / 255D")
     parts += ["0D"] * (dims - len(parts))

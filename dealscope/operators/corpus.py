@@ -43,7 +43,8 @@ def upsert_chunks(old: DataFrame, new: DataFrame) -> DataFrame:
 def embed(df: DataFrame, text: str, fn: Callable | None = None, name: str = "vector") -> DataFrame:
     """Vectors for a text column: the native character vector, or an Arrow batch function."""
     if fn is None:
-        return df.withColumn(name, tx.character_vector(text))
+        lowered = df.withColumn("_low", F.lower(text))
+        return lowered.withColumn(name, tx.character_vector(text, "_low")).drop("_low")
     batch = F.pandas_udf(fn, "array<float>")
     return df.withColumn(name, batch(F.col(text)))
 

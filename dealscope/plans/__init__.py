@@ -6,7 +6,7 @@ import importlib
 
 from dealscope.plans.registry import REGISTRY, Query
 
-MODULES = ("analytics", "questions", "profiling", "types", "joins", "changes", "corpus")
+MODULES = ("analytics", "questions", "profiling", "types", "joins", "changes", "corpus", "logs", "sources")
 
 
 def load_all() -> dict[str, Query]:

@@ -54,7 +54,8 @@ WITH v AS (SELECT doc_id, {_vector_sql('text')} AS v FROM documents)
 SELECT doc_id, CAST(i AS INT) AS dim, round(v[i + 1], 9) AS value FROM (SELECT doc_id, v, unnest(range(0, 64)) AS i FROM v)""")
 def character_vectors(spark, sf):
     vectors = cp.embed(table(spark, sf, "documents").select("doc_id", "text"), "text")
-    return vectors.select("doc_id", F.posexplode("vector").alias("dim", "value")).withColumn(
+    # outer: every vector has entries, and the size test of posexplode would build it twice
+    return vectors.select("doc_id", F.posexplode_outer("vector").alias("dim", "value")).withColumn(
         "value", F.round("value", 9)
     )
 

@@ -175,10 +175,7 @@ def read_text_tree(spark: SparkSession, base: str) -> DataFrame:
     source type and ``meeting_notes/notes_YYYYMMDD.txt`` its date from the file name.
     """
     files = (
-        spark.read.option("wholetext", True)
-        .option("recursiveFileLookup", True)
-        .option("pathGlobFilter", "*.txt")
-        .text(base)
+        spark.read.text(base, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.txt")
         .select("value", F.col("_metadata.file_path").alias("path"))
     )
     folder = F.regexp_extract("path", "([^/]+)/[^/]+$", 1)
