@@ -263,8 +263,8 @@ def equi_join(
     joined = left.join(other, a.eqNullSafe(b) if null_safe else a == b, how)
     if left_col == right_col:
         key = F.coalesce(a, b).alias(left_col)
-        rest = [F.col(_name(c)) for c in left.columns if c != left_col]
-        return joined.select(key, *rest, *[F.col(_name(c)) for c in other.columns if c != mark])
+        own = [key if c == left_col else F.col(_name(c)) for c in left.columns]
+        return joined.select(*own, *[F.col(_name(c)) for c in other.columns if c != mark])
     if right_col in left.columns:
         return joined.withColumnRenamed(mark, f"{right_table}__{right_col}")
     return joined.withColumnRenamed(mark, right_col)
