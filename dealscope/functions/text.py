@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -153,3 +157,27 @@ def character_vector(column: str, lowered: str, dims: int = fv.EMBEDDING_DIMS) -
         parts.append(f"CAST(conv(substring(md5({column}), {2 * i + 1}, 2), 16, 10) AS DOUBLE) / 255D")
     parts += ["0D"] * (dims - len(parts))
     return F.expr(f"array({', '.join(parts[:dims])})")
+
+
+_CHAR_CODES = np.frombuffer(fv.EMBEDDING_CHARS.encode(), dtype=np.uint8)
+
+
+def character_vector_batch(texts: pd.Series) -> pd.Series:
+    """X11 for one Arrow batch; null texts have no vector.
+
+    All counted characters are ASCII, and no byte of another UTF-8 character is, so
+    one byte histogram per text gives every count.
+    """
+
+    def vector(text: str | None) -> np.ndarray | None:
+        if text is None:
+            return None
+        low = text.lower()
+        counts = np.bincount(np.frombuffer(low.encode(), dtype=np.uint8), minlength=128)
+        out = np.zeros(fv.EMBEDDING_DIMS)
+        out[: len(_CHAR_CODES)] = counts[_CHAR_CODES] / max(1, len(low))
+        digest = np.frombuffer(hashlib.md5(text.encode()).digest(), dtype=np.uint8)
+        out[len(_CHAR_CODES) : len(_CHAR_CODES) + len(digest)] = digest / 255.0
+        return out
+
+    return texts.map(vector)

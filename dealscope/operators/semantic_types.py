@@ -20,6 +20,7 @@ from dealscope.operators.profiling import _name, _text, _value, kind_of, value_c
 
 NUMBER = r"^[+-]?(\\d+\\.?\\d*|\\.\\d+)([eE][+-]?\\d+)?$"
 SKETCH_ERROR = 0.05
+DATE_LIKE = "^[0-9]{1,4}[-/][0-9]{1,2}[-/][0-9]{1,4}"
 
 
 def _pattern(regex: str) -> str:
@@ -33,7 +34,7 @@ def number_sql(text: str) -> str:
 
 def currency_sql(column: str) -> str:
     """Symbols, commas and blanks removed, then a tolerant parse."""
-    return number_sql(f"regexp_replace(CAST({column} AS STRING), '[£$€¥₹,\\\\s]', '')")
+    return number_sql(f"translate(CAST({column} AS STRING), '£$€¥₹, \\t\\n\\r\\f', '')")
 
 
 def percentage_sql(column: str) -> str:
@@ -72,14 +73,19 @@ def evidence(df: DataFrame) -> DataFrame:
         counters = {"non_null": f"count({_value(f)})", "distinct_est": f"approx_count_distinct({_value(f)}, {SKETCH_ERROR}D)"}
         if isinstance(f.dataType, T.StringType):
             t = f"trim({c})"
+            # shared first tests: evaluated once per cell, they keep most cells off the rest
+            digit, dated = f"{c} RLIKE '[0-9]'", f"{c} RLIKE '{DATE_LIKE}'"
             counters |= {
                 "currency_symbol": f"count_if({c} RLIKE '{fv.CURRENCY_SYMBOLS}')",
                 "currency_match": f"count_if({t} RLIKE {_pattern(fv.CURRENCY_VALUE)})",
-                "currency_cast": f"count({currency_sql(c)})",
-                "percentage_match": f"count_if({t} RLIKE {_pattern(fv.PERCENTAGE_VALUE)})",
-                "percentage_cast": f"count({percentage_sql(c)})",
-                "numeric_cast": f"count({number_sql(c)})",
-                **{f"date{j}": f"count({date_sql(c, p)})" for j, p in enumerate(fv.DATE_PATTERNS)},
+                "currency_cast": f"count(if({digit}, {currency_sql(c)}, NULL))",
+                "percentage_match": f"count_if(contains({c}, '%') AND {t} RLIKE {_pattern(fv.PERCENTAGE_VALUE)})",
+                "percentage_cast": f"count(if({digit}, {percentage_sql(c)}, NULL))",
+                "numeric_cast": f"count(if({digit}, {number_sql(c)}, NULL))",
+                **{
+                    f"date{j}": f"count(if({dated}, {date_sql(c, p)}, NULL))"
+                    for j, p in enumerate(fv.DATE_PATTERNS)
+                },
             }
         aggs += [f"{e} AS `{n}_{i}`" for n, e in counters.items()]
         every = [
