@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from dealscope.functions.ordering import first_per_group
 from dealscope.operators.changes import fingerprint
-from dealscope.sources.tables import path_exists
+from dealscope.sources.tables import list_folder, path_exists
 
 
 def new_files(spark: SparkSession, folder: str, schema, fmt: str = "csv", per_trigger: int = 100, **options) -> DataFrame:
@@ -57,10 +57,34 @@ def upsert(stream: DataFrame, table: str, base: str, checkpoint: str) -> None:
     _run(stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint))
 
 
+def _compacted(spark: SparkSession, base: str) -> int:
+    """Number of the newest batch inside a finished compaction, -1 if there is none."""
+    folder = f"{base}/compacted"
+    if not path_exists(spark, folder):
+        return -1
+    done = [int(n.split("=")[1]) for n in list_folder(spark, folder, "") if n.startswith("upto=")]
+    done = [n for n in done if path_exists(spark, f"{folder}/upto={n}/_SUCCESS")]
+    return max(done, default=-1)
+
+
 def current(spark: SparkSession, base: str, key: str, sequence: str) -> DataFrame:
-    """R2: the latest row per key over all deltas (one row per key leaves each task)."""
-    deltas = spark.read.parquet(f"{base}/deltas")
-    return first_per_group(deltas, [key], [F.col("batch").desc(), F.col(sequence).desc()]).drop("batch")
+    """R2: the latest row per key over the last compaction and the deltas after it."""
+    upto = _compacted(spark, base)
+    rows = spark.read.parquet(f"{base}/deltas").filter(F.col("batch") > upto)
+    if upto >= 0:
+        rows = rows.unionByName(
+            spark.read.parquet(f"{base}/compacted/upto={upto}").withColumn("batch", F.lit(upto))
+        )
+    order = [F.col("batch").desc(), F.col(sequence).desc()]
+    return first_per_group(rows, [key], order).drop("batch")
+
+
+def compact(spark: SparkSession, base: str, key: str, sequence: str) -> None:
+    """Write the current rows as a new folder; readers of older folders are not disturbed."""
+    newest = spark.read.parquet(f"{base}/deltas").agg(F.max("batch")).first()[0]
+    if newest > _compacted(spark, base):
+        target = f"{base}/compacted/upto={newest}"
+        current(spark, base, key, sequence).write.mode("overwrite").parquet(target)
 
 
 def unseen(stream: DataFrame, hash_col: str, event_time: str | None = None, keep: str = "7 days") -> DataFrame:
