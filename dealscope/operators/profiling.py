@@ -22,6 +22,7 @@ from dealscope.functions.ordering import first_per_group, quantile_bounds, slot_
 
 _INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 _FLOATING = (T.FloatType, T.DoubleType, T.DecimalType)
+_EPOCH = "TIMESTAMP_NTZ'1970-01-01 00:00:00'"
 _DATES = (T.DateType, T.TimestampType, T.TimestampNTZType)
 
 
@@ -67,8 +68,10 @@ def _long_rows(df: DataFrame, offset: int = 0, columns: list[str] | None = None)
         if columns is not None and f.name not in columns:
             continue
         v, whole, fraction, date, text = _value(f), "NULL", "NULL", "NULL", "NULL"
-        if isinstance(f.dataType, _DATES):
-            date = f"unix_micros(CAST({v} AS TIMESTAMP))"
+        if isinstance(f.dataType, T.TimestampType):
+            date = f"unix_micros({v})"
+        elif isinstance(f.dataType, _DATES):  # no session time zone involved
+            date = f"timestampdiff(MICROSECOND, {_EPOCH}, CAST({v} AS TIMESTAMP_NTZ))"
         elif isinstance(f.dataType, _INTEGRAL):
             whole = v
         elif isinstance(f.dataType, _FLOATING):
@@ -334,7 +337,7 @@ def sample_values(df: DataFrame, table: str, n: int = 10) -> DataFrame:
     """
     label = F.array(*[F.lit(x) for x in df.columns])
     counts = value_counts(_long_rows(df))
-    day = F.timestamp_micros("t").cast("timestamp_ntz").cast("string")
+    day = F.expr(f"CAST(timestampadd(MICROSECOND, t, {_EPOCH}) AS STRING)")
     shown = F.coalesce("s", F.col("d").cast("string"), F.col("l").cast("string"), day)
     firsts = (
         first_per_group(counts, ["ordinal"], [F.col(c) for c in "ldts"], n)

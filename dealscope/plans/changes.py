@@ -159,7 +159,11 @@ def stale_answers(spark, sf):
     return ch.stale_answers(answers, ch.classify(now, registry))
 
 
-@query("u5_processed_update", "U5")
+@query("u5_processed_update", "U5 U3 U4", with_sql("deals") + _GROWN + """,
+s AS (SELECT (SELECT count(*) FROM (SELECT * FROM grown EXCEPT SELECT * FROM deals)) AS rows_added,
+ (SELECT count(*) FROM (SELECT * FROM deals EXCEPT SELECT * FROM grown)) AS rows_removed)
+SELECT rows_added, rows_removed, 0::BIGINT AS columns_added, 0::BIGINT AS columns_removed, 0::BIGINT AS changed_cells, '' AS changed_columns,
+ rows_added || ' new rows, ' || rows_removed || ' rows removed' AS summary FROM s""")
 def processed_update(spark, sf):
     deals = b.deals(spark, sf)
     _, changes = ch.process_update(

@@ -82,9 +82,12 @@ def main():
     args.add_argument("--sf", default="0.01")
     args.add_argument("--only", nargs="*", default=[])
     args.add_argument("--skip", nargs="*", default=[])
+    args.add_argument("--conf", nargs="*", default=[], help="Spark settings, name=value")
     opt = args.parse_args()
     sf_dir = f"/root/testdata/sf{opt.sf}"
     spark, con = local_session(), connect(sf_dir)
+    for setting in opt.conf:
+        spark.conf.set(*setting.split("=", 1))
     failed = 0
     for name, q in load_all().items():
         if opt.only and not any(name.startswith(p) for p in opt.only):
