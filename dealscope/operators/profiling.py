@@ -57,38 +57,55 @@ def _missing(field: T.StructField) -> str:
     return f"{_value(field)} IS NULL"
 
 
-def _long_rows(df: DataFrame, offset: int = 0, columns: list[str] | None = None) -> DataFrame:
-    """(ordinal, l, d, t, s) rows: each non-null cell in the field of its physical family.
+def _cell(field: T.StructField) -> tuple[str, str]:
+    """Physical family of a column and its cell in that family.
 
     Whole numbers keep all 64 bits in ``l``, fractions are in ``d``, dates as
-    microseconds in ``t`` and text in ``s``; one scan feeds every column.
+    microseconds in ``t`` (no session time zone involved) and the rest in ``s``.
     """
-    cells = []
-    for i, f in enumerate(df.schema.fields):
-        if columns is not None and f.name not in columns:
-            continue
-        v, whole, fraction, date, text = _value(f), "NULL", "NULL", "NULL", "NULL"
-        if isinstance(f.dataType, T.TimestampType):
-            date = f"unix_micros({v})"
-        elif isinstance(f.dataType, _DATES):  # no session time zone involved
-            date = f"timestampdiff(MICROSECOND, {_EPOCH}, CAST({v} AS TIMESTAMP_NTZ))"
-        elif isinstance(f.dataType, _INTEGRAL):
-            whole = v
-        elif isinstance(f.dataType, _FLOATING):
-            fraction = v
-        else:
-            text = v
-        cells.append(
-            f"struct({offset + i} AS ordinal, CAST({whole} AS BIGINT) AS l, "
-            f"CAST({fraction} AS DOUBLE) AS d, CAST({date} AS BIGINT) AS t, CAST({text} AS STRING) AS s)"
-        )
-    rows = df.selectExpr(f"inline(array({', '.join(cells)}))")
-    return rows.filter("l IS NOT NULL OR d IS NOT NULL OR t IS NOT NULL OR s IS NOT NULL")
-
-
-def value_counts(rows: DataFrame) -> DataFrame:
-    """Rows per distinct cell of each column, combined on the map side."""
-    return rows.groupBy("ordinal", "l", "d", "t", "s").agg(F.count("*").alias("n"))
+    v = _value(field)
+    if isinstance(field.dataType, T.TimestampType):
+        return "t", f"unix_micros({v})"
+    if isinstance(field.dataType, _DATES):
+        return "t", f"timestampdiff(MICROSECOND, {_EPOCH}, CAST({v} AS TIMESTAMP_NTZ))"
+    if isinstance(field.dataType, _INTEGRAL):
+        return "l", f"CAST({v} AS BIGINT)"
+    if isinstance(field.dataType, _FLOATING):
+        return "d", f"CAST({v} AS DOUBLE)"
+    return "s", f"CAST({v} AS STRING)"
+
+
+def value_counts(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """Counts per (ordinal, value), one narrow frame per physical family.
+
+    Ordinals number the columns of all tables in turn. Each family reads its own
+    columns only and counts on the map side, so a hot value is one row per task.
+    """
+    rows, offsets = {}, _offsets(tables)
+    for name, df in tables.items():
+        families = {}
+        for i, field in enumerate(df.schema.fields):
+            family, cell = _cell(field)
+            families.setdefault(family, []).append(
+                f"struct({offsets[name] + i} AS ordinal, {cell} AS value)"
+            )
+        for family, cells in families.items():
+            long = df.selectExpr(f"inline(array({', '.join(cells)}))").filter("value IS NOT NULL")
+            rows.setdefault(family, []).append(long)
+    return {
+        family: _union(parts).groupBy("ordinal", "value").agg(F.count("*").alias("n"))
+        for family, parts in rows.items()
+    }
+
+
+def distinct_counts(counts: dict[str, DataFrame], name: str = "distinct_count") -> DataFrame:
+    """(ordinal, distinct count): one row per column that has any value.
+
+    Counting by ``n`` keeps the counts in the plan, so this and the medians read
+    the same exchange.
+    """
+    sized = [c.groupBy("ordinal").agg(F.count_if(F.col("n") > 0).alias(name)) for c in counts.values()]
+    return _union(sized)
 
 
 def _facts(df: DataFrame, table: str, as_of: str, offset: int = 0, moments: bool = True) -> DataFrame:
@@ -141,7 +158,7 @@ def _facts(df: DataFrame, table: str, as_of: str, offset: int = 0, moments: bool
     return df.selectExpr(*aggs).selectExpr(f"inline(array({', '.join(rows)}))")
 
 
-def _medians(counts: DataFrame) -> DataFrame:
+def _medians(counts: dict[str, DataFrame]) -> DataFrame:
     """Exact medians from value counts.
 
     Quantile bounds over the distinct values cut each column into slots; only the
@@ -150,10 +167,10 @@ def _medians(counts: DataFrame) -> DataFrame:
     """
     # the value depends on n, so its filter stays above the counting shuffle and every
     # use of the counts reads the same exchange
-    number = F.when(F.col("n") > 0, F.coalesce("d", F.col("l").cast("double")))
-    numbers = counts.select("ordinal", number.alias("value"), "n").filter(
-        F.col("value").isNotNull()
-    )
+    number = F.when(F.col("n") > 0, F.col("value").cast("double")).alias("value")
+    numbers = _union(
+        [counts[f].select("ordinal", number, "n") for f in ("l", "d") if f in counts]
+    ).filter(F.col("value").isNotNull())
     limits = (
         numbers.groupBy("ordinal")
         .agg(quantile_bounds("value", slots=16).alias("bounds"), F.sum("n").alias("total"))
@@ -222,11 +239,12 @@ def profile_all(
     offsets = _offsets(tables)
     facts = _union([_facts(df, t, as_of, offsets[t]) for t, df in tables.items()])
     if exact:
-        counts = value_counts(_union([_long_rows(df, offsets[t]) for t, df in tables.items()]))
-        distinct = counts.groupBy("ordinal").agg(F.count("*").alias("distinct_count"))
-        out = facts.join(F.broadcast(distinct), "ordinal", "left").join(
-            F.broadcast(_medians(counts)), "ordinal", "left"
-        )
+        counts = value_counts(tables)
+        out = facts.join(F.broadcast(distinct_counts(counts)), "ordinal", "left")
+        if "l" in counts or "d" in counts:
+            out = out.join(F.broadcast(_medians(counts)), "ordinal", "left")
+        else:
+            out = out.withColumn("median", F.lit(None).cast("double"))
     else:
         out = facts.join(
             F.broadcast(_union([_sketched(df, offsets[t]) for t, df in tables.items()])), "ordinal"
@@ -318,14 +336,14 @@ def top_values(df: DataFrame, table: str, n: int = 5) -> DataFrame:
     """The ``n`` most frequent values of each text column, ties by value."""
     texts = [f.name for f in df.schema.fields if kind_of(f.dataType) in ("text", "boolean")]
     label = F.array(*[F.lit(x) for x in texts])
-    counts = value_counts(_long_rows(df.select(*texts)))
-    order = [F.col("n").desc(), F.col("s")]
+    counts = value_counts({table: df.select(*texts)})["s"]
+    order = [F.col("n").desc(), F.col("value")]
     rank = F.row_number().over(Window.partitionBy("ordinal").orderBy(*order))
     return first_per_group(counts, ["ordinal"], order, n).select(
         F.lit(table).alias("table"),
         F.get(label, F.col("ordinal")).alias("column"),
         rank.cast("bigint").alias("rank"),
-        F.col("s").alias("value"),
+        "value",
         F.col("n").alias("value_count"),
     )
 
@@ -336,19 +354,19 @@ def sample_values(df: DataFrame, table: str, n: int = 10) -> DataFrame:
     Both start from the value counts; per column only ``n`` values leave each task.
     """
     label = F.array(*[F.lit(x) for x in df.columns])
-    counts = value_counts(_long_rows(df))
-    day = F.expr(f"CAST(timestampadd(MICROSECOND, t, {_EPOCH}) AS STRING)")
-    shown = F.coalesce("s", F.col("d").cast("string"), F.col("l").cast("string"), day)
-    firsts = (
-        first_per_group(counts, ["ordinal"], [F.col(c) for c in "ldts"], n)
-        .groupBy("ordinal")
-        .agg(F.array_sort(F.collect_list(F.struct(*"ldts", shown.alias("shown")))).alias("v"))
-    )
-    sizes = counts.groupBy("ordinal").agg(F.count("*").alias("distinct_count"))
-    return firsts.join(F.broadcast(sizes), "ordinal").select(
+    counts = value_counts({table: df})
+    shown = {f: F.col("v").cast("string") for f in counts}
+    shown["t"] = F.expr(f"CAST(timestampadd(MICROSECOND, v, {_EPOCH}) AS STRING)")
+    firsts = []
+    for family, c in counts.items():
+        top = first_per_group(c.withColumnRenamed("value", "v"), ["ordinal"], [F.col("v")], n)
+        pairs = F.array_sort(F.collect_list(F.struct("v", shown[family].alias("shown"))))
+        listed = top.groupBy("ordinal").agg(F.array_join(F.transform(pairs, lambda p: p["shown"]), "|").alias("samples"))
+        firsts.append(listed)
+    return _union(firsts).join(F.broadcast(distinct_counts(counts)), "ordinal").select(
         F.lit(table).alias("table"),
         F.get(label, F.col("ordinal")).alias("column"),
-        F.array_join(F.col("v.shown"), "|").alias("samples"),
+        "samples",
         "distinct_count",
     )
 
@@ -401,11 +419,8 @@ def schema_table(df: DataFrame, table: str) -> DataFrame:
     """Column, type, non-null count, null % to one place and distinct count."""
     facts = null_rates(df, table).drop("null_pct")
     names = F.array(*[F.lit(c) for c in df.columns])
-    sizes = (
-        value_counts(_long_rows(df))
-        .groupBy("ordinal")
-        .agg(F.count("*").alias("distinct_count"))
-        .select(F.get(names, F.col("ordinal")).alias("column"), "distinct_count")
+    sizes = distinct_counts(value_counts({table: df})).select(
+        F.get(names, F.col("ordinal")).alias("column"), "distinct_count"
     )
     return facts.join(F.broadcast(sizes), "column", "left").select(
         "column",

@@ -16,7 +16,15 @@ from pyspark.sql import types as T
 
 from dealscope import fixed_values as fv
 from dealscope.functions import names
-from dealscope.operators.profiling import _name, _text, _value, kind_of, value_counts, _long_rows, null_rates
+from dealscope.operators.profiling import (
+    _name,
+    _text,
+    _value,
+    distinct_counts,
+    kind_of,
+    null_rates,
+    value_counts,
+)
 
 NUMBER = r"^[+-]?(\\d+\\.?\\d*|\\.\\d+)([eE][+-]?\\d+)?$"
 SKETCH_ERROR = 0.05
@@ -192,11 +200,8 @@ def column_schema(df: DataFrame, types: dict[str, Inferred], table: str = "") ->
     """Raw and inferred type, nulls and distinct values per column of the cast table."""
     facts = null_rates(df, table)
     label = F.array(*[F.lit(c) for c in df.columns])
-    sizes = (
-        value_counts(_long_rows(df))
-        .groupBy("ordinal")
-        .agg(F.count("*").alias("unique_count"))
-        .select(F.get(label, F.col("ordinal")).alias("column"), "unique_count")
+    sizes = distinct_counts(value_counts({table: df}), "unique_count").select(
+        F.get(label, F.col("ordinal")).alias("column"), "unique_count"
     )
     raw = F.create_map(*[x for t in types.values() for x in (F.lit(t.column), F.lit(t.raw_type))])
     kind = F.create_map(*[x for t in types.values() for x in (F.lit(t.column), F.lit(t.semantic))])
