@@ -1,9 +1,9 @@
 """Semantic type inference and casts.
 
-One aggregate over the table gathers the evidence for all columns, the driver
-decides per column from that single row of counters, and one projection casts.
-Distinct counts are sketches; a column whose sketch lands near a threshold gets
-an exact count before the decision.
+One aggregate over the table gathers the evidence for all text columns, the driver
+decides per column from its row of counters, and one projection casts. Only columns
+that neither name nor evidence decides get a distinct-value sketch, and a sketch
+near a threshold an exact count.
 """
 
 from __future__ import annotations
@@ -74,36 +74,34 @@ def date_sql(column: str, pattern: str) -> str:
 
 
 def evidence(df: DataFrame) -> DataFrame:
-    """One row per text column with its match counters."""
-    aggs, rows = ["count(*) AS rows"], []
-    for i, f in enumerate(df.schema.fields):
-        c = _name(f.name)
-        counters = {"non_null": f"count({_value(f)})", "distinct_est": f"approx_count_distinct({_value(f)}, {SKETCH_ERROR}D)"}
-        if isinstance(f.dataType, T.StringType):
-            t = f"trim({c})"
-            # shared first tests: evaluated once per cell, they keep most cells off the rest
-            digit, dated = f"{c} RLIKE '[0-9]'", f"{c} RLIKE '{DATE_LIKE}'"
-            counters |= {
-                "currency_symbol": f"count_if({c} RLIKE '{fv.CURRENCY_SYMBOLS}')",
-                "currency_match": f"count_if({t} RLIKE {_pattern(fv.CURRENCY_VALUE)})",
-                "currency_cast": f"count(if({digit}, {currency_sql(c)}, NULL))",
-                "percentage_match": f"count_if(contains({c}, '%') AND {t} RLIKE {_pattern(fv.PERCENTAGE_VALUE)})",
-                "percentage_cast": f"count(if({digit}, {percentage_sql(c)}, NULL))",
-                "numeric_cast": f"count(if({digit}, {number_sql(c)}, NULL))",
-                **{
-                    f"date{j}": f"count(if({dated}, {date_sql(c, p)}, NULL))"
-                    for j, p in enumerate(fv.DATE_PATTERNS)
-                },
-            }
-        aggs += [f"{e} AS `{n}_{i}`" for n, e in counters.items()]
-        every = [
-            "non_null", "distinct_est", "currency_symbol", "currency_match", "currency_cast",
-            "percentage_match", "percentage_cast", "numeric_cast",
-            *[f"date{j}" for j in range(len(fv.DATE_PATTERNS))],
-        ]
-        cells = ", ".join(f"{f'`{n}_{i}`' if n in counters else '0L'} AS {n}" for n in every)
-        rows.append(f"struct({_text(f.name)} AS `column`, rows, {cells})")
-    return df.selectExpr(*aggs).selectExpr(f"inline(array({', '.join(rows)}))")
+    """One row per text column with its match counters.
+
+    The cells of all text columns go through the same few counters, so the generated
+    code stays small enough to be compiled however wide the table is; per task one
+    row per column reaches the shuffle.
+    """
+    fields = [f for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
+    cells = ", ".join(f"struct({i} AS ordinal, {_name(f.name)} AS cell)" for i, f in enumerate(fields))
+    names_sql = ", ".join(_text(f.name) for f in fields)
+    counters = {
+        "rows": "count(*)",
+        "non_null": "count(cell)",
+        "currency_symbol": f"count_if(cell RLIKE '{fv.CURRENCY_SYMBOLS}')",
+        "currency_match": f"count_if(bare RLIKE {_pattern(fv.CURRENCY_VALUE)})",
+        "currency_cast": f"count(if(digit, {currency_sql('cell')}, NULL))",
+        "percentage_match": f"count_if(contains(cell, '%') AND bare RLIKE {_pattern(fv.PERCENTAGE_VALUE)})",
+        "percentage_cast": f"count(if(digit, {percentage_sql('cell')}, NULL))",
+        "numeric_cast": f"count(if(digit, {number_sql('cell')}, NULL))",
+    }
+    for j, pattern in enumerate(fv.DATE_PATTERNS):
+        counters[f"date{j}"] = f"count(if(dated, {date_sql('cell', pattern)}, NULL))"
+    aggs = [F.expr(e).alias(n) for n, e in counters.items()]
+    # first tests, made once per cell, keep most cells off the costlier ones
+    tested = df.selectExpr(f"inline(array({cells}))").selectExpr(
+        "*", "trim(cell) AS bare", "cell RLIKE '[0-9]' AS digit", f"cell RLIKE '{DATE_LIKE}' AS dated"
+    )
+    counted = tested.groupBy("ordinal").agg(*aggs)
+    return counted.selectExpr(f"get(array({names_sql}), ordinal) AS `column`", *counters)
 
 
 @dataclass(frozen=True)
@@ -128,7 +126,8 @@ class _Distinct:
         return (self.estimate if self.exact is None else self.exact) > threshold
 
 
-def _decide_text(name: str, e, distinct: _Distinct, strict: bool) -> tuple[str, str | None]:
+def _decide_text(name: str, e, strict: bool) -> tuple[str, str | None] | None:
+    """The type of a text column by its counters; None when distinct values decide."""
     c, n = _name(name), max(e["non_null"], 1)
     by_value = e["currency_symbol"] > 0 and e["currency_match"] / n >= fv.MIN_CURRENCY_MATCH
     if (names.is_currency_name(name, strict) or by_value) and e["currency_cast"]:
@@ -145,39 +144,69 @@ def _decide_text(name: str, e, distinct: _Distinct, strict: bool) -> tuple[str,
         return "phone", None
     if e["numeric_cast"] / n > fv.MIN_NUMERIC_PARSE:
         return "numeric", number_sql(c)
-    if names.is_id_name(name) and distinct.above(fv.MIN_ID_DISTINCT * n):
-        return "identifier", None
-    limit = max(fv.MAX_CATEGORIES, fv.MAX_CATEGORY_RATIO * max(e["rows"], 1))
-    return ("text" if distinct.above(limit) else "categorical"), None
+    return None
 
 
-def _decide_number(name: str, e, distinct: _Distinct, strict: bool) -> str:
+def _decide_number(name: str, strict: bool) -> str | None:
+    """The type of a number column by name; None when distinct values decide."""
     if names.is_currency_name(name, strict):
         return "currency"
     if names.is_percentage_name(name, strict):
         return "percentage"
-    if names.is_id_name(name) and distinct.above(fv.MIN_ID_DISTINCT * max(e["non_null"], 1)):
+    return None if names.is_id_name(name) else "numeric"
+
+
+def _decide_distinct(name: str, number: bool, rows: int, non_null: int, distinct: _Distinct) -> str:
+    """Identifier by name and distinct values, else by category count."""
+    if names.is_id_name(name) and distinct.above(fv.MIN_ID_DISTINCT * max(non_null, 1)):
         return "identifier"
-    return "numeric"
+    if number:
+        return "numeric"
+    limit = max(fv.MAX_CATEGORIES, fv.MAX_CATEGORY_RATIO * max(rows, 1))
+    return "text" if distinct.above(limit) else "categorical"
 
 
 def infer_types(df: DataFrame, strict_names: bool = False) -> dict[str, Inferred]:
-    """The decision per column. One job; the driver sees one row of counters per column."""
-    counters = {row["column"]: row for row in evidence(df).collect()}
-    out = {}
-    for f in df.schema.fields:
-        e = counters[f.name]
-        kind, distinct, cast = kind_of(f.dataType), _Distinct(df, f.name, e["distinct_est"]), None
+    """The decision per column.
+
+    One job counts the evidence of the text columns, a second one sketches the
+    distinct values of the columns that neither name nor evidence decides. The
+    driver sees one row of counters per column.
+    """
+    fields = df.schema.fields
+    counters = {}
+    if any(isinstance(f.dataType, T.StringType) for f in fields):
+        counters = {row["column"]: row for row in evidence(df).collect()}
+    decided: dict[str, tuple[str, str | None] | None] = {}
+    for f in fields:
+        kind = kind_of(f.dataType)
         if kind == "date":
-            semantic = "date"
+            decided[f.name] = ("date", None)
         elif kind == "boolean":
-            semantic = "categorical"
+            decided[f.name] = ("categorical", None)
         elif kind == "number":
-            semantic = _decide_number(f.name, e, distinct, strict_names)
+            semantic = _decide_number(f.name, strict_names)
+            decided[f.name] = (semantic, None) if semantic else None
         else:
-            semantic, cast = _decide_text(f.name, e, distinct, strict_names)
-        out[f.name] = Inferred(f.name, f.dataType.simpleString(), semantic, cast)
-    return out
+            # an empty table has no evidence rows
+            e = counters.get(f.name)
+            decided[f.name] = _decide_text(f.name, e, strict_names) if e else ("categorical", None)
+    open_columns = [f for f in fields if decided[f.name] is None]
+    if open_columns:
+        aggs = ["count(*) AS rows"]
+        for i, f in enumerate(open_columns):
+            v = _value(f)
+            aggs += [f"count({v}) AS n{i}", f"approx_count_distinct({v}, {SKETCH_ERROR}D) AS d{i}"]
+        row = df.selectExpr(*aggs).first()
+        for i, f in enumerate(open_columns):
+            distinct = _Distinct(df, f.name, row[f"d{i}"])
+            number = kind_of(f.dataType) == "number"
+            decided[f.name] = (
+                _decide_distinct(f.name, number, row["rows"], row[f"n{i}"], distinct), None,
+            )
+    return {
+        f.name: Inferred(f.name, f.dataType.simpleString(), *decided[f.name]) for f in fields
+    }
 
 
 def apply_types(df: DataFrame, types: dict[str, Inferred]) -> DataFrame:
