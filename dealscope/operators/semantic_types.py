@@ -40,15 +40,22 @@ def number_sql(text: str) -> str:
     return f"if(trim({text}) RLIKE '{NUMBER}', try_cast(trim({text}) AS DOUBLE), NULL)"
 
 
+def _money_text(column: str) -> str:
+    return f"translate(CAST({column} AS STRING), '£$€¥₹, \\t\\n\\r\\f', '')"
+
+
 def currency_sql(column: str) -> str:
     """Symbols, commas and blanks removed, then a tolerant parse."""
-    return number_sql(f"translate(CAST({column} AS STRING), '£$€¥₹, \\t\\n\\r\\f', '')")
+    return number_sql(_money_text(column))
 
 
 def percentage_sql(column: str) -> str:
     """Trailing percent signs and commas removed; the scale is kept (75% is 75.0)."""
-    bare = f"replace(rtrim('%', trim(CAST({column} AS STRING))), ',', '')"
-    return number_sql(bare)
+    return number_sql(_percent_text(column))
+
+
+def _percent_text(column: str) -> str:
+    return f"replace(rtrim('%', trim(CAST({column} AS STRING))), ',', '')"
 
 
 _PARTS = (
@@ -83,15 +90,16 @@ def evidence(df: DataFrame) -> DataFrame:
     fields = [f for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
     cells = ", ".join(f"struct({i} AS ordinal, {_name(f.name)} AS cell)" for i, f in enumerate(fields))
     names_sql = ", ".join(_text(f.name) for f in fields)
+    symbols = " OR ".join(f"contains(cell, '{c}')" for c in fv.CURRENCY_SYMBOLS.strip("[]"))
     counters = {
         "rows": "count(*)",
         "non_null": "count(cell)",
-        "currency_symbol": f"count_if(cell RLIKE '{fv.CURRENCY_SYMBOLS}')",
+        "currency_symbol": f"count_if({symbols})",
         "currency_match": f"count_if(bare RLIKE {_pattern(fv.CURRENCY_VALUE)})",
-        "currency_cast": f"count(if(digit, {currency_sql('cell')}, NULL))",
+        "currency_cast": f"count({number_sql('money')})",
         "percentage_match": f"count_if(contains(cell, '%') AND bare RLIKE {_pattern(fv.PERCENTAGE_VALUE)})",
-        "percentage_cast": f"count(if(digit, {percentage_sql('cell')}, NULL))",
-        "numeric_cast": f"count(if(digit, {number_sql('cell')}, NULL))",
+        "percentage_cast": f"count({number_sql('percent')})",
+        "numeric_cast": f"count(if(digit, {number_sql('bare')}, NULL))",
     }
     for j, pattern in enumerate(fv.DATE_PATTERNS):
         counters[f"date{j}"] = f"count(if(dated, {date_sql('cell', pattern)}, NULL))"
@@ -100,6 +108,11 @@ def evidence(df: DataFrame) -> DataFrame:
     tested = df.selectExpr(f"inline(array({cells}))").selectExpr(
         "*", "trim(cell) AS bare", "cell RLIKE '[0-9]' AS digit", f"cell RLIKE '{DATE_LIKE}' AS dated"
     )
+    tested = tested.selectExpr(
+        "*",
+        f"if(digit, {_money_text('cell')}, NULL) AS money",
+        f"if(digit, {_percent_text('cell')}, NULL) AS percent",
+    )
     counted = tested.groupBy("ordinal").agg(*aggs)
     return counted.selectExpr(f"get(array({names_sql}), ordinal) AS `column`", *counters)
 
