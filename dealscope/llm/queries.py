@@ -7,13 +7,23 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dealscope.llm import decontamination, line_dedup, quality_rules
+from dealscope.llm import decontamination, line_dedup, quality_rules, sentencepiece_codec, token_counts
 from dealscope.llm.common import table
 from dealscope.llm.oracles import SQL
 
+#: vocabularies, and the token limit that a text may reach
+PIECES, BYTE_PAIRS = "piece_bpe_32k.model", "byte_bpe_50k.json"
+TOKEN_LIMIT = 1024
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
+def vocabulary(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def query(fn: Callable[[SparkSession, str], DataFrame]):
     QUERIES[fn.__name__] = fn
     return fn
@@ -41,8 +51,25 @@ def op4_quality_rules(spark, sf_dir):
     )
 
 
+@query
+def op6_sentencepiece(spark, sf_dir):
+    path = vocabulary(PIECES)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    both = sentencepiece_codec.decode(sentencepiece_codec.encode(docs, path), path)
+    return both.select(
+        "doc_id", "n_tokens", "token_ids", F.col("decoded").eqNullSafe(F.translate("text", "\u2581", " ")).alias("round_trip")
+    )
+
+
 @query
 def op8_line_dedup(spark, sf_dir):
     return line_dedup.dedup_lines(table(spark, sf_dir, "documents")).select(
         "doc_id", "text", F.col("llm_lines").alias("n_lines"), F.col("llm_removed").alias("n_removed")
     )
+
+
+@query
+def op10_token_counts(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    counted = token_counts.token_counts(docs, vocabulary(BYTE_PAIRS))
+    return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"))
