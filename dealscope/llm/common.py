@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -87,7 +88,7 @@ def kept_rows(docs: DataFrame, keys: DataFrame, how: str) -> DataFrame:
 def slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int) -> Iterator[pa.RecordBatch]:
     """The batches cut so that ``column`` holds at most ``most_bytes`` in each, or one row."""
     for batch in batches:
-        lengths = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_pylist()
+        lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
         begin = held = 0
         for i, n in enumerate(lengths):
             if i > begin and held + n > most_bytes:
@@ -105,7 +106,7 @@ def runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
         if not batch.num_rows:
             continue
         keys = batch.column(key)
-        ends = pa.compute.indices_nonzero(pa.compute.not_equal(keys[:-1], keys[1:])).to_pylist()
+        ends = pc.indices_nonzero(pc.not_equal(keys[:-1], keys[1:])).to_pylist()
         begin = 0
         for end in [*(int(e) + 1 for e in ends), batch.num_rows]:
             part = batch.slice(begin, end - begin)

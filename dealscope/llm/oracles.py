@@ -58,3 +58,16 @@ c AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id)
 SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(k.text, '') END AS text,
  coalesce(len(string_split(d.text, chr(10))), 0)::BIGINT AS n_lines, coalesce(c.n, 0)::BIGINT AS n_removed
 FROM documents d LEFT JOIN kept k USING (doc_id) LEFT JOIN c USING (doc_id)"""
+
+SQL["op9_ngram_join"] = r"""
+WITH RECURSIVE d AS MATERIALIZED (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS MATERIALIZED (SELECT DISTINCT doc_id, array_to_string(ws[i : i + 4], ' ') AS g FROM
+ (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 3, 2))) AS i FROM d WHERE len(ws) > 0)),
+n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS MATERIALIZED (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS n_both FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+l AS MATERIALIZED (SELECT x, y, n_both = nx.n AND n_both = ny.n AS same FROM p JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y
+ WHERE 5 * n_both >= 4 * (nx.n + ny.n - n_both)),
+reach AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT r.x, l.y FROM reach r JOIN l ON l.x = r.y)
+SELECT d.doc_id, least(d.doc_id, coalesce(c.c, d.doc_id)) AS class_id, g.g AS group_id, coalesce(k.k, 0)::BIGINT AS n_links
+FROM d LEFT JOIN (SELECT x, min(y) AS c FROM l WHERE same GROUP BY x) c ON c.x = d.doc_id
+LEFT JOIN (SELECT x, count(*) AS k FROM l GROUP BY x) k ON k.x = d.doc_id JOIN (SELECT x, min(y) AS g FROM reach GROUP BY x) g ON g.x = d.doc_id"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dealscope.llm import decontamination, line_dedup, quality_rules, sentencepiece_codec, token_counts
+from dealscope.llm import decontamination, line_dedup, ngram_join, quality_rules, sentencepiece_codec, token_counts
 from dealscope.llm.common import table
 from dealscope.llm.oracles import SQL
 
@@ -68,6 +68,11 @@ def op8_line_dedup(spark, sf_dir):
     )
 
 
+@query
+def op9_ngram_join(spark, sf_dir):
+    return ngram_join.linked(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "group_id", "n_links")
+
+
 @query
 def op10_token_counts(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")

@@ -22,6 +22,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql.types import LongType, StringType, StructField, StructType
@@ -192,7 +193,7 @@ def token_counts(docs: DataFrame, path: str) -> DataFrame:
         own = counter(path)
         for batch in slices(batches, "text", BATCH_BYTES):
             texts = [t or "" for t in batch.column("text").to_pylist()]
-            sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column("text")), 0).cast(pa.int64())
+            sizes = pc.fill_null(pc.binary_length(batch.column("text")), 0).cast(pa.int64())
             made = {"n_bytes": sizes, "n_tokens": pa.array(own.count(texts), pa.int64())}
             kept = {f.name: batch.column(f.name) for f in schema.fields if f.name not in made}
             yield pa.RecordBatch.from_pydict(kept | made)
