@@ -71,3 +71,14 @@ reach AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT r.x, l.y F
 SELECT d.doc_id, least(d.doc_id, coalesce(c.c, d.doc_id)) AS class_id, g.g AS group_id, coalesce(k.k, 0)::BIGINT AS n_links
 FROM d LEFT JOIN (SELECT x, min(y) AS c FROM l WHERE same GROUP BY x) c ON c.x = d.doc_id
 LEFT JOIN (SELECT x, count(*) AS k FROM l GROUP BY x) k ON k.x = d.doc_id JOIN (SELECT x, min(y) AS g FROM reach GROUP BY x) g ON g.x = d.doc_id"""
+
+SQL["op5_substring_dedup"] = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+w AS (SELECT doc_id, i, array_to_string(ws[i : i + 12], ' ') AS win FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 11)) AS i FROM d WHERE len(ws) >= 13)),
+f AS (SELECT win, min(doc_id) AS first FROM w GROUP BY win),
+gone AS (SELECT DISTINCT doc_id, p FROM (SELECT doc_id, unnest(range(i, i + 13)) AS p FROM w JOIN f USING (win) WHERE first < doc_id)),
+t AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS p FROM d),
+k AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS kept FROM t ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id),
+c AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id)
+SELECT d.doc_id, len(ws)::BIGINT AS n_words, coalesce(c.n, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN k USING (doc_id) LEFT JOIN c USING (doc_id)"""

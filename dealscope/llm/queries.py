@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dealscope.llm import decontamination, line_dedup, ngram_join, quality_rules, sentencepiece_codec, token_counts
+from dealscope.llm import decontamination, line_dedup, ngram_join, quality_rules, sentencepiece_codec, substring_dedup, token_counts
 from dealscope.llm.common import table
 from dealscope.llm.oracles import SQL
 
@@ -51,6 +51,13 @@ def op4_quality_rules(spark, sf_dir):
     )
 
 
+@query
+def op5_substring_dedup(spark, sf_dir):
+    return substring_dedup.dedup_substrings(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
 @query
 def op6_sentencepiece(spark, sf_dir):
     path = vocabulary(PIECES)
