@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dealscope.llm import decontamination, line_dedup, ngram_join, quality_rules, sentencepiece_codec, substring_dedup, token_counts
+from dealscope.llm import decontamination, line_dedup, ngram_join, pii, quality_rules, sentencepiece_codec, substring_dedup, token_counts
 from dealscope.llm.common import table
 from dealscope.llm.oracles import SQL
 
@@ -68,6 +68,16 @@ def op6_sentencepiece(spark, sf_dir):
     )
 
 
+@query
+def op7_pii(spark, sf_dir):
+    found = pii.spans(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", *[pii.counted(F.col("base"), kind).alias(f"n_{kind}") for kind in pii.BASE],
+        F.sha2(pii.listed(F.col("base")), 256).alias("base_sha256"),
+        pii.listed(F.concat("base", "added")).alias("spans"),
+    )
+
+
 @query
 def op8_line_dedup(spark, sf_dir):
     return line_dedup.dedup_lines(table(spark, sf_dir, "documents")).select(
