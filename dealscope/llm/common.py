@@ -67,6 +67,56 @@ def word_windows(hashes: Column, size: int) -> Column:
     ).otherwise(F.array().cast("array<bigint>"))
 
 
+#: matches whose positions are summed up together
+MATCH_BLOCK = 256
+
+
+def located(text: Column, pattern: str, keep: Callable[[Column], Column]) -> Column:
+    """start (from 0, in code points), match and the text before it back to the last match, of every match kept.
+
+    Positions are running sums of the lengths of matches and of the pieces between them, summed by blocks so that
+    a text of many matches takes no square of their number. A match is not empty.
+    """
+    length = lambda x: F.length(x["before"]) + F.length(x["match"])
+
+    def placed(found: Column, begin: Column) -> Column:
+        zero = F.struct(begin.alias("at"), F.array().cast("array<struct<start:int,match:string,before:string>>").alias("out"))
+
+        def add(state: Column, x: Column) -> Column:
+            start = state["at"] + F.length(x["before"])
+            one = F.struct(start.alias("start"), x["match"].alias("match"), x["before"].alias("before"))
+            kept = F.when(keep(x["match"]), F.concat(state["out"], F.array(one))).otherwise(state["out"])
+            return F.struct((state["at"] + length(x)).alias("at"), kept.alias("out"))
+
+        return F.aggregate(found, zero, add, lambda s: s["out"])
+
+    def in_blocks(found: Column) -> Column:
+        cut = F.transform(
+            F.sequence(F.lit(0), F.floor(F.size(found) / MATCH_BLOCK).cast("int")),
+            lambda k: F.slice(found, k * MATCH_BLOCK + 1, MATCH_BLOCK),
+        )
+        return let(
+            cut,
+            lambda blocks: let(
+                F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), lambda n, x: n + length(x))),
+                lambda sums: F.flatten(
+                    F.transform(
+                        blocks, lambda b, k: placed(b, F.aggregate(F.slice(sums, 1, k), F.lit(0), lambda n, x: n + x))
+                    )
+                ),
+            ),
+        )
+
+    both = F.struct(
+        F.split(text, pattern, -1).alias("before"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("match")
+    )
+    pairs = let(
+        both,
+        lambda x: F.transform(x["match"], lambda m, i: F.struct(m.alias("match"), F.get(x["before"], i).alias("before"))),
+    )
+    return let(pairs, in_blocks)
+
+
 def identified(docs: DataFrame, *columns: str) -> DataFrame:
     """doc_id, ``row_hash`` and the named columns: rows that agree in both are the same document twice."""
     return docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row_hash"), *columns)

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dealscope.llm.common import let
+from dealscope.llm.common import located
 
 _LOCAL, _LABEL = r"[A-Za-z0-9._%+-]", r"[A-Za-z0-9-]"
 #: kind -> pattern, in the order in which equal starts are listed
@@ -43,8 +43,6 @@ SIGN = {
 PRIOR = {"email": 0.9, "ip": 0.6, "card": 0.5, "phone": 0.6, "iban": 0.4, "ssn": 0.5, "account": 0.2}
 CHECKSUM_GAIN, CONTEXT_GAIN, CONTEXT_LOSS, REPORT = 0.4, 0.3, 0.3, 0.5
 CONTEXT = 40
-#: matches whose positions are summed up together
-BLOCK = 256
 #: fixed values: words that speak for and against a kind
 FOR = {
     "email": "e-?mail|contact|write", "ip": "ip|address|host|server", "card": "card|visa|credit|payment",
@@ -106,47 +104,9 @@ _SPAN = "array<struct<start:int,rank:int,kind:string,end:int,score:double>>"
 def _spans(kind: str, rank: int, pattern: str) -> Column:
     """The confirmed spans of one kind in ``text``."""
 
-    length = lambda x: F.length(x["before"]) + F.length(x["match"])
-
-    def placed(found: Column, begin: Column) -> Column:
-        """Start, match and piece before of the confirmed ones among ``found``, which begin at ``begin``."""
-        zero = F.struct(begin.alias("at"), F.array().cast("array<struct<start:int,match:string,before:string>>").alias("out"))
-
-        def add(state: Column, x: Column) -> Column:
-            start = state["at"] + F.length(x["before"])
-            one = F.struct(start.alias("start"), x["match"].alias("match"), x["before"].alias("before"))
-            kept = F.when(_confirmed(kind, x["match"]), F.concat(state["out"], F.array(one))).otherwise(state["out"])
-            return F.struct((state["at"] + length(x)).alias("at"), kept.alias("out"))
-
-        return F.aggregate(found, zero, add, lambda s: s["out"])
-
-    def in_blocks(found: Column) -> Column:
-        """``placed`` by blocks, so that a text of many matches takes no square of their number."""
-        cut = F.transform(F.sequence(F.lit(0), F.floor(F.size(found) / BLOCK).cast("int")), lambda k: F.slice(found, k * BLOCK + 1, BLOCK))
-        return let(
-            cut,
-            lambda blocks: let(
-                F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), lambda n, x: n + length(x))),
-                lambda sums: F.flatten(
-                    F.transform(
-                        blocks,
-                        lambda b, k: placed(b, F.aggregate(F.slice(sums, 1, k), F.lit(0), lambda n, x: n + x)),
-                    )
-                ),
-            ),
-        )
-
-    pairs = let(
-        F.struct(
-            F.split("text", pattern, -1).alias("before"),
-            F.regexp_extract_all("text", F.lit(pattern), F.lit(0)).alias("match"),
-        ),
-        lambda x: F.transform(
-            x["match"], lambda m, i: F.struct(m.alias("match"), F.get(x["before"], i).alias("before"))
-        ),
-    )
+    found = located(F.col("text"), pattern, lambda match: _confirmed(kind, match))
     spans = F.transform(
-        let(pairs, in_blocks),
+        found,
         lambda s: F.struct(
             s["start"].alias("start"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"),
             (s["start"] + F.length(s["match"])).alias("end"), _score(kind, s["before"]).alias("score"),

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dealscope.llm import decontamination, line_dedup, ngram_join, pii, quality_rules, sentencepiece_codec, substring_dedup, token_counts, url_filter
+from dealscope.llm import decontamination, line_dedup, ngram_join, pii, quality_rules, secret_scan, sentencepiece_codec, substring_dedup, token_counts, url_filter
 from dealscope.llm.common import table
 from dealscope.llm.oracles import SQL
 
@@ -47,6 +47,11 @@ def op2_url_filter(spark, sf_dir):
     return url_filter.judge(table(spark, sf_dir, "pages"))
 
 
+@query
+def op3_secret_scan(spark, sf_dir):
+    return secret_scan.scan(table(spark, sf_dir, "documents")).select("doc_id", "start", "end", "value", "score", "secret")
+
+
 @query
 def op4_quality_rules(spark, sf_dir):
     judged = quality_rules.judge(table(spark, sf_dir, "documents"))
