@@ -70,9 +70,8 @@ def op5_substring_dedup(spark, sf_dir):
 
 @query
 def op6_sentencepiece(spark, sf_dir):
-    path = vocabulary(PIECES)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    both = sentencepiece_codec.decode(sentencepiece_codec.encode(docs, path), path)
+    both = sentencepiece_codec.encode(docs, vocabulary(PIECES), decoded=True)
     return both.select(
         "doc_id", "n_tokens", "token_ids", F.col("decoded").eqNullSafe(F.translate("text", "\u2581", " ")).alias("round_trip")
     )

@@ -29,8 +29,8 @@ from dealscope.llm.common import slices
 
 SPACE = "▁"
 #: bytes of text in one batch, and words that a worker remembers
-BATCH_BYTES = 8_000_000
-REMEMBERED = 400_000
+BATCH_BYTES = 4_000_000
+REMEMBERED = 300_000
 _WORD = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
 
@@ -197,8 +197,11 @@ def _with(batch: pa.RecordBatch, **columns: pa.Array) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict(kept | columns)
 
 
-def encode(docs: DataFrame, path: str) -> DataFrame:
-    """All columns of ``docs`` with ``token_ids`` and ``n_tokens`` of ``text`` (a column of that name is replaced)."""
+def encode(docs: DataFrame, path: str, decoded: bool = False) -> DataFrame:
+    """All columns of ``docs`` with ``token_ids`` and ``n_tokens`` of ``text`` (a column of that name is replaced).
+
+    ``decoded`` adds the text that the ids decode to, worked out in the same pass.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path)
@@ -208,9 +211,15 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
             missing = pa.array([t is None for t in texts])
             offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
             ids = pa.ListArray.from_arrays(offsets, pa.array(flat, pa.int32()), mask=missing)
-            yield _with(batch, token_ids=ids, n_tokens=pa.array(sizes.astype(np.int64)))
-
-    fields = StructField("token_ids", ArrayType(IntegerType())), StructField("n_tokens", LongType())
+            made = {"token_ids": ids, "n_tokens": pa.array(sizes.astype(np.int64))}
+            if decoded:
+                parts = zip(texts, np.split(flat, offsets[1:-1]), strict=True)
+                made["decoded"] = pa.array([None if t is None else own.decode(part.tolist()) for t, part in parts], pa.string())
+            yield _with(batch, **made)
+
+    fields = [StructField("token_ids", ArrayType(IntegerType())), StructField("n_tokens", LongType())]
+    if decoded:
+        fields.append(StructField("decoded", StringType()))
     return docs.mapInArrow(run, _more(docs.schema, *fields))
 
 
