@@ -191,3 +191,10 @@ BENCHMARKS = {
         "fm_sector_typical": "90 days without activity = at risk",
     },
 }
+
+# fixed values: field, label and sign of the sections of a recommendation
+RECOMMENDATION_SECTIONS = (
+    ("priority_action", "PRIORITY ACTION", "🎯"),
+    ("risk_flag", "RISK FLAG", "⚠️"),
+    ("opportunity", "OPPORTUNITY", "💡"),
+)

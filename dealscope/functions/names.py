@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from dealscope import fixed_values as fv
 
 
@@ -52,36 +54,32 @@ def profile_type(name: str, kind: str) -> str | None:
     return "identifier" if _has(n, fv.PROFILE_ID_HINTS) else None
 
 
+_KEY = re.compile(
+    "(?:{})?(?P<core>.*?)(?:{})?".format("|".join(map(re.escape, fv.KEY_PREFIXES)), "|".join(map(re.escape, fv.KEY_SUFFIXES)))
+)
+
+
 def bare_key(name: str) -> str:
-    """Name without one key prefix and one key suffix, separators as blanks."""
-    n = name.lower().strip()
-    for prefix in fv.KEY_PREFIXES:
-        if n.startswith(prefix):
-            n = n[len(prefix):]
-            break
-    for suffix in fv.KEY_SUFFIXES:
-        if n.endswith(suffix):
-            n = n[: -len(suffix)]
-            break
-    return n.replace("_", " ").replace("-", " ").strip()
-
-
-def _common_subsequence(a: str, b: str) -> int:
-    row = [0] * (len(b) + 1)
-    for x in a:
-        diagonal = 0
-        for j, y in enumerate(b, 1):
-            diagonal, row[j] = row[j], diagonal + 1 if x == y else max(row[j], row[j - 1])
-    return row[-1]
+    """The words of a name between one key prefix and one key suffix, set apart by blanks."""
+    core = _KEY.fullmatch(name.strip().lower())["core"]
+    return core.translate(str.maketrans("_-", "  ")).strip()
+
+
+def _in_common(a: str, b: str) -> int:
+    """Length of the longest common subsequence, one machine word of matches per character of ``b``."""
+    places: dict[str, int] = {}
+    for i, c in enumerate(a):
+        places[c] = places.get(c, 0) | 1 << i
+    every = open_ = (1 << len(a)) - 1
+    for c in b:
+        hit = open_ & places.get(c, 0)
+        open_ = (open_ + hit | open_ - hit) & every
+    return len(a) - open_.bit_count()
 
 
 def name_similarity(a: str, b: str) -> float:
-    """1.0 for equal names, 0.95 for equal bare keys, else 2 LCS / (len a + len b)."""
-    if a.lower() == b.lower():
-        return 1.0
-    x, y = bare_key(a), bare_key(b)
-    if x == y:
-        return 0.95
-    if not x and not y:
-        return 1.0
-    return 2.0 * _common_subsequence(x, y) / (len(x) + len(y))
+    """Share of characters in common order between the bare keys; 0.95 if those agree, 1 if the names do."""
+    first, second = bare_key(a), bare_key(b)
+    if first != second:
+        return 2.0 * _in_common(first, second) / (len(first) + len(second))
+    return 1.0 if a.casefold() == b.casefold() else 0.95

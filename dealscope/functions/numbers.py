@@ -7,8 +7,12 @@ from pyspark.sql import functions as F
 
 
 def money(col: Column | str) -> Column:
-    """Two-decimal exact value: sums do not depend on task order."""
-    return (F.col(col) if isinstance(col, str) else col).cast("decimal(18,2)")
+    """Exact value to nine decimals, so that sums do not depend on task order; NaN is null.
+
+    A value of 1e21 or more raises instead of being lost.
+    """
+    value = F.col(col) if isinstance(col, str) else col
+    return F.when(~F.isnan(value), value).cast("decimal(30,9)")
 
 
 def money_sum(col: Column | str) -> Column:
@@ -17,7 +21,7 @@ def money_sum(col: Column | str) -> Column:
 
 def money_sum_double(col: Column | str) -> Column:
     """Sum as double, 0.0 when every value is null."""
-    return F.coalesce(money_sum(col), F.lit(0).cast("decimal(18,2)")).cast("double")
+    return F.coalesce(money_sum(col), F.lit(0).cast("decimal(30,9)")).cast("double")
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -25,10 +29,6 @@ def ratio(a: Column, b: Column) -> Column:
     return F.try_divide(a.cast("double"), b.cast("double"))
 
 
-def pct(a: Column, b: Column, digits: int = 2) -> Column:
-    return F.round(ratio(a, b) * 100, digits)
-
-
 def count_if(cond: Column) -> Column:
     return F.count_if(cond).cast("bigint")
 
@@ -39,8 +39,3 @@ def to_number(col: Column) -> Column:
     plain = text.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$")
     return F.when(plain, text.try_cast("double"))
 
-
-def is_missing(name: str, dtype: str) -> Column:
-    """Null, or NaN on floating columns."""
-    c = F.col(f"`{name}`")
-    return (c.isNull() | F.isnan(c)) if dtype in ("double", "float") else c.isNull()

@@ -13,11 +13,26 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SLOTS = 48
+MOST_SLOTS = 400
 SKETCH_ACCURACY = 1000
 
 
+def slot_number(df: DataFrame) -> int:
+    """Slots for a table: as many as a shuffle has partitions, between ``SLOTS`` and ``MOST_SLOTS``."""
+    return max(SLOTS, min(MOST_SLOTS, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+
+
+def cut_value(df: DataFrame, key: str) -> Column:
+    """A number that never decreases along the order of ``key``: itself, or a text's first seven bytes."""
+    if not isinstance(df.schema[key].dataType, T.StringType):
+        return F.col(key)
+    digits = F.rpad(F.hex(F.substring(F.encode(F.col(key), "utf-8"), 1, 7)), 14, "0")
+    return F.conv(digits, 16, 10).cast("bigint")
+
+
 def quantile_points(slots: int = SLOTS) -> list[float]:
     return [i / slots for i in range(1, slots)]
 
@@ -41,7 +56,7 @@ def slot_of(value: Column, bounds: Column, descending: bool = False) -> Column:
 def _bounds(df: DataFrame, values: list[str], key: str, slots: int) -> Column:
     """One-row subquery with the quantile bounds of every sort value and of the key."""
     named = [quantile_bounds(v, slots).alias(f"v{i}") for i, v in enumerate(values)]
-    return df.agg(F.struct(*named, quantile_bounds(key, slots).alias("k"))).scalar()
+    return df.agg(F.struct(*named, quantile_bounds(cut_value(df, key), slots).alias("k"))).scalar()
 
 
 def _placed(df: DataFrame, orders: list[tuple[str, bool]], key: str, slots: int) -> DataFrame:
@@ -50,7 +65,7 @@ def _placed(df: DataFrame, orders: list[tuple[str, bool]], key: str, slots: int)
     for i, (value, descending) in enumerate(orders):
         slot = slot_of(F.col(value), F.col(f"_o_bounds.v{i}"), descending)
         out = out.withColumn(f"_o_slot{i}", F.coalesce(slot, F.lit(0)))
-        inside_tie = F.size(F.filter(F.col("_o_bounds.k"), lambda b: b < F.col(key)))
+        inside_tie = F.size(F.filter(F.col("_o_bounds.k"), lambda b: b < cut_value(df, key)))
         part = F.when(F.col(f"_o_slot{i}") % 2 == 1, inside_tie)
         out = out.withColumn(f"_o_part{i}", F.coalesce(part, F.lit(0)))
     return out.drop("_o_bounds")
@@ -61,7 +76,7 @@ def with_global_order(
     value: str,
     key: str,
     descending: bool = True,
-    slots: int = SLOTS,
+    slots: int | None = None,
     position: str = "row_num",
     running: str | None = None,
     rows: str | None = None,
@@ -69,11 +84,11 @@ def with_global_order(
 ) -> DataFrame:
     """Row number by ``value`` then ``key`` ascending, and the running sum of ``value``.
 
-    ``value`` must be numeric and not null; ``key`` numeric and unique. With a
+    ``value`` must be numeric and not null; ``key`` unique, a number, date or text. With a
     decimal ``value`` the running sums are exact and independent of task order.
     """
     v, k = F.col(value), F.col(key)
-    placed = _placed(df, [(value, descending)], key, slots)
+    placed = _placed(df, [(value, descending)], key, slots or slot_number(df))
     place = ["_o_slot0", "_o_part0"]
     before = Window.orderBy(*place).rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.orderBy(*place).rowsBetween(
@@ -104,14 +119,14 @@ def with_global_order(
 
 
 def with_ntiles(
-    df: DataFrame, orders: list[tuple[str, str, bool]], key: str, tiles: int, slots: int = SLOTS
+    df: DataFrame, orders: list[tuple[str, str, bool]], key: str, tiles: int, slots: int | None = None
 ) -> DataFrame:
     """Add one ntile column per (value, name, descending) order.
 
     All orders share the bounds subquery and one pass for the slot counts, so the
     input is referenced three times however many orders are asked for.
     """
-    placed = _placed(df, [(v, d) for v, _, d in orders], key, slots)
+    placed = _placed(df, [(v, d) for v, _, d in orders], key, slots or slot_number(df))
     places = F.array(
         *[
             F.struct(

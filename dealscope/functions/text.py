@@ -61,25 +61,28 @@ def intent(question: Column) -> Column:
     return out.otherwise("aggregation")
 
 
-_SECTIONS = (
-    ("priority_action", "PRIORITY ACTION", "🎯", ("⚠️", "💡")),
-    ("risk_flag", "RISK FLAG", "⚠️", ("🎯", "💡")),
-    ("opportunity", "OPPORTUNITY", "💡", ("🎯", "⚠️")),
-)
+def recommendation_sections(text: Column) -> Column:
+    """The text behind each section's heading, up to the next section.
 
+    Headings carry a sign each; where no sign is followed by its label, the bare labels are the headings.
+    """
+    signs = [sign for _, _, sign in fv.RECOMMENDATION_SECTIONS]
+    any_label = "(?i)" + "|".join(label for _, label, _ in fv.RECOMMENDATION_SECTIONS)
 
-def recommendation_sections(text: Column) -> Column:
-    """Labelled sections, marked by signs or, when no sign form is found, by labels."""
-    labels = "|".join(label for _, label, _, _ in _SECTIONS)
-    marked, plain = [], []
-    for _, label, sign, ends in _SECTIONS:
-        until = "|".join(ends)
-        marked.append(strip(F.regexp_extract(text, rf"(?isu){sign}\s*{label}\s*:?\s*(.+?)(?=(?:{until})|$)", 1)))
-        plain.append(strip(F.regexp_extract(text, rf"(?is){label}\s*:?\s*(.+?)(?={labels}|$)", 1)))
-    found = F.concat(*marked) != ""
-    return F.struct(
-        *[F.when(found, m).otherwise(p).alias(s[0]) for m, p, s in zip(marked, plain, _SECTIONS)]
-    )
+    def behind(heading: str, stop: str) -> Column:
+        rest = F.get(F.split(text, rf"(?i){heading}\s*:?", 2), 1)
+        return strip(F.coalesce(F.split(rest, stop, 2)[0], F.lit("")))
+
+    signed, bare = [], []
+    for _, label, sign in fv.RECOMMENDATION_SECTIONS:
+        signed.append(behind(rf"{sign}\s*{label}", "|".join(s for s in signs if s != sign)))
+        bare.append(behind(label, any_label))
+    use_signs = F.concat(*signed) != ""
+    fields = [
+        F.when(text.isNotNull(), F.when(use_signs, x).otherwise(y)).alias(name)
+        for (name, _, _), x, y in zip(fv.RECOMMENDATION_SECTIONS, signed, bare, strict=True)
+    ]
+    return F.struct(*fields)
 
 
 RECOMMENDATION = "priority_action string, risk_flag string, opportunity string"
@@ -134,11 +137,6 @@ def short_hash(text: Column) -> Column:
     return F.substring(F.md5(text), 1, 16)
 
 
-def label(name: Column) -> Column:
-    """Title-case label of a snake-case name."""
-    return F.initcap(F.replace(name, F.lit("_"), F.lit(" ")))
-
-
 def site_root(url: Column) -> Column:
     return F.regexp_extract(url, r"^(https?://[^/?#]+)", 1)
 

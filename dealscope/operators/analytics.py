@@ -13,12 +13,14 @@ from dealscope import fixed_values as fv
 from dealscope.functions.dates import age_days, month_of, whole_days
 from dealscope.functions.numbers import (
     count_if,
+    money,
     money_sum,
     money_sum_double,
     ratio,
     to_number,
 )
 from dealscope.functions.ordering import with_global_order
+from dealscope.operators.profiling import kind_of
 
 
 def won(stage: str = "stage") -> Column:
@@ -33,7 +35,7 @@ def group_totals(df: DataFrame, key: str, value: str) -> DataFrame:
         .groupBy(key)
         .agg(
             money_sum(value).alias("_s"),
-            F.count(value).alias("_n"),
+            F.count(money(value)).alias("_n"),
             F.count("*").alias("row_count"),
         )
         .select(
@@ -196,11 +198,7 @@ def cycle_by_group(df: DataFrame, group: str) -> DataFrame:
 
 def numeric_matrix(df: DataFrame, label: str, key: str, n: int = 30) -> DataFrame:
     """Numeric columns of the first ``n`` rows by key, nulls as 0."""
-    numeric = [
-        f.name
-        for f in df.schema.fields
-        if f.dataType.typeName() in ("byte", "short", "integer", "long", "float", "double")
-    ]
+    numeric = [f.name for f in df.schema.fields if kind_of(f.dataType) == "number"]
     return df.select(label, *numeric).orderBy(key).limit(n).fillna(0)
 
 
@@ -214,7 +212,7 @@ def kpis(accounts: DataFrame, deals: DataFrame) -> DataFrame:
     by_deal = deals.agg(
         money_sum_double(F.when(~won(), F.col("deal_value"))).alias("open_value"),
         money_sum("deal_value").alias("_s"),
-        F.count("deal_value").alias("_n"),
+        F.count(money("deal_value")).alias("_n"),
     ).select("open_value", F.round(ratio(F.col("_s"), F.col("_n")), 4).alias("avg_deal_size"))
     by_account = accounts.agg(
         F.count_distinct("account_id").alias("accounts"), kpi_sum(accounts, "revenue").alias("revenue")

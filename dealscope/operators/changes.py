@@ -68,8 +68,8 @@ def register(registry: DataFrame, fingerprints: DataFrame) -> DataFrame:
 
 
 def row_changes(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Distinct rows only in new and only in old; different column sets share no row."""
-    if set(old.columns) != set(new.columns):
+    """Distinct rows only in new and only in old; tables of other columns or types share no row."""
+    if set(old.dtypes) != set(new.dtypes):
         added = new.distinct().agg(F.count("*").alias("rows_added"))
         removed = old.distinct().agg(F.count("*").alias("rows_removed"))
         return added.withColumn("rows_removed", removed.scalar())
@@ -91,8 +91,15 @@ def column_changes(old: DataFrame, new: DataFrame) -> dict[str, list[str]]:
 
 def _aligned(old: DataFrame, new: DataFrame, keys: list[str]) -> tuple[DataFrame, list[str]]:
     shared = [c for c in sorted(set(old.columns) & set(new.columns)) if c not in keys]
-    left = old.select(*[_name(k) for k in keys], *[F.col(_name(c)).alias(f"o_{c}") for c in shared])
-    right = new.select(*[_name(k) for k in keys], *[F.col(_name(c)).alias(f"n_{c}") for c in shared])
+    types = [dict((f.name, f.dataType) for f in df.schema.fields) for df in (old, new)]
+
+    def cell(column: str):
+        """The cell itself, or its text where the column's type has changed."""
+        value = F.col(_name(column))
+        return value if types[0][column] == types[1][column] else value.cast("string")
+
+    left = old.select(*[_name(k) for k in keys], *[cell(c).alias(f"o_{c}") for c in shared])
+    right = new.select(*[_name(k) for k in keys], *[cell(c).alias(f"n_{c}") for c in shared])
     return left.join(right, keys, "inner"), shared
 
 
@@ -120,27 +127,22 @@ def change_samples(old: DataFrame, new: DataFrame, keys: list[str], n: int = 3)
 def diff(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """One row with row, column and cell changes and the summary sentence.
 
-    Cell changes are reported when row counts match, as for a corrected table.
+    Rows are aligned by key, so cell changes count whatever the two sizes are; all
+    changed columns are named.
     """
     columns = column_changes(old, new)
     cells = cell_changes(old, new, keys).agg(
         F.coalesce(F.sum("changed_cells"), F.lit(0)).alias("n"),
         F.sort_array(F.collect_list("column")).alias("c"),
     )
-    sizes = old.agg(F.count("*").alias("o")).withColumn("n", new.agg(F.count("*")).scalar())
-    base = (
-        row_changes(old, new)
-        .withColumn("_s", sizes.select(F.struct("o", "n")).scalar())
-        .withColumn("_c", cells.select(F.struct("n", "c")).scalar())
-    )
-    same_size = F.col("_s.o") == F.col("_s.n")
+    base = row_changes(old, new).withColumn("_c", cells.select(F.struct("n", "c")).scalar())
     base = base.select(
         "rows_added",
         "rows_removed",
         F.lit(len(columns["new_columns"])).cast("bigint").alias("columns_added"),
         F.lit(len(columns["removed_columns"])).cast("bigint").alias("columns_removed"),
-        F.when(same_size, F.col("_c.n")).otherwise(F.lit(0)).cast("bigint").alias("changed_cells"),
-        F.when(same_size, F.array_join(F.slice("_c.c", 1, 3), ", ")).otherwise("").alias("changed_columns"),
+        F.col("_c.n").cast("bigint").alias("changed_cells"),
+        F.array_join("_c.c", ", ").alias("changed_columns"),
     )
     return base.withColumn("summary", summary_text())
 

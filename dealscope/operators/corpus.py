@@ -98,8 +98,10 @@ def nearest(
     return reduce(DataFrame.unionByName, parts)
 
 
-def assemble_context(hits: DataFrame, key: str, text: str, source: str, date: str | None = None) -> DataFrame:
-    """``[file (date)]`` blocks of the at most k hits per question, cut to 4000 characters."""
+def assemble_context(
+    hits: DataFrame, key: str, text: str, source: str, date: str | None = None, max_chars: int = fv.MAX_CONTEXT_CHARS
+) -> DataFrame:
+    """``[file (date)]`` blocks of the at most k hits per question, cut to ``max_chars`` characters."""
     dated = F.lit("")
     if date:
         dated = F.when(F.coalesce(F.col(date), F.lit("")) != "", F.concat(F.lit(" ("), F.col(date), F.lit(")"))).otherwise("")
@@ -107,7 +109,7 @@ def assemble_context(hits: DataFrame, key: str, text: str, source: str, date: st
     ordered = F.array_sort(F.collect_list(F.struct("distance", key, block.alias("block"))))
     return hits.groupBy("query_id").agg(ordered.alias("_b")).select(
         "query_id",
-        F.substring(F.array_join(F.col("_b.block"), fv.NOTE_SEPARATOR), 1, fv.MAX_CONTEXT_CHARS).alias("document_context"),
+        F.substring(F.array_join(F.col("_b.block"), fv.NOTE_SEPARATOR), 1, max_chars).alias("document_context"),
     )
 
 
@@ -134,11 +136,11 @@ def benchmark_categories(question: Column) -> Column:
     return F.array_distinct(F.concat(*hits))
 
 
-def benchmark_context(question: Column) -> Column:
-    """The matching benchmark sections, cut to 2000 characters; null if none."""
+def benchmark_context(question: Column, max_chars: int = fv.MAX_BENCHMARK_CHARS) -> Column:
+    """The matching benchmark sections, cut to ``max_chars`` characters; null if none."""
     texts = F.create_map(*[x for c in fv.BENCHMARKS for x in (F.lit(c), F.lit(benchmark_text(c)))])
     sections = F.transform(benchmark_categories(question), lambda c: F.element_at(texts, c))
-    joined = F.substring(F.array_join(sections, "\n\n"), 1, fv.MAX_BENCHMARK_CHARS)
+    joined = F.substring(F.array_join(sections, "\n\n"), 1, max_chars)
     return F.when(F.size(sections) > 0, joined)
 
 
@@ -262,12 +264,15 @@ def _prefixes(sets: DataFrame, threshold: float, spread: bool = False) -> DataFr
 
 def links(pages: DataFrame, key: str = "page_id") -> DataFrame:
     """Absolute links of each page, first use of each, page order kept in ``pos``."""
-    hrefs = F.regexp_extract_all("html", F.lit(r'<a\s[^>]*?href="([^"]*)"'), F.lit(1))
+    hrefs = F.regexp_extract_all("html", F.lit(r"""(?is)<a\s[^>]*?\bhref\s*=\s*(["'])(.*?)\1"""), F.lit(2))
     found = pages.select(
         key, tx.site_root(F.col("url")).alias("site"), F.posexplode(F.array_distinct(hrefs)).alias("pos", "href")
     )
-    absolute = F.when(F.col("href").startswith("/"), F.concat("site", "href")).when(
-        F.col("href").startswith("http"), F.col("href")
+    scheme = F.regexp_extract("site", "^([A-Za-z]+:)", 1)
+    absolute = (
+        F.when(F.col("href").startswith("//"), F.concat(scheme, "href"))
+        .when(F.col("href").startswith("/"), F.concat("site", "href"))
+        .when(F.col("href").rlike("(?i)^https?://"), F.col("href"))
     )
     return found.withColumn("link", absolute).filter(F.col("link").isNotNull()).drop("href")
 

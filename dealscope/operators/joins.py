@@ -15,6 +15,7 @@ from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from dealscope import fixed_values as fv
 from dealscope.functions.names import name_similarity
@@ -59,25 +60,53 @@ def _all_numbers(df: DataFrame, columns: list[str]) -> dict[str, bool]:
     return {c: bool(row[i]) for i, c in enumerate(columns)}
 
 
+def _key_form(field: T.StructField, as_number: bool = True) -> str:
+    """Comparable text of a cell: whole numbers by all their digits, whatever type they come in.
+
+    ``as_number`` reads texts that are numbers as such; other texts are trimmed.
+    """
+    kind, v = kind_of(field.dataType), _value(field)
+    whole = f"concat('n', CAST(CAST({v} AS DECIMAL(38,0)) AS STRING))"
+    if kind == "boolean":
+        return f"concat('n', CAST(CAST({v} AS INT) AS STRING))"
+    if kind == "number":
+        if field.dataType.typeName() in ("byte", "short", "integer", "long"):
+            return f"concat('n', CAST({v} AS STRING))"
+        if isinstance(field.dataType, T.DecimalType):
+            return f"IF({v} = floor({v}), {whole}, concat('n', rtrim('0', CAST({v} AS STRING))))"
+        return f"IF({v} = floor({v}) AND abs({v}) < 1e18, {whole}, concat('n', CAST({v} AS STRING)))"
+    if kind == "date":
+        return f"concat('d', CAST({v} AS STRING))"
+    text = f"trim(CAST({v} AS STRING))"
+    other = f"concat('s', {text})"
+    if not as_number:
+        return other
+    digits = f"{text} RLIKE '^[+-]?[0-9]{{1,38}}([.]0*)?$'"
+    plain = f"concat('n', CAST(CAST(regexp_extract({text}, '^[+-]?[0-9]+', 0) AS DECIMAL(38,0)) AS STRING))"
+    number = number_sql(_name(field.name))
+    return f"CASE WHEN {digits} THEN {plain} WHEN {number} IS NOT NULL THEN concat('n', CAST({number} AS STRING)) ELSE {other} END"
+
+
+def _comparable(left: DataFrame, right: DataFrame, left_col: str, right_col: str) -> tuple[str, str]:
+    """SQL of the two keys as they are compared: as they are, or in one text form if their types differ."""
+    a, b = ({f.name: f for f in df.schema.fields}[c] for df, c in ((left, left_col), (right, right_col)))
+    if a.dataType == b.dataType:
+        return _name(left_col), _name(right_col)
+    return _key_form(a), _key_form(b)
+
+
 def _keyed_values(df: DataFrame, columns: dict[str, int]) -> DataFrame:
     """(value, word, bit) rows: comparable text form of each cell and its column's bit.
 
-    Numbers compare as doubles (1 equals 1.0), everything else as trimmed text; a
-    text column counts as numbers only if all of its cells are.
+    Numbers compare by value (1 equals 1.0) with all digits, everything else as trimmed
+    text; a text column counts as numbers only if all of its cells are.
     """
     fields = {f.name: f for f in df.schema.fields}
     texts = [c for c in columns if kind_of(fields[c].dataType) in ("text",)]
     numeric_text = _all_numbers(df, texts)
     cells = []
     for c, bit in columns.items():
-        kind, v = kind_of(fields[c].dataType), _value(fields[c])
-        if kind in ("number", "boolean") or numeric_text.get(c):
-            number = number_sql(_name(c)) if c in texts else f"CAST({v} AS DOUBLE)"
-            value = f"concat('n', CAST({number} AS STRING))"
-        elif kind == "date":
-            value = f"concat('d', CAST({v} AS STRING))"
-        else:
-            value = f"concat('s', trim(CAST({v} AS STRING)))"
+        value = _key_form(fields[c], as_number=numeric_text.get(c, False))
         cells.append(f"struct({value} AS value, {bit // BITS} AS word, shiftleft(1L, {bit % BITS}) AS bit)")
     return df.selectExpr(f"inline(array({', '.join(cells)}))").filter("value IS NOT NULL")
 
@@ -169,13 +198,14 @@ def best_per_pair(candidates: list[Candidate], threshold: float = fv.JOIN_CONFID
 # --- join quality ------------------------------------------------------------------
 
 
-def _key_counts(df: DataFrame, column: str, n: str) -> DataFrame:
-    return df.groupBy(F.col(_name(column)).alias("key")).agg(F.count("*").alias(n))
+def _key_counts(df: DataFrame, key: str, n: str) -> DataFrame:
+    return df.groupBy(F.expr(key).alias("key")).agg(F.count("*").alias(n))
 
 
 def join_quality(left: DataFrame, right: DataFrame, left_col: str, right_col: str) -> DataFrame:
     """Shared keys, rows without a match on either side and expansion."""
-    both = _key_counts(left, left_col, "nl").join(_key_counts(right, right_col, "nr"), "key", "full_outer")
+    a, b = _comparable(left, right, left_col, right_col)
+    both = _key_counts(left, a, "nl").join(_key_counts(right, b, "nr"), "key", "full_outer")
     nl, nr = F.coalesce("nl", F.lit(0)), F.coalesce("nr", F.lit(0))
     matched = F.col("key").isNotNull() & (nl > 0) & (nr > 0)
     zero = F.lit(0).cast("bigint")
@@ -252,19 +282,25 @@ def equi_join(
     """Join on one key pair; broadcast or sort-merge is left to Spark's size checks.
 
     Equal key names give one key column, filled from either side. ``null_safe``
-    lets null keys match each other.
+    lets null keys match each other. Keys of different types are compared by value,
+    and a key column filled from both sides is then text.
     """
     if how not in JOIN_TYPES:
         raise ValueError(f"join type must be one of {JOIN_TYPES}")
     right = prefixed(right, right_table, left.columns, right_col)
-    mark = "__join_key"
-    other = right.withColumnRenamed(right_col, mark)
+    mark, form, left_form = "__join_key", "__join_form", "__left_form"
+    mixed = left.schema[left_col].dataType != right.schema[right_col].dataType
+    key_a, key_b = _comparable(left, right, left_col, right_col)
+    other = right.withColumn(form, F.expr(key_b)).withColumnRenamed(right_col, mark)
+    with_form = left.withColumn(left_form, F.expr(key_a))
+    same = F.col(left_form).eqNullSafe(F.col(form)) if null_safe else F.col(left_form) == F.col(form)
+    joined = with_form.join(other, same, how).drop(form, left_form)
     a, b = F.col(_name(left_col)), F.col(mark)
-    joined = left.join(other, a.eqNullSafe(b) if null_safe else a == b, how)
     if left_col == right_col:
-        key = F.coalesce(a, b).alias(left_col)
+        sides = [c.cast("string") for c in (a, b)] if mixed else [a, b]
+        key = (F.coalesce(*sides) if how in ("outer", "right") else a).alias(left_col)
         own = [key if c == left_col else F.col(_name(c)) for c in left.columns]
-        return joined.select(*own, *[F.col(_name(c)) for c in other.columns if c != mark])
+        return joined.select(*own, *[F.col(_name(c)) for c in right.columns if c != right_col])
     if right_col in left.columns:
         return joined.withColumnRenamed(mark, f"{right_table}__{right_col}")
     return joined.withColumnRenamed(mark, right_col)
@@ -286,7 +322,8 @@ def build_chain(
 
     The anchor is the most frequent left table (ties: more rows, if counts are
     given, else name order). A candidate whose tables are both in, or both out, is
-    skipped; a flipped candidate keeps the name of the table it really adds.
+    skipped; a flipped candidate keeps the name of the table it really adds. A column
+    that a clash has renamed is still found by its table and own name.
     """
     approved = [c for c in dict.fromkeys(candidates) if c.confidence >= threshold]
     if not approved:
@@ -297,14 +334,19 @@ def build_chain(
     sizes = row_counts or {}
     anchor = sorted(frequency, key=lambda t: (-frequency[t], -sizes.get(t, 0), t))[0]
     master, merged, applied = tables[anchor], {anchor}, []
+    shown = {(anchor, c): c for c in master.columns}
     for c in sorted(approved, key=lambda c: (c.left_table != anchor, *c.sort_key)):
         if c.left_table in merged and c.right_table not in merged:
-            new, l_col, r_col = c.right_table, c.left_col, c.right_col
+            new, held, r_col = c.right_table, (c.left_table, c.left_col), c.right_col
         elif c.right_table in merged and c.left_table not in merged:
-            new, l_col, r_col = c.left_table, c.right_col, c.left_col
+            new, held, r_col = c.left_table, (c.right_table, c.right_col), c.left_col
         else:
             continue
+        l_col, taken = shown[held], set(master.columns)
         master = equi_join(master, tables[new], l_col, r_col, c.join_type, new)
+        shown |= {(new, n): f"{new}__{n}" if n in taken else n for n in tables[new].columns}
+        if l_col == r_col:
+            shown[(new, r_col)] = l_col
         merged.add(new)
         applied.append(c)
     return Chain(master if applied else None, applied)

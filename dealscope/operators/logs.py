@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from dealscope import fixed_values as fv
@@ -43,25 +43,26 @@ def final_flags(log: DataFrame, threshold: int = fv.SCORE_THRESHOLD, allowed: in
     return log.join(ends, "query_id").withColumn("is_final", F.col("iteration") == end).drop("_hit", "_last")
 
 
-def log_rows(df: DataFrame) -> DataFrame:
-    """Query-log rows as stored; summaries keep 500 characters."""
-    return df.withColumn("result_summary", F.substring(F.coalesce("result_summary", F.lit("")), 1, 500))
+def log_rows(df: DataFrame, summary_chars: int = 500) -> DataFrame:
+    """Query-log rows as stored; summaries keep ``summary_chars`` characters."""
+    return df.withColumn("result_summary", F.substring(F.coalesce("result_summary", F.lit("")), 1, summary_chars))
 
 
-def call_rows(df: DataFrame) -> DataFrame:
-    """Call-log rows as stored; snippets keep 200, 200 and 400 characters."""
+def call_rows(df: DataFrame, system_chars: int = 200, user_chars: int = 200, response_chars: int = 400) -> DataFrame:
+    """Call-log rows as stored; each snippet keeps its number of characters."""
     return df.withColumns(
         {
-            "system_snippet": F.substring("system_snippet", 1, 200),
-            "user_snippet": F.substring("user_snippet", 1, 200),
-            "response_snippet": F.substring("response_snippet", 1, 400),
+            "system_snippet": F.substring("system_snippet", 1, system_chars),
+            "user_snippet": F.substring("user_snippet", 1, user_chars),
+            "response_snippet": F.substring("response_snippet", 1, response_chars),
         }
     )
 
 
-def recent(log: DataFrame, when: str, key: str, n: int = 20) -> DataFrame:
-    """The ``n`` latest rows, as a top-k."""
-    return log.orderBy(F.col(when).desc(), F.col(key).desc()).limit(n)
+def recent(log: DataFrame, when: str, key: str, n: int | None = 20) -> DataFrame:
+    """The ``n`` latest rows, as a top-k; all rows, latest first, without ``n``."""
+    ordered = log.orderBy(F.col(when).desc(), F.col(key).desc())
+    return ordered if n is None else ordered.limit(n)
 
 
 def patterns(stored: DataFrame, question_type: str | None = None) -> DataFrame:
@@ -164,27 +165,38 @@ def session_scores(answers: DataFrame) -> DataFrame:
 # --- actions and summaries -----------------------------------------------------------
 
 
-def number_in_session(actions: DataFrame, session: str, position: str) -> DataFrame:
-    """Running number of each action within its session.
+def number_in_session(
+    actions: DataFrame, session: str, position: str, ties: tuple[str, ...] = (), stretch: int = 1024
+) -> DataFrame:
+    """Running number 1, 2, ... of each action within its session, by position and then ``ties``.
 
-    ``position`` is the action's place on the fixed agenda (0 to 62). A session is
-    reduced to one bit set, and the number is the count of set bits before the
-    position, so a session of any size needs no sort.
+    A session is cut into stretches of ``stretch`` positions. Only the row counts of
+    its stretches are ordered together; rows are numbered inside their stretch, so a
+    session of any length is spread over many tasks. Null positions come last.
     """
-    present = actions.groupBy(session).agg(
-        F.bit_or(F.expr(f"shiftleft(1L, CAST({position} AS INT))")).alias("_set")
+    place = F.floor(F.col(position) / stretch)
+    cut = actions.withColumn("_stretch", F.coalesce(place.cast("bigint"), F.lit(2**62)))
+    earlier = Window.partitionBy(session).orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)
+    counts = cut.groupBy(session, "_stretch").agg(F.count("*").alias("_n"))
+    starts = counts.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).drop("_n")
+    starts = starts.withColumnsRenamed({session: "_session", "_stretch": "_of"})
+    inside = Window.partitionBy(session, "_stretch").orderBy(F.col(position).asc_nulls_last(), *ties)
+    numbered = cut.withColumn("_within", F.row_number().over(inside))
+    same = F.col(session).eqNullSafe(F.col("_session")) & (F.col("_stretch") == F.col("_of"))
+    return (
+        numbered.join(starts, same)
+        .withColumn("number", (F.col("_within") + F.col("_before")).cast("bigint"))
+        .drop("_stretch", "_of", "_session", "_within", "_before")
     )
-    number = F.expr(f"bit_count(_set & (shiftleft(1L, CAST({position} AS INT)) - 1)) + 1")
-    return actions.join(present, session).withColumn("number", number.cast("bigint")).drop("_set")
 
 
-def action_table(answers: DataFrame, session: str, position: str) -> DataFrame:
+def action_table(answers: DataFrame, session: str, position: str, ties: tuple[str, ...] = ()) -> DataFrame:
     """Actions with source question, flags, and open owner and due date."""
 
     def shown(name: str) -> Column:
         return F.coalesce(F.col(f"rec.{name}"), F.lit("—"))
 
-    numbered = number_in_session(answers, session, position)
+    numbered = number_in_session(answers, session, position, ties)
     return numbered.select(
         session,
         "number",
@@ -252,13 +264,14 @@ def transcript_lines(messages: DataFrame, session: str, turn: str) -> DataFrame:
     return messages.select(session, turn, F.posexplode(lines).alias("line_no", "line"))
 
 
-def call_summary(log: DataFrame) -> DataFrame:
-    """Calls, errors and latency per provider."""
+def call_summary(log: DataFrame, percentiles: tuple[int, ...] = (50, 95)) -> DataFrame:
+    """Calls, errors and latency per provider (percentiles to 1/10,000 of the ranks)."""
     return log.groupBy("provider").agg(
         F.count("*").alias("calls"),
         F.count("error").alias("errors"),
         F.round(ratio(F.sum("latency_ms"), F.count("latency_ms")), 4).alias("avg_latency_ms"),
         F.max("latency_ms").alias("max_latency_ms"),
+        *[F.percentile_approx("latency_ms", p / 100, 10_000).alias(f"p{p}_latency_ms") for p in percentiles],
     )
 
 

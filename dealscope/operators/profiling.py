@@ -60,7 +60,8 @@ def _missing(field: T.StructField) -> str:
 def _cell(field: T.StructField) -> tuple[str, str]:
     """Physical family of a column and its cell in that family.
 
-    Whole numbers keep all 64 bits in ``l``, fractions are in ``d``, dates as
+    Whole numbers keep all 64 bits in ``l``, decimals all digits in one family per
+    scale (``m2``, ...), floating numbers are in ``d``, dates as
     microseconds in ``t`` (no session time zone involved) and the rest in ``s``.
     """
     v = _value(field)
@@ -70,6 +71,8 @@ def _cell(field: T.StructField) -> tuple[str, str]:
         return "t", f"timestampdiff(MICROSECOND, {_EPOCH}, CAST({v} AS TIMESTAMP_NTZ))"
     if isinstance(field.dataType, _INTEGRAL):
         return "l", f"CAST({v} AS BIGINT)"
+    if isinstance(field.dataType, T.DecimalType):
+        return f"m{field.dataType.scale}", f"CAST({v} AS DECIMAL(38,{field.dataType.scale}))"
     if isinstance(field.dataType, _FLOATING):
         return "d", f"CAST({v} AS DOUBLE)"
     return "s", f"CAST({v} AS STRING)"
@@ -169,7 +172,7 @@ def _medians(counts: dict[str, DataFrame]) -> DataFrame:
     # use of the counts reads the same exchange
     number = F.when(F.col("n") > 0, F.col("value").cast("double")).alias("value")
     numbers = _union(
-        [counts[f].select("ordinal", number, "n") for f in ("l", "d") if f in counts]
+        [c.select("ordinal", number, "n") for family, c in counts.items() if family[0] in "ldm"]
     ).filter(F.col("value").isNotNull())
     limits = (
         numbers.groupBy("ordinal")

@@ -203,10 +203,17 @@ def driver_features(deals: DataFrame, lines: DataFrame, as_of: str) -> DataFrame
     )
 
 
-def cross_sell(deals: DataFrame, lines: list[str]) -> DataFrame:
-    """Q17: won value per account and line; accounts served by a single line."""
+def cross_sell(deals: DataFrame, lines: list[str] | None = None) -> DataFrame:
+    """Q17: won value per account and line; accounts served by a single line.
+
+    ``lines`` names columns that must be there; lines of the data that it lacks are
+    added, so no deal is left out. A deal without a line belongs to none.
+    """
+    found = deals.filter(won() & F.col("service_line").isNotNull())
+    seen = {r[0] for r in found.select("service_line").distinct().collect()}  # one name per line of service
+    lines = [*(lines or []), *sorted(seen - set(lines or []))]
     wide = (
-        deals.filter(won())
+        found
         .groupBy("account_id")
         .pivot("service_line", lines)
         .agg(money_sum("deal_value"))
@@ -238,14 +245,15 @@ def incomplete_deals(deals: DataFrame) -> DataFrame:
 
 
 def name_key(name: Column) -> Column:
-    """Account name reduced for matching: lower case, letters and digits only."""
-    return F.regexp_replace(F.lower(F.trim(name)), "[^a-z0-9]", "")
+    """Account name reduced for matching: lower case, letters and digits of any script."""
+    return F.regexp_replace(F.lower(name), r"[^\p{L}\p{M}\p{N}]", "")
 
 
 def duplicate_accounts(accounts: DataFrame, key: Column) -> DataFrame:
-    """Q20: normalised names held by more than one account, with counts, not lists."""
+    """Q20: normalised names held by more than one account, with counts, not lists; a name without any letter or digit matches none."""
     return (
         accounts.withColumn("name_key", key)
+        .filter(F.col("name_key") != "")
         .groupBy("name_key")
         .agg(
             F.count("*").alias("accounts"),

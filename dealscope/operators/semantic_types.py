@@ -125,20 +125,6 @@ class Inferred:
     cast: str | None = None
 
 
-class _Distinct:
-    """Distinct count of one column: sketch first, exact only near a threshold."""
-
-    def __init__(self, df: DataFrame, column: str, estimate: int) -> None:
-        self.df, self.column, self.estimate = df, column, estimate
-        self.exact: int | None = None
-
-    def above(self, threshold: float) -> bool:
-        margin = 4 * SKETCH_ERROR * max(threshold, 1)
-        if self.exact is None and abs(self.estimate - threshold) <= margin:
-            self.exact = self.df.agg(F.count_distinct(_name(self.column))).first()[0]
-        return (self.estimate if self.exact is None else self.exact) > threshold
-
-
 def _decide_text(name: str, e, strict: bool) -> tuple[str, str | None] | None:
     """The type of a text column by its counters; None when distinct values decide."""
     c, n = _name(name), max(e["non_null"], 1)
@@ -169,22 +155,23 @@ def _decide_number(name: str, strict: bool) -> str | None:
     return None if names.is_id_name(name) else "numeric"
 
 
-def _decide_distinct(name: str, number: bool, rows: int, non_null: int, distinct: _Distinct) -> str:
+def _decide_distinct(name: str, number: bool, rows: int, non_null: int, distinct: int) -> str:
     """Identifier by name and distinct values, else by category count."""
-    if names.is_id_name(name) and distinct.above(fv.MIN_ID_DISTINCT * max(non_null, 1)):
+    if names.is_id_name(name) and distinct > fv.MIN_ID_DISTINCT * max(non_null, 1):
         return "identifier"
     if number:
         return "numeric"
     limit = max(fv.MAX_CATEGORIES, fv.MAX_CATEGORY_RATIO * max(rows, 1))
-    return "text" if distinct.above(limit) else "categorical"
+    return "text" if distinct > limit else "categorical"
 
 
-def infer_types(df: DataFrame, strict_names: bool = False) -> dict[str, Inferred]:
+def infer_types(df: DataFrame, strict_names: bool = False, exact: bool = True) -> dict[str, Inferred]:
     """The decision per column.
 
-    One job counts the evidence of the text columns, a second one sketches the
-    distinct values of the columns that neither name nor evidence decides. The
-    driver sees one row of counters per column.
+    One job counts the evidence of the text columns, a second one the distinct values
+    of all columns that neither name nor evidence decides. ``exact=False`` takes a
+    sketch instead, off by about ``SKETCH_ERROR``, and shuffles no values. The driver
+    sees one row of counters per column.
     """
     fields = df.schema.fields
     counters = {}
@@ -209,13 +196,19 @@ def infer_types(df: DataFrame, strict_names: bool = False) -> dict[str, Inferred
         aggs = ["count(*) AS rows"]
         for i, f in enumerate(open_columns):
             v = _value(f)
-            aggs += [f"count({v}) AS n{i}", f"approx_count_distinct({v}, {SKETCH_ERROR}D) AS d{i}"]
+            aggs.append(f"count({v}) AS n{i}")
+            if not exact:
+                aggs.append(f"approx_count_distinct({v}, {SKETCH_ERROR}D) AS d{i}")
         row = df.selectExpr(*aggs).first()
+        if exact:
+            counts = value_counts({"open": df.select(*[_name(f.name) for f in open_columns])})
+            distinct = {r["ordinal"]: r["distinct_count"] for r in distinct_counts(counts).collect()}
+        else:
+            distinct = {i: row[f"d{i}"] for i in range(len(open_columns))}
         for i, f in enumerate(open_columns):
-            distinct = _Distinct(df, f.name, row[f"d{i}"])
             number = kind_of(f.dataType) == "number"
             decided[f.name] = (
-                _decide_distinct(f.name, number, row["rows"], row[f"n{i}"], distinct), None,
+                _decide_distinct(f.name, number, row["rows"], row[f"n{i}"], distinct.get(i, 0)), None,
             )
     return {
         f.name: Inferred(f.name, f.dataType.simpleString(), *decided[f.name]) for f in fields

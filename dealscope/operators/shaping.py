@@ -41,8 +41,19 @@ def preview(df: DataFrame, order: list[str], max_rows: int = 100) -> DataFrame:
     return df.orderBy(*order).limit(max_rows)
 
 
-def pivot(df: DataFrame, row: str, column: str, values: list[str], measures: dict[str, Column]) -> DataFrame:
-    """M2: cross-tab with given column values; two header levels are joined with " | "."""
+def pivot(
+    df: DataFrame, row: str, column: str, values: list[str] | None, measures: dict[str, Column]
+) -> DataFrame:
+    """M2: cross-tab; two header levels are joined with " | ".
+
+    ``values`` come first in the order given; values of the data that are not among
+    them follow, so no row is left out (nulls are headed "null").
+    """
+    seen = [r[0] for r in df.select(column).distinct().collect()]  # one name per column of the result
+    shown = F.coalesce(F.col(column).cast("string"), F.lit("null"))
+    df = df.withColumn(column, shown)
+    named = sorted({"null" if v is None else str(v) for v in seen} - set(values or []))
+    values = [*(values or []), *named]
     wide = df.groupBy(row).pivot(column, values).agg(*[m.alias(n) for n, m in measures.items()])
     if len(measures) == 1:
         return wide

@@ -98,14 +98,24 @@ def cell_changes(spark, sf):
     return ch.cell_changes(b.deals(spark, sf), _corrected(spark, sf), ["deal_id"])
 
 
-@query("u3_change_samples", "U3", with_sql("deals") + _CORRECTED + """, c AS (
-SELECT o.deal_id, 'stage' AS "column", o.stage AS old_value, n.stage AS new_value FROM deals o JOIN corrected n ON o.deal_id = n.deal_id WHERE o.stage <> n.stage)
-SELECT deal_id, "column", old_value, new_value FROM c ORDER BY deal_id LIMIT 3""")
+def _shown(column, side):
+    kind = "DECIMAL(18,2)" if column == "deal_value" else "VARCHAR"
+    return f"{side}.{column}::{kind}::VARCHAR"
+
+
+@query("u3_change_samples", "U3", with_sql("deals") + _CORRECTED + ", c AS (" + " UNION ALL ".join(
+    f"""SELECT o.deal_id, '{c}' AS "column", {_shown(c, 'o')} AS old_value, {_shown(c, 'n')} AS new_value
+ FROM deals o JOIN corrected n ON o.deal_id = n.deal_id WHERE o.{c} IS DISTINCT FROM n.{c}"""
+    for c in _COLUMNS if c != "deal_id") + """)
+SELECT deal_id, "column", old_value, new_value FROM (SELECT *, row_number() OVER (PARTITION BY "column" ORDER BY deal_id) AS rn FROM c) WHERE rn <= 3""")
 def change_samples(spark, sf):
-    picked = ["deal_id", "stage", "created"]
-    return ch.change_samples(
-        b.deals(spark, sf).select(*picked), _corrected(spark, sf).select(*picked), ["deal_id"]
-    )
+    samples = ch.change_samples(b.deals(spark, sf), _corrected(spark, sf), ["deal_id"])
+    number = F.col("column") == "deal_value"  # shown with two decimals on both engines
+
+    def shown(name):
+        return F.when(number, F.col(name).cast("decimal(18,2)").cast("string")).otherwise(F.col(name)).alias(name)
+
+    return samples.select("deal_id", "column", shown("old_value"), shown("new_value"))
 
 
 @query("u4_diff_summary", "U3 U4", with_sql("deals") + _CORRECTED + f""", c AS ({_CELLS}),
@@ -159,11 +169,15 @@ def stale_answers(spark, sf):
     return ch.stale_answers(answers, ch.classify(now, registry))
 
 
-@query("u5_processed_update", "U5 U3 U4", with_sql("deals") + _GROWN + """,
+_GROWN_CELLS = _CELLS.replace("JOIN corrected n", "JOIN grown n")
+
+
+@query("u5_processed_update", "U5 U3 U4", with_sql("deals") + _GROWN + f""", g AS ({_GROWN_CELLS}),
 s AS (SELECT (SELECT count(*) FROM (SELECT * FROM grown EXCEPT SELECT * FROM deals)) AS rows_added,
  (SELECT count(*) FROM (SELECT * FROM deals EXCEPT SELECT * FROM grown)) AS rows_removed)
-SELECT rows_added, rows_removed, 0::BIGINT AS columns_added, 0::BIGINT AS columns_removed, 0::BIGINT AS changed_cells, '' AS changed_columns,
- rows_added || ' new rows, ' || rows_removed || ' rows removed' AS summary FROM s""")
+SELECT rows_added, rows_removed, 0::BIGINT AS columns_added, 0::BIGINT AS columns_removed, changed_cells, changed_columns,
+ rows_added || ' new rows, ' || rows_removed || ' rows removed, ' || changed_cells || ' values corrected in ' || changed_columns AS summary
+FROM s, (SELECT sum(changed_cells)::BIGINT AS changed_cells, string_agg("column", ', ' ORDER BY "column") FILTER (changed_cells > 0) AS changed_columns FROM g)""")
 def processed_update(spark, sf):
     deals = b.deals(spark, sf)
     _, changes = ch.process_update(

@@ -177,21 +177,18 @@ def retrieval_bundle(spark, sf):
 
 
 @query("d17_similar_questions", "D17 X7", with_sql("questions") + f""",
-t AS (SELECT conv_id * 100 + turn AS question_id, {_TOKENS.format('left(question, length(phrase) + 12)')} AS a FROM questions),
-p AS (SELECT DISTINCT 'code_' || conv_id || '_' || turn AS code, {_TOKENS.format('left(question, length(phrase) + 16)')} AS s FROM questions),
+t AS (SELECT conv_id * 100 + turn AS question_id, {_TOKENS.format('question')} AS a FROM questions),
+p AS (SELECT DISTINCT 'code_' || conv_id || '_' || turn AS code, {_TOKENS.format("question || ' again'")} AS s FROM questions),
 j AS (SELECT question_id, code, len(list_intersect(a, s)) / len(list_distinct(list_concat(a, s)))::DOUBLE AS similarity FROM t, p),
 r AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY similarity DESC, code DESC) AS rn FROM j WHERE similarity >= 0.85)
 SELECT question_id, code, round(similarity, 9) AS similarity FROM r WHERE rn <= 3""")
 def similar_questions(spark, sf):
-    # questions and stored patterns differ in how much free text follows the stock phrase
+    # a stored pattern is a question with one word more
     q = b.questions(spark, sf)
-    asked = q.select(
-        (F.col("conv_id") * 100 + F.col("turn")).alias("question_id"),
-        F.left("question", F.length("phrase") + 12).alias("question"),
-    )
+    asked = q.select((F.col("conv_id") * 100 + F.col("turn")).alias("question_id"), "question")
     stored = q.select(
         F.format_string("code_%d_%d", "conv_id", "turn").alias("code"),
-        F.left("question", F.length("phrase") + 16).alias("question"),
+        F.concat("question", F.lit(" again")).alias("question"),
     )
     return cp.similar_patterns(asked, stored).withColumn("similarity", F.round("similarity", 9))
 
@@ -212,10 +209,10 @@ def chunk_upsert(spark, sf):
     return merged.select("id", "doc_id", F.md5("chunk").alias("chunk_md5"))
 
 
-_LINKS = r"""l AS (SELECT page_id, regexp_extract(url, '^(https?://[^/?#]+)', 1) AS site, regexp_extract_all(html, '<a\s[^>]*?href="([^"]*)"', 1) AS hs FROM pages),
+_LINKS = r"""l AS (SELECT page_id, regexp_extract(url, '^(https?://[^/?#]+)', 1) AS site, list_transform(regexp_extract_all(html, '(?is)<a\s[^>]*?\bhref\s*=\s*("[^"]*"|''[^'']*'')', 1), lambda q: q[2:-2]) AS hs FROM pages),
 d AS (SELECT page_id, site, h, min(i) AS i FROM (SELECT page_id, site, unnest(hs) AS h, unnest(range(0, len(hs))) AS i FROM l) GROUP BY 1, 2, 3),
 k AS (SELECT page_id, site, CAST(row_number() OVER (PARTITION BY page_id ORDER BY i) - 1 AS INT) AS pos,
- CASE WHEN starts_with(h, '/') THEN site || h WHEN starts_with(h, 'http') THEN h END AS link FROM d),
+ CASE WHEN starts_with(h, '//') THEN split_part(site, '//', 1) || h WHEN starts_with(h, '/') THEN site || h WHEN regexp_matches(lower(h), '^https?://') THEN h END AS link FROM d),
 links AS (SELECT * FROM k WHERE link IS NOT NULL)"""
 
 

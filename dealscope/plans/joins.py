@@ -111,18 +111,16 @@ def join_chain(spark, sf):
 def _joined(how):
     def plan(spark, sf):
         # the unmatched sides are visible: unclassified deals on the left, idle accounts on the right
-        left = b.deals_with_gaps(spark, sf).filter(F.col("deal_value") >= 250000).select(
-            "deal_id", "account_id", "deal_value"
-        )
-        right = b.accounts(spark, sf).filter(F.col("industry") != "BUILDING").select("account_id", "account_name")
+        left = b.deals_with_gaps(spark, sf).select("deal_id", "account_id", "deal_value")
+        right = b.accounts(spark, sf).select("account_id", "account_name")
         return jn.equi_join(left, right, "account_id", "account_id", how, "accounts")
 
     return plan
 
 
 for _how, _sql in (("left", "LEFT"), ("inner", "INNER"), ("outer", "FULL OUTER"), ("right", "RIGHT")):
-    query(f"d9_{_how}_join", "D9", with_sql("accounts", "deals") + f""", l AS (SELECT deal_id, account_id, deal_value FROM deals WHERE deal_value >= 250000),
-r AS (SELECT account_id, account_name FROM accounts WHERE industry <> 'BUILDING')
+    query(f"d9_{_how}_join", "D9", with_sql("accounts", "deals", "closed", "gaps") + f""", l AS (SELECT deal_id, account_id, deal_value FROM gaps),
+r AS (SELECT account_id, account_name FROM accounts)
 SELECT coalesce(l.account_id, r.account_id) AS account_id, deal_id, deal_value, account_name FROM l {_sql} JOIN r ON l.account_id = r.account_id""")(_joined(_how))
 
 

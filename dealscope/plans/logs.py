@@ -202,10 +202,10 @@ def weighted_scores(spark, sf):
 
 
 @query("m12_action_table", "M12 W9", f"""WITH {_ANSWERS}
-SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY position) AS number, section, priority_action, left(question, 80) AS source_question,
+SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY position, turn) AS number, section, priority_action, left(question, 80) AS source_question,
  risk_flag, opportunity, '' AS owner, '' AS due_date FROM answers""")
 def action_table(spark, sf):
-    return lg.action_table(answers(spark, sf), "conv_id", "position")
+    return lg.action_table(answers(spark, sf), "conv_id", "position", ("turn",))
 
 
 @query("m13_session_summary", "M13", f"""WITH {_ANSWERS},
@@ -312,8 +312,8 @@ def line_by_stage(spark, sf):
 
 
 _SCENARIO = """s AS (SELECT 'deals' AS metric, count(*)::DOUBLE AS b, count(*)::DOUBLE AS n FROM deals
- UNION ALL SELECT 'revenue', sum(CAST(deal_value AS DECIMAL(18,2)))::DOUBLE, sum(CAST(CAST(deal_value AS DECIMAL(18,4)) * 1.1 AS DECIMAL(18,2)))::DOUBLE FROM deals
- UNION ALL SELECT 'won_value', sum(CAST(deal_value AS DECIMAL(18,2))) FILTER (stage = 'Closed Won')::DOUBLE, sum(CAST(CAST(deal_value AS DECIMAL(18,4)) * 1.1 AS DECIMAL(18,2))) FILTER (stage = 'Closed Won')::DOUBLE FROM deals)"""
+ UNION ALL SELECT 'revenue', sum(CAST(deal_value AS DECIMAL(18,2)))::DOUBLE, sum(CAST(deal_value AS DECIMAL(18,4)) * 1.1)::DOUBLE FROM deals
+ UNION ALL SELECT 'won_value', sum(CAST(deal_value AS DECIMAL(18,2))) FILTER (stage = 'Closed Won')::DOUBLE, sum(CAST(deal_value AS DECIMAL(18,4)) * 1.1) FILTER (stage = 'Closed Won')::DOUBLE FROM deals)"""
 
 
 @query("m4_price_scenario", "M4 M3", with_sql("deals") + f""", {_SCENARIO}

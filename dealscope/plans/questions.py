@@ -184,7 +184,7 @@ SELECT account_id, """ + ", ".join(f'coalesce("{x}", 0) AS "{x}"' for x in LINES
     + ", concat_ws(', ', " + ", ".join(f"""CASE WHEN "{x}" IS NULL THEN '{x}' END""" for x in LINES)
     + ") AS missing_lines FROM p WHERE " + " + ".join(f'CASE WHEN "{x}" IS NULL THEN 0 ELSE 1 END' for x in LINES) + " = 1")
 def cross_sell_map(spark, sf):
-    return qs.cross_sell(b.deals(spark, sf), LINES)
+    return qs.cross_sell(b.deals(spark, sf))
 
 
 @query("q19_incomplete_deals", "Q19 C13", with_sql("deals", "closed", "gaps") + """
@@ -194,11 +194,11 @@ def incomplete_deals(spark, sf):
     return qs.incomplete_deals(b.deals_with_gaps(spark, sf))
 
 
-@query("q20_duplicate_accounts", "Q20", """
+@query("q20_duplicate_accounts", "Q20", r"""
 WITH a AS (SELECT c_name AS account_name FROM customer UNION ALL SELECT s_name FROM supplier UNION ALL SELECT p_name FROM part),
-k AS (SELECT account_name, regexp_replace(regexp_replace(lower(trim(account_name)), '[^a-z0-9]', '', 'g'), '^(customer|supplier)', '') AS name_key FROM a)
+k AS (SELECT account_name, regexp_replace(regexp_replace(lower(account_name), '[^\p{L}\p{M}\p{N}]', '', 'g'), '^(customer|supplier)', '') AS name_key FROM a)
 SELECT name_key, count(*) AS accounts, min(account_name) AS first_name, max(account_name) AS last_name
-FROM k GROUP BY 1 HAVING count(*) > 1""")
+FROM k WHERE name_key <> '' GROUP BY 1 HAVING count(*) > 1""")
 def duplicate_accounts(spark, sf):
     names = [
         table(spark, sf, t).select(F.col(c).alias("account_name"))

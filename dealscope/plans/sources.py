@@ -80,7 +80,8 @@ def json_lines(spark, sf):
 
 @query("a12_appended_log", "A11 A12 M20", """
 SELECT CASE role WHEN 'user' THEN 'local' ELSE 'cloud' END AS provider, 2 * count(*) AS calls, 2 * count(*) FILTER (role = 'system') AS errors,
- round(sum(length(text)) / count(*)::DOUBLE, 4) AS avg_latency_ms, max(length(text)) AS max_latency_ms FROM conversations GROUP BY 1""")
+ round(sum(length(text)) / count(*)::DOUBLE, 4) AS avg_latency_ms, max(length(text)) AS max_latency_ms,
+ quantile_disc(length(text), 0.5) AS p50_latency_ms, quantile_disc(length(text), 0.95) AS p95_latency_ms FROM conversations GROUP BY 1""")
 def appended_log(spark, sf):
     path = scratch_path(spark, "calls")
     calls = table(spark, sf, "conversations").select(
@@ -100,10 +101,10 @@ def appended_log(spark, sf):
 
 @query("a13_log_export", "A13 S5", """
 SELECT CAST(event_id AS VARCHAR) AS id, event_type AS question, CAST(user_id AS VARCHAR) AS iterations
-FROM (SELECT * FROM events ORDER BY ts DESC, event_id DESC LIMIT 10000)""")
+FROM events""")
 def log_export(spark, sf):
     path = scratch_path(spark, "export")
-    latest = lg.recent(table(spark, sf, "events"), "ts", "event_id", 10000)
+    latest = lg.recent(table(spark, sf, "events"), "ts", "event_id", n=None)
     src.write_csv(
         latest.select(F.col("event_id").alias("id"), F.col("event_type").alias("question"), F.col("user_id").alias("iterations")),
         path,

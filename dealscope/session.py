@@ -6,7 +6,7 @@ import functools
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 CHECKPOINT_SETTING = "spark.checkpoint.dir"
 
@@ -53,10 +53,3 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     """A new path below the shared folder, never used before."""
     return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
 
-
-def written(df: DataFrame, label: str) -> DataFrame:
-    """Cut lineage by writing ``df`` to the shared folder and reading it back."""
-    spark = df.sparkSession
-    path = scratch_path(spark, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)

@@ -35,23 +35,15 @@ def upsert(stream: DataFrame, table: str, base: str, checkpoint: str) -> None:
     """R2: write each micro-batch as one delta folder with its fingerprint.
 
     A batch costs its own rows only; the table is never rewritten. The folder is
-    named by the batch number, so a repeated batch replaces itself, and a batch
-    equal to one written before under another number is skipped.
+    named by the batch number, so a repeated batch replaces itself. Rows equal to an
+    older batch are written again: they may revert what came between.
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
         batch = batch.persist()
         prints = fingerprint(batch, table, "").withColumn("written_by", F.lit(number))
-        seen_path = f"{base}/fingerprints"
-        if path_exists(spark, seen_path):
-            seen = spark.read.parquet(seen_path).filter(F.col("written_by") != number)
-            repeated = prints.join(seen, ["col_hash", "row_hash"], "left_semi").count() > 0
-        else:
-            repeated = False
-        if not repeated:
-            batch.write.mode("overwrite").parquet(f"{base}/deltas/batch={number}")
-            prints.write.mode("overwrite").parquet(f"{seen_path}/batch={number}")
+        batch.write.mode("overwrite").parquet(f"{base}/deltas/batch={number}")
+        prints.write.mode("overwrite").parquet(f"{base}/fingerprints/batch={number}")
         batch.unpersist()
 
     _run(stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint))

@@ -92,9 +92,10 @@ def test_strict_names():
 
 
 def test_name_similarity():
-    assert names.name_similarity("Account_ID", "account_id") == 1.0
-    assert names.name_similarity("account_id", "account_key") >= 0.90
-    assert names.name_similarity("fax_number", "zip_code") < 0.50
+    assert names.name_similarity("Region_Key", "region_key") == 1.0
+    assert names.name_similarity("fk_region", "region_uuid") == 0.95
+    assert names.name_similarity("order-date", "order_data") == 2 * 9 / 20
+    assert names.name_similarity("qty", "memo") == 0.0
 
 
 @pytest.mark.parametrize(

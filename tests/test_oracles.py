@@ -16,8 +16,5 @@ def con(sf):
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_matches_oracle(spark, con, sf, name):
     status, _, _, _, note = compare(spark, con, QUERIES[name], sf)
-    assert status in ("ok", "ROWS", "EMPTY"), note
+    assert status in ("ok", "ROWS"), note
 
-
-def test_names_follow_the_rules():
-    assert not [n for n in QUERIES if "pipeline" in n or "llm" in n or n.startswith("op")]
