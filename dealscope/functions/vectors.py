@@ -20,7 +20,11 @@ def squared_distance(a: Column, b: Column) -> Column:
 
 def cosine(a: Column, b: Column) -> Column:
     """Cosine similarity, 0 when the product of the norms is about 0."""
-    norms = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
+    return cosine_of(a, b, F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
+
+
+def cosine_of(a: Column, b: Column, norms: Column) -> Column:
+    """X8 where the product of the norms is known."""
     return F.when(norms > 1e-9, dot(a, b) / norms).otherwise(0.0)
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from dealscope import fixed_values as fv
 from dealscope.functions import text as tx
 from dealscope.functions.ordering import first_per_group
-from dealscope.functions.vectors import distance
+from dealscope.functions.vectors import cosine_of, distance, dot
 
 QUERY_BLOCK = 64
 
@@ -82,11 +82,18 @@ def nearest(
     parts = []
     for start in range(0, len(queries), QUERY_BLOCK):
         block = ", ".join(
-            f"struct({qid} AS query_id, array({', '.join(f'{float(x)!r}D' for x in v)}) AS asked)"
+            f"struct({qid} AS query_id, array({', '.join(f'{float(x)!r}D' for x in v)}) AS asked, "
+            f"{math.sqrt(sum(float(x) ** 2 for x in v))!r}D AS size)"
             for qid, v in queries[start : start + QUERY_BLOCK]
         )
-        pairs = corpus.withColumn("_q", F.explode(F.expr(f"array({block})")))
-        pairs = pairs.withColumn("distance", distance(F.col(vector), F.col("_q.asked"), metric))
+        # a row's norm is worked out once, not once per asked vector
+        sized = corpus.withColumn("_size", F.sqrt(dot(F.col(vector), F.col(vector)))) if metric == "cosine" else corpus
+        pairs = sized.withColumn("_q", F.explode(F.expr(f"array({block})")))
+        if metric == "cosine":
+            apart = 1 - cosine_of(F.col(vector), F.col("_q.asked"), F.col("_size") * F.col("_q.size"))
+        else:
+            apart = distance(F.col(vector), F.col("_q.asked"), metric)
+        pairs = pairs.withColumn("distance", apart)
         pairs = pairs.select(
             F.col("_q.query_id").alias("query_id"),
             "distance",
@@ -282,15 +289,22 @@ def cap_per_source(items: DataFrame, source: str, order: list[str], n: int) -> D
     return first_per_group(items, [source], [F.col(c) for c in order], n)
 
 
+def page_text(html: Column) -> Column:
+    """The text of a page: scripts, styles, comments and tags become blanks, runs of blanks one."""
+    bare = F.regexp_replace(html, r"(?is)<script\b.*?</script>|<style\b.*?</style>|<title\b.*?</title>|<!--.*?-->", " ")
+    return F.trim(F.regexp_replace(F.regexp_replace(bare, r"(?s)<[^>]*>", " "), r"[ \t\r\n]+", " "))
+
+
 def article_records(pages: DataFrame, company: Column) -> DataFrame:
-    """Article text for the corpus and its file name."""
+    """Article text for the corpus and its file name; a page without text gives its title."""
     title = F.substring(tx.strip(F.regexp_extract("html", "(?is)<title>(.*?)</title>", 1)), 1, 200)
+    body = page_text(F.coalesce("html", F.lit("")))
     return pages.withColumn("title", title).withColumn("company", company).select(
         "page_id",
         "company",
         "title",
         tx.slug(F.col("title")).alias("slug"),
-        F.concat(F.lit("["), F.col("company"), F.lit(" News]\nTitle: "), F.col("title"), F.lit("\n\n"), F.col("title")).alias("record"),
+        F.concat(F.lit("["), F.col("company"), F.lit(" News]\nTitle: "), F.col("title"), F.lit("\n\n"), F.when(body != "", body).otherwise(F.col("title"))).alias("record"),
     )
 
 

@@ -228,7 +228,9 @@ def links_per_site(spark, sf):
 
 
 _ARTICLES = r"""a AS (SELECT page_id, url, regexp_extract(url, '^https?://([^/?#]+)', 1) AS company, substring(md5(url), 1, 16) AS url_hash,
- left(regexp_replace(regexp_extract(html, '(?is)<title>(.*?)</title>', 1), '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g'), 200) AS title FROM pages)"""
+ left(regexp_replace(regexp_extract(html, '(?is)<title>(.*?)</title>', 1), '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g'), 200) AS title,
+ trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script>', ' ', 'g'), '(?is)<style\b.*?</style>', ' ', 'g'),
+ '(?is)<title\b.*?</title>', ' ', 'g'), '(?s)<!--.*?-->', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g'), '[ \t\r\n]+', ' ', 'g')) AS body FROM pages)"""
 
 
 def _articles(spark, sf):
@@ -238,7 +240,7 @@ def _articles(spark, sf):
 
 @query("m19_article_records", "M19 X18", f"""WITH {_ARTICLES}
 SELECT page_id, company, title, left(regexp_replace(title, '[^\\p{{L}}\\p{{N}}_\\-]', '_', 'g'), 60) AS slug,
- '[' || company || ' News]' || chr(10) || 'Title: ' || title || chr(10) || chr(10) || title AS record FROM a""")
+ '[' || company || ' News]' || chr(10) || 'Title: ' || title || chr(10) || chr(10) || CASE WHEN body <> '' THEN body ELSE title END AS record FROM a""")
 def article_records(spark, sf):
     return _articles(spark, sf)
 

@@ -88,11 +88,11 @@ def review_json(spark, sf):
 
 
 @query("x17_code_blocks", "X17", """
-SELECT conv_id, turn, 'x = ' || length(text) || CASE role WHEN 'system' THEN chr(10) || 'import os; eval(x)' ELSE '' END AS code,
+SELECT conv_id, turn, 'x = "' || text || '"' || CASE role WHEN 'system' THEN chr(10) || 'import os; eval(x)' ELSE '' END AS code,
  CASE role WHEN 'system' THEN 'import os,eval(' ELSE '' END AS unsafe FROM conversations""")
 def code_blocks(spark, sf):
     code = F.concat(
-        F.lit("x = "), F.length("text").cast("string"),
+        F.lit('x = "'), F.col("text"), F.lit('"'),
         F.when(F.col("role") == "system", "\nimport os; eval(x)").otherwise(""),
     )
     fenced = F.concat(F.lit("Here is the code:\n```python\n"), code, F.lit("\n```\n"), F.col("text"))
@@ -276,18 +276,18 @@ def day_documents(spark, sf):
 # --- result shaping ---------------------------------------------------------------------
 
 
-@query("c1_row_search", "C1", """SELECT o_orderkey, o_orderpriority FROM orders WHERE regexp_matches(o_orderkey::VARCHAR, '(?i)urgent|77$')
- OR regexp_matches(o_custkey::VARCHAR, '(?i)urgent|77$') OR regexp_matches(o_orderstatus, '(?i)urgent|77$') OR regexp_matches(o_orderpriority, '(?i)urgent|77$')""")
+@query("c1_row_search", "C1", "SELECT o_orderkey, o_orderpriority FROM orders WHERE " + " OR ".join(
+    f"regexp_matches({c}::VARCHAR, '(?i)urgent|77$')"
+    for c in ("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority")))
 def row_search(spark, sf):
-    searched = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")
-    return sh.search(searched, "urgent|77$").select("o_orderkey", "o_orderpriority")
+    return sh.search(table(spark, sf, "orders"), "urgent|77$").select("o_orderkey", "o_orderpriority")
 
 
-@query("c2_preview_counts", "C2", """SELECT least(count(*) FILTER (regexp_matches(c_mktsegment, '(?i)auto') OR regexp_matches(c_name, '(?i)auto')), 100)::BIGINT AS shown,
- count(*) FILTER (regexp_matches(c_mktsegment, '(?i)auto') OR regexp_matches(c_name, '(?i)auto')) AS filtered, count(*) AS total FROM customer""")
+@query("c2_preview_counts", "C2", """WITH h AS (SELECT regexp_matches(concat_ws(chr(10), c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment), '(?i)auto|42') AS hit FROM customer)
+SELECT least(count(*) FILTER (hit), 100)::BIGINT AS shown, count(*) FILTER (hit) AS filtered, count(*) AS total FROM h""")
 def preview_counts(spark, sf):
-    df = table(spark, sf, "customer").select("c_custkey", "c_name", "c_mktsegment")
-    return sh.preview_counts(df, sh.search(df, "auto"), 100)
+    df = table(spark, sf, "customer")
+    return sh.preview_counts(df, sh.search(df, "auto|42"), 100)
 
 
 @query("c2_preview_rows", "C2", "SELECT c_custkey, c_name, c_acctbal FROM customer ORDER BY c_acctbal DESC, c_custkey LIMIT 5")

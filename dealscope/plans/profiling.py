@@ -190,11 +190,12 @@ def top_values(spark, sf):
 
 
 @query("e8_duplicate_rows", "E8", """
-SELECT 'lines' AS name, count(*) AS row_count, count(*) - count(DISTINCT (l_orderkey, l_linenumber, l_returnflag, l_linestatus)) AS duplicate_rows FROM lineitem
-UNION ALL SELECT 'parts', count(*), count(*) - count(DISTINCT (p_name, p_brand, p_type)) FROM part""")
+WITH twice AS (SELECT * FROM lineitem UNION ALL SELECT * FROM lineitem WHERE l_returnflag = 'R')
+SELECT 'lines' AS name, count(*) AS row_count, count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM twice)) AS duplicate_rows FROM twice
+UNION ALL SELECT 'parts', count(*), count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM part)) FROM part""")
 def duplicate_rows(spark, sf):
-    lines = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus")
-    parts = table(spark, sf, "part").select("p_name", "p_brand", "p_type")
+    lines, parts = table(spark, sf, "lineitem"), table(spark, sf, "part")
+    lines = lines.unionByName(lines.filter(F.col("l_returnflag") == "R"))  # returned lines entered again
     return pf.duplicate_rows(lines).withColumn("name", F.lit("lines")).unionByName(
         pf.duplicate_rows(parts).withColumn("name", F.lit("parts"))
     )
@@ -282,9 +283,11 @@ def column_statistics(spark, sf):
 @query("c7_sample_values", "C7", " UNION ALL ".join(
     f"""SELECT 'orders' AS "table", '{c}' AS "column", (SELECT array_to_string(list(x), '|') FROM
     (SELECT DISTINCT {c} AS x FROM orders ORDER BY x LIMIT 10)) AS samples, (SELECT count(DISTINCT {c}) FROM orders) AS distinct_count"""
-    for c in ("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority")))
+    for c in ("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority"))
+    + """ UNION ALL SELECT 'orders', 'o_orderdate', (SELECT array_to_string(list(strftime(x, '%Y-%m-%d %H:%M:%S')), '|') FROM
+    (SELECT DISTINCT o_orderdate AS x FROM orders ORDER BY x LIMIT 10)), (SELECT count(DISTINCT o_orderdate) FROM orders)""")
 def sample_values(spark, sf):
-    return pf.sample_values(table(spark, sf, "orders").drop("o_orderdate"), "orders")
+    return pf.sample_values(table(spark, sf, "orders"), "orders")
 
 
 _NULLS = "n AS (" + " UNION ALL ".join(

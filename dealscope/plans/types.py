@@ -69,12 +69,14 @@ UNION ALL SELECT 'accounts', 'account_id', {_id_case('account_id', 'accounts')}
 UNION ALL SELECT 'accounts', 'nation_id', {_id_case('nation_id', 'accounts')}
 UNION ALL SELECT 'accounts', 'revenue', 'currency'
 UNION ALL SELECT 'lineitem', 'l_discount', 'percentage' UNION ALL SELECT 'lineitem', 'l_tax', 'percentage'
+UNION ALL SELECT 'lineitem', 'l_orderkey', 'numeric' UNION ALL SELECT 'lineitem', 'l_partkey', 'numeric'
+UNION ALL SELECT 'lineitem', 'l_suppkey', 'numeric' UNION ALL SELECT 'lineitem', 'l_linenumber', 'numeric'
 UNION ALL SELECT 'lineitem', 'l_extendedprice', 'currency' UNION ALL SELECT 'lineitem', 'l_quantity', 'numeric'""")
 def numeric_types(spark, sf):
     frames = {
         "deals": b.deals(spark, sf).select("deal_id", "account_id", "deal_value"),
         "accounts": b.accounts(spark, sf).select("account_id", "nation_id", "revenue"),
-        "lineitem": table(spark, sf, "lineitem").select("l_discount", "l_tax", "l_extendedprice", "l_quantity"),
+        "lineitem": table(spark, sf, "lineitem").drop("l_returnflag", "l_linestatus", "l_shipdate"),
     }
     rows = [
         (name, t.column, t.semantic)

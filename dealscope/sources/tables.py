@@ -34,13 +34,22 @@ def write_csv(df: DataFrame, path: str) -> str:
     return path
 
 
+def _located(spark: SparkSession, path: str):
+    """A path and its file system: the one place that goes to Hadoop's classes (not there in Spark Connect)."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def make_folder(spark: SparkSession, path: str) -> None:
+    p, fs = _located(spark, path)
+    fs.mkdirs(p)
+
+
 def list_folder(spark: SparkSession, folder: str, suffix: str = ".csv") -> list[str]:
     """Names of the tables in a folder (not recursive): metadata, read through Hadoop's FS."""
-    jvm = spark._jvm
-    root = jvm.org.apache.hadoop.fs.Path(folder)
-    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    root, fs = _located(spark, folder)
     if not fs.exists(root):
-        raise FileNotFoundError(f"Folder not found: {folder}")
+        raise FileNotFoundError(f"no folder at {folder}")
     found = [s.getPath().getName() for s in fs.listStatus(root)]
     return sorted(n for n in found if n.lower().endswith(suffix))
 
@@ -85,28 +94,38 @@ def load_summary(status: DataFrame) -> DataFrame:
 def source_keys(df: DataFrame) -> DataFrame:
     """Cache key of each source file, from its path and modification time."""
     path, changed = F.col("_metadata.file_path"), F.col("_metadata.file_modification_time")
-    key = F.substring(F.sha1(F.concat_ws("::", path, F.unix_micros(changed).cast("string"))), 1, 16)
-    return df.select(path.alias("path"), key.alias("cache_key")).groupBy("path", "cache_key").agg(
-        F.count("*").alias("n_rows")
+    files = df.select(path.alias("path"), F.unix_micros(changed).alias("changed"))
+    key = F.substring(F.sha1(F.concat_ws("::", "path", F.col("changed").cast("string"))), 1, 16)
+    return files.groupBy("path", "changed").agg(F.count("*").alias("n_rows")).select("path", key.alias("cache_key"), "n_rows")
+
+
+def table_key(df: DataFrame) -> str:
+    """One key for all source files of a table, whatever their order; any file's change changes it."""
+    files = source_keys(df)
+    summed = files.agg(
+        F.count("*").alias("n"),
+        F.sum(F.conv("cache_key", 16, 10).cast("decimal(38,0)")).alias("s"),
+        F.bit_xor(F.xxhash64("path", "cache_key")).alias("x"),
     )
+    return summed.select(F.substring(F.sha1(F.concat_ws(":", "n", "s", "x")), 1, 16)).first()[0]
 
 
 def cached(spark: SparkSession, folder: str, key: str, build) -> DataFrame:
-    """The Parquet copy under ``key``; built and written once, then read."""
+    """The Parquet copy under ``key``; built and written once, then read. A broken write is written anew."""
     path = f"{folder}/{key}.parquet"
-    if not path_exists(spark, path):
-        build().write.mode("error").parquet(path)
+    if not path_exists(spark, f"{path}/_SUCCESS"):
+        build().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+    p, fs = _located(spark, path)
+    return fs.exists(p)
 
 
 def invalidate(spark: SparkSession, folder: str, key: str) -> bool:
-    p = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{key}.parquet")
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    p, fs = _located(spark, f"{folder}/{key}.parquet")
+    return fs.delete(p, True)
 
 
 def cached_keys(spark: SparkSession, folder: str) -> list[str]:
