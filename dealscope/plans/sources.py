@@ -224,10 +224,10 @@ def seen_registry(spark, sf):
     pages = table(spark, sf, "pages").select(F.substring(F.md5("url"), 1, 16).alias("url_hash"))
     pages.write.parquet(folder)
     target, checkpoint = scratch_path(spark, "seen"), scratch_path(spark, "seen-state")
-    st.ingest(st.unseen(st.new_files(spark, folder, pages.schema, "parquet"), "url_hash"), target, checkpoint)
+    st.ingest_unseen(st.new_files(spark, folder, pages.schema, "parquet"), "url_hash", target, checkpoint)
     pages.write.mode("append").parquet(folder)  # every page is found again
-    st.ingest(st.unseen(st.new_files(spark, folder, pages.schema, "parquet"), "url_hash"), target, checkpoint)
-    return spark.read.schema(pages.schema).parquet(target)
+    st.ingest_unseen(st.new_files(spark, folder, pages.schema, "parquet"), "url_hash", target, checkpoint)
+    return spark.read.parquet(target).select("url_hash")
 
 
 @query("r4_log_stream", "R4 S5", "SELECT event_id, event_type FROM events ORDER BY ts DESC, event_id DESC LIMIT 20")

@@ -79,12 +79,32 @@ def compact(spark: SparkSession, base: str, key: str, sequence: str) -> None:
         current(spark, base, key, sequence).write.mode("overwrite").parquet(target)
 
 
-def unseen(stream: DataFrame, hash_col: str, event_time: str | None = None, keep: str = "7 days") -> DataFrame:
-    """First item per hash across all runs.
+def unseen(stream: DataFrame, hash_col: str, event_time: str, keep: str = "7 days") -> DataFrame:
+    """First item per hash within the watermark, which bounds the state."""
+    return stream.withWatermark(event_time, keep).dropDuplicatesWithinWatermark([hash_col])
 
-    With an event time the state is bounded by the watermark; without one the
-    registry is remembered for good, as a list of seen items must be.
+
+def ingest_unseen(stream: DataFrame, hash_col: str, target: str, checkpoint: str) -> None:
+    """Append items whose hash the target does not hold yet, one per hash and for good.
+
+    The list of seen items is the target itself, joined once per batch; no state is
+    kept in the stream. The folder is named by the batch number and a batch looks
+    at older numbers only, so a repeated batch replaces itself.
     """
-    if event_time:
-        return stream.withWatermark(event_time, keep).dropDuplicatesWithinWatermark([hash_col])
-    return stream.dropDuplicates([hash_col])
+
+    def write(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        fresh = batch.dropDuplicates([hash_col])
+        if list_batches(spark, target):
+            held = spark.read.parquet(target).filter(F.col("batch") < number).select(hash_col)
+            fresh = fresh.join(held, hash_col, "left_anti")
+        fresh.write.mode("overwrite").parquet(f"{target}/batch={number}")
+
+    _run(stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint))
+
+
+def list_batches(spark: SparkSession, base: str) -> list[str]:
+    """Names of the batch folders below ``base``."""
+    if not path_exists(spark, base):
+        return []
+    return [n for n in list_folder(spark, base, "") if n.startswith("batch=")]

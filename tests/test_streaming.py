@@ -50,8 +50,7 @@ def test_seen_items_across_runs(spark):
     folder, target, state = (scratch_path(spark, n) for n in ("in", "out", "state"))
     for rows in ([(1, 1, "x"), (2, 2, "y")], [(1, 3, "x"), (3, 4, "z")]):
         land(spark, folder, rows)
-        stream = st.unseen(st.new_files(spark, folder, SCHEMA), "val").select("val")
-        st.ingest(stream, target, state)
+        st.ingest_unseen(st.new_files(spark, folder, SCHEMA).select("val"), "val", target, state)
     assert sorted(r["val"] for r in spark.read.parquet(target).collect()) == ["x", "y", "z"]
 
 
