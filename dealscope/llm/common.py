@@ -122,11 +122,6 @@ def identified(docs: DataFrame, *columns: str) -> DataFrame:
     return docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row_hash"), *columns)
 
 
-def same_row(left: DataFrame, right: DataFrame) -> Column:
-    """Join condition on the document key; a null id equals a null id."""
-    return left["doc_id"].eqNullSafe(right["doc_id"]) & (left["row_hash"] == right["row_hash"])
-
-
 def kept_rows(docs: DataFrame, keys: DataFrame, how: str) -> DataFrame:
     """Whole rows of ``docs`` with (left_semi) or without (left_anti) their key among ``keys``."""
     marked = docs.withColumn("_llm_row_hash", F.xxhash64("doc_id", "text"))

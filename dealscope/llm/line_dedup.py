@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dealscope.llm.common import NO_ID, durable, identified, let, same_row
+from dealscope.llm.common import NO_ID, durable, identified, let
 
 WINDOW = 3
 HAS_WORD = r"[^\x20\x09-\x0D]"
