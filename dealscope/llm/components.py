@@ -2,33 +2,41 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dealscope.llm.common import durable
 
 
+def _undirected(a: Column, b: Column) -> list[Column]:
+    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """node, root: for every end of an edge (a, b) the least node it is connected with.
+    """node, root: for every end of an edge (a, b) the least node it is connected with; ends are not null.
 
-    Each round takes the least root among the neighbours and then follows that root once more, so that the
-    number of rounds grows with the logarithm of a component's diameter. Rounds are written to the shared
-    folder; only the number of changes reaches the driver. Hubs are summed before they are shuffled, and the
-    joins read written tables, whose large keys Spark can split.
+    Each round merges every node into the first of its neighbours and itself in a hashed order, and draws the
+    edges between what is left, each once. Edges and nodes that remain shrink by a fraction per round, so rounds
+    grow with the logarithm of the graph. Rounds are written to the shared folder; only whether edges remain
+    reaches the driver. Hubs are summed before they are shuffled, and the joins read written tables, whose large
+    keys Spark can split.
     """
-    both = durable(edges.select("a", "b").union(edges.select("b", "a")).where(F.col("a") != F.col("b")).distinct())
-    roots = durable(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("root")))
-    while True:
-        told = both.join(roots, F.col("b") == F.col("node")).select(F.col("a").alias("node"), "root")
-        least = told.union(roots).groupBy("node").agg(F.min("root").alias("root"))
-        onward = roots.select(F.col("node").alias("via"), F.col("root").alias("further"))
-        after = durable(
-            least.join(onward, F.col("root") == F.col("via"), "left").select(
-                "node", F.least("root", F.coalesce("further", "root")).alias("root")
-            )
-        )
-        before = roots.select(F.col("node").alias("n"), F.col("root").alias("was"))
-        changed = after.join(before, F.col("node") == F.col("n")).where(F.col("root") != F.col("was")).count()
-        roots = after
-        if not changed:
-            return roots
+    order = lambda c: F.struct(F.xxhash64(c).alias("h"), F.col(c).alias("node"))
+    rest = durable(edges.where(F.col("a") != F.col("b")).select(*_undirected(F.col("a"), F.col("b"))).distinct())
+    labels = None
+    while rest.limit(1).count():
+        both = rest.union(rest.select("b", "a"))
+        first = both.groupBy("a").agg(F.min(order("b")).alias("first"))
+        into = durable(first.select(F.col("a").alias("node"), F.least("first", order("a"))["node"].alias("into")))
+        if labels is None:
+            labels = into.withColumnRenamed("into", "root")
+        else:
+            step = into.select(F.col("node").alias("root"), "into")
+            labels = durable(labels.join(step, "root", "left").select("node", F.coalesce("into", "root").alias("root")))
+        merged = rest.join(into.withColumnsRenamed({"node": "a", "into": "x"}), "a")
+        merged = merged.join(into.withColumnsRenamed({"node": "b", "into": "y"}), "b").where(F.col("x") != F.col("y"))
+        rest = durable(merged.select(*_undirected(F.col("x"), F.col("y"))).distinct())
+    if labels is None:
+        return rest.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    least = durable(labels.groupBy("root").agg(F.min("node").alias("least")))
+    return labels.join(least, "root").select("node", F.col("least").alias("root"))

@@ -7,7 +7,7 @@ prior the similarity after m matches of n has a Beta(m + 1, n - m + 1) posterior
 its probability of reaching the threshold falls below ``TOLERANCE``. What survives connects the classes into
 components, and inside a component every pair that survives the same pruning is verified on whole sets.
 
-No group is held by one task: buckets and components of more than ``BLOCK`` members are dealt out as pairs of
+No group is held by one task: buckets and components larger than a block are dealt out as pairs of
 blocks, and a task gives one row per member (its links, and a root of what it is linked with), not one per
 pair. Equal texts never meet as pairs.
 
@@ -37,7 +37,8 @@ THRESHOLD = (4, 5)
 BANDS, ROWS = 20, 3
 STEP = 12
 TOLERANCE = 1e-6
-BLOCK = 512
+#: members of a bucket, and of a component, that one task compares with as many others
+BLOCK, SET_BLOCK = 512, 128
 #: shingles hashed or multiplied at a time
 SLAB = 4096
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -131,9 +132,9 @@ def roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         root = new
 
 
-def _dealt(members: DataFrame, group: str) -> DataFrame:
+def _dealt(members: DataFrame, group: str, block: int) -> DataFrame:
     """``members`` (with ``size``, that of their group) repeated for each pair of blocks they belong to, by ``task``."""
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    blocks = F.ceil(F.col("size") / block).cast("int")
     own = F.pmod(F.xxhash64("key", F.lit(1)), F.col("blocks")).cast("int")
     spread = members.withColumn("blocks", blocks).withColumn("own", own)
     spread = spread.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -248,7 +249,7 @@ def _candidates(classes: DataFrame) -> DataFrame:
     bucketed = classes.select("key", F.explode(F.array(*bands)).alias("bucket"))
     shared = durable(bucketed.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1"))
     members = bucketed.join(shared, "bucket").join(classes.select("key", "sig"), "key")
-    return _dealt(members, "bucket").mapInArrow(_connect, "a binary, b binary")
+    return _dealt(members, "bucket", BLOCK).mapInArrow(_connect, "a binary, b binary")
 
 
 def linked(docs: DataFrame) -> DataFrame:
@@ -275,7 +276,7 @@ def linked(docs: DataFrame) -> DataFrame:
         (F.coalesce(texts["doc_id"], F.lit(NO_ID)) == reps["first.doc"]) & (texts["row_hash"] == reps["first.row"]),
     ).select("key", "found", "size", "copies", "sig", "text")
     sets = sets.mapInArrow(_sets, "key binary, found binary, size bigint, copies bigint, sig binary, shingles binary")
-    verified = durable(_dealt(sets, "found").mapInArrow(_verify, "key binary, links bigint, root binary"))
+    verified = durable(_dealt(sets, "found", SET_BLOCK).mapInArrow(_verify, "key binary, links bigint, root binary"))
     groups = components(verified.select(F.col("key").alias("a"), F.col("root").alias("b")))
     links = verified.groupBy("key").agg(F.sum("links").alias("links"))
     known = (
