@@ -51,7 +51,8 @@ FOR = {
 }
 AGAINST = "version|order|invoice|isbn|serial|page"
 
-_AT_MOST_255 = r"0*+(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2})"
+#: zeros may lead; the last of them is given back where nothing else stands
+_AT_MOST_255 = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2})"
 
 
 def luhn(digits: Column) -> Column:

@@ -7,7 +7,7 @@ import pytest
 pytest.importorskip("public_tokenizers")
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
-from test_operators import brute_hits, brute_lines, brute_links, brute_measures  # noqa: E402
+from test_text_operators import brute_hits, brute_lines, brute_links, brute_measures  # noqa: E402
 
 import __spark_entry__  # noqa: E402
 from dealscope.llm import line_dedup, quality_rules  # noqa: E402

@@ -302,7 +302,7 @@ def brute_spans(text):
         for m in re.finditer(pattern, text or ""):
             digits = re.sub("[^0-9]", "", m[0])
             fits = {
-                "email": lambda m=m: True, "ip": lambda m=m: all(int(x) <= 255 for x in m[0].split(".")),
+                "email": lambda m=m: True, "ip": lambda m=m: all(int(x.lstrip("0")[:4] or 0) <= 255 for x in m[0].split(".")),
                 "card": lambda d=digits: 14 <= len(d) <= 19 and luhn(d), "phone": lambda d=digits: 10 <= len(d) <= 15,
             }[kind]()
             if fits:
@@ -313,11 +313,12 @@ def brute_spans(text):
 def test_base_spans(documents, odd):
     draw = random.Random(5)
     pieces = [
-        "a@b.cc", "_x@d.ee", "@", ".", "1.2.3.4", "300.1.1.1", "0255.1.1.1", "4539578763621486", "4539 5787 6362 1486",
+        "a@b.cc", "_x@d.ee", "@", ".", "1.2.3.4", "300.1.1.1", "0255.1.1.1", "10.0.0.1", "0.0.0.0", "1.0.0.0", "00.0.00.1", "127.0.0.256", "4539578763621486", "4539 5787 6362 1486",
         "+1 (212) 555-8457", "+49", "-", " ", "  ", "é", "\U0001F600", "x", "12", "9", "+", "\n", "(", ")", "a.b@c-d.e.f",
     ]
     rows = [(i, "".join(draw.choice(pieces) for _ in range(draw.randint(0, 25)))) for i in range(800)]
-    rows += [(9000, "a.b@" * 3_000), (9001, "1.2." * 3_000), (9002, "1" * 30_000), (9003, "a@" + ".a" * 20_000), (9004, None)]
+    rows += [(9000, "a.b@" * 3_000), (9001, "1.2." * 3_000), (9002, "1" * 30_000), (9003, "a@" + ".a" * 20_000), (9004, None), (9005, "0" * 3_000 + ".1.1.1 " + "0" * 3_000)]
+    rows += [(9100 + i, t) for i, t in enumerate("10.0.0.1 127.0.0.1 0.0.0.0 192.168.1.20 008.8.8.8 1.0.0.0 00.0.00.1 0.0.0.256".split())]
     got = {r["doc_id"]: r["base"] for r in pii.spans(documents(rows)).select("doc_id", pii.listed(F.col("base")).alias("base")).collect()}
     assert got == {i: brute_spans(t) for i, t in rows}
     assert pii.spans(odd).count() == odd.count() and pii.spans(odd.where("false")).count() == 0
