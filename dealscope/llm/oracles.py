@@ -82,3 +82,27 @@ k AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS kept FROM t ANTI JOIN g
 c AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id)
 SELECT d.doc_id, len(ws)::BIGINT AS n_words, coalesce(c.n, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
 FROM d LEFT JOIN k USING (doc_id) LEFT JOIN c USING (doc_id)"""
+
+SQL["op12_filter_audit"] = r"""
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text,
+ regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+f AS (SELECT doc_id, part, (len(ws) < 100)::INT + 2 * (100 * len(list_distinct(ws)) < 80 * len(ws))::INT
+ + 4 * (100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 10 * length(text))::INT
+ + 8 * regexp_matches(text, '[#$%&*|]')::INT + 16 * (doc_id > min(doc_id) OVER (PARTITION BY text))::INT AS bits FROM d),
+l AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id),
+m AS (SELECT part, bits, count(*) AS n, sum(coalesce(good, 0)) AS g, sum(coalesce(toxic, 0)) AS t
+ FROM f LEFT JOIN l USING (doc_id) GROUP BY part, bits),
+x(letter, bit) AS (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)),
+o AS (SELECT a.letter || b.letter || c.letter || d.letter || e.letter AS filter_order, [a.bit, b.bit, c.bit, d.bit, e.bit] AS bs
+ FROM x a, x b, x c, x d, x e WHERE a.bit | b.bit | c.bit | d.bit | e.bit = 31),
+s AS (SELECT filter_order, step::INT AS step, bs[step] AS own, coalesce(list_sum(bs[1 : step - 1]), 0)::INT AS before
+ FROM o, (SELECT unnest(range(1, 6)) AS step)),
+c AS (SELECT part, filter_order, step, own, sum(CASE WHEN bits & (own | before) = 0 THEN n ELSE 0 END)::BIGINT AS kept,
+ sum(CASE WHEN bits & own > 0 AND bits & before = 0 THEN n ELSE 0 END)::BIGINT AS removed,
+ sum(CASE WHEN bits & own > 0 AND bits & before > 0 THEN n ELSE 0 END)::BIGINT AS redundant,
+ sum(CASE WHEN bits = own THEN n ELSE 0 END)::BIGINT AS unique_fails,
+ sum(CASE WHEN bits & own > 0 AND bits & before = 0 THEN g ELSE 0 END)::BIGINT AS good_lost,
+ sum(CASE WHEN bits & own > 0 AND bits & before = 0 THEN t ELSE 0 END)::BIGINT AS toxic_lost
+ FROM m, s GROUP BY part, filter_order, step, own)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+ (sum(removed) OVER (PARTITION BY part, own))::BIGINT AS shapley FROM c"""

@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dealscope.llm import decontamination, line_dedup, ngram_join, pii, quality_rules, secret_scan, sentencepiece_codec, substring_dedup, token_counts, url_filter
+from dealscope.llm import (
+    decontamination, filter_audit, license_scan, line_dedup, ngram_join, pii, quality_rules, secret_scan,
+    sentencepiece_codec, substring_dedup, token_counts, url_filter, whitening,
+)
 from dealscope.llm.common import table
 from dealscope.llm.oracles import SQL
 
@@ -104,3 +107,18 @@ def op10_token_counts(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     counted = token_counts.token_counts(docs, vocabulary(BYTE_PAIRS))
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"))
+
+
+@query
+def op11_license_scan(spark, sf_dir):
+    return license_scan.licenses(table(spark, sf_dir, "documents")).drop("spans")
+
+
+@query
+def op12_filter_audit(spark, sf_dir):
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op13_whitening(spark, sf_dir):
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))

@@ -69,7 +69,7 @@ def test_a_text_cut_to_nothing_goes(spark, sf, documents):
 def test_every_query_is_registered():
     known = __spark_entry__.queries()
     assert set(QUERIES) < set(known) and "pipeline" in known
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
     assert set(__spark_entry__.oracle_sql()) <= set(known)
 
 
