@@ -10,6 +10,8 @@ from dealscope.plans.bindings import table, with_sql
 from dealscope.plans.registry import query
 from dealscope.session import scratch_path
 from dealscope.sources import benchmarks as bm
+from dealscope.sources import loading as ld
+from dealscope.sources import notes as nt
 from dealscope.sources import tables as src
 from dealscope.streaming import ingest as st
 
@@ -28,7 +30,7 @@ def _folder(spark, sf):
     for name in ("customer", "nation", "supplier"):
         src.write_csv(table(spark, sf, name), f"{folder}/{name}.csv")
     src.make_folder(spark, f"{folder}/broken.csv")
-    return src.load_folder(spark, folder)
+    return folder
 
 
 @query("a3_folder_status", "A3", """
@@ -36,24 +38,70 @@ SELECT 'customer' AS name, 'loaded' AS status, 5 AS n_columns, count(*) AS n_row
 UNION ALL SELECT 'nation', 'loaded', 3, count(*) FROM nation UNION ALL SELECT 'supplier', 'loaded', 4, count(*) FROM supplier
 UNION ALL SELECT 'broken', 'failed', 0, 0""")
 def folder_status(spark, sf):
-    return _folder(spark, sf)[1].drop("error")
+    return ld.load(spark, _folder(spark, sf)).status.select("name", "status", "n_columns", "n_rows")
 
 
-@query("a5_load_summary", "A5", """
-SELECT 4::BIGINT AS files_found, 3::BIGINT AS files_loaded, 1::BIGINT AS files_failed,
- (SELECT count(*) FROM customer) + (SELECT count(*) FROM nation) + (SELECT count(*) FROM supplier) AS total_rows, 12::BIGINT AS total_columns""")
+@query("a5_load_summary", "A5 A6", """
+SELECT 4::BIGINT AS files_found, 3::BIGINT AS files_loaded, 1::BIGINT AS files_failed, 0::BIGINT AS bad_rows,
+ (SELECT count(*) FROM customer) + (SELECT count(*) FROM nation) + (SELECT count(*) FROM supplier) AS total_rows, 12::BIGINT AS total_columns,
+ hits::BIGINT AS cache_hits, 3::BIGINT - hits AS cache_misses, 'broken: no data files' AS errors FROM (VALUES (0), (2)) t(hits)""")
 def load_summary(spark, sf):
-    return src.load_summary(_folder(spark, sf)[1])
+    """The same folder twice; in between one table is written anew, so its copy no longer counts."""
+    folder, copies = _folder(spark, sf), scratch_path(spark, "copies")
+    first = ld.load_summary(ld.load(spark, folder, copies).status)
+    src.write_csv(table(spark, sf, "nation").repartition(2), f"{folder}/nation.csv")
+    return first.unionByName(ld.load_summary(ld.load(spark, folder, copies).status))
+
+
+@query("a3_bad_rows", "A3 A1", """
+WITH o AS (SELECT o_orderkey, o_custkey, o_orderstatus, o_orderkey % 7 = 0 AS bad, o_orderkey % 2 AS half FROM orders)
+SELECT half::INT AS half, 'good' AS kind, o_orderkey || '|' || o_custkey || CASE half WHEN 0 THEN '|' || o_orderstatus ELSE '' END AS record FROM o WHERE NOT bad
+UNION ALL SELECT half::INT, 'bad', o_orderkey || ',' || o_custkey || CASE half WHEN 0 THEN ',' || o_orderstatus ELSE '' END || ',one more' FROM o WHERE bad""")
+def bad_rows(spark, sf):
+    """A list of two paths into one folder each; one row in seven has a cell too many, one table lacks a column."""
+    orders, folder = table(spark, sf, "orders"), scratch_path(spark, "lines")
+    columns, paths = ["o_orderkey", "o_custkey", "o_orderstatus"], []
+    for half in (0, 1):
+        own = columns if half == 0 else columns[:2]
+        line = F.concat_ws(",", *own, F.when(F.col("o_orderkey") % 7 == 0, "one more")).alias(",".join(own))
+        paths.append(f"{folder}/half{half}.csv")
+        rows = orders.where(F.col("o_orderkey") % 2 == half).select(line)
+        rows.write.option("header", True).option("sep", "\x01").csv(paths[-1])
+    loaded = ld.load(spark, paths)
+    parts = [
+        df.select(F.lit(int(name[-1])).alias("half"), F.lit("good").alias("kind"), F.concat_ws("|", *df.columns).alias("record"))
+        for name, df in loaded.tables.items()
+    ]
+    bad = loaded.bad_rows.select(F.substring("name", -1, 1).cast("int").alias("half"), F.lit("bad").alias("kind"), "record")
+    return parts[0].unionByName(parts[1]).unionByName(bad)
+
+
+@query("a16_appended_notes", "A16", """
+WITH n AS (SELECT strftime(ts, '%Y%m%d') AS day, event_id % 3 AS load, event_id, event_type || ' ' || event_id AS note FROM events),
+r AS (SELECT *, row_number() OVER (PARTITION BY day ORDER BY load, event_id) AS rn FROM n)
+SELECT day, CAST(load + 1 AS INT) AS append, event_id AS seq, CASE WHEN rn = 1 THEN '' ELSE chr(10) || chr(10) || '---' || chr(10) || chr(10) END || note AS part FROM r""")
+def appended_notes(spark, sf):
+    """Three appends, each of them twice, and one that breaks off before its commit."""
+    events = table(spark, sf, "events")
+    notes = events.select(
+        F.date_format("ts", "yyyyMMdd").alias("day"), "event_id", F.concat_ws(" ", "event_type", "event_id").alias("note")
+    )
+    days = nt.DayNotes(spark, scratch_path(spark, "notes"))
+    for load in (0, 1, 2):
+        for _ in range(2):
+            days.append(f"load_{load}", notes.where(F.col("event_id") % 3 == load), "day", "event_id", "note")
+    notes.withColumnRenamed("event_id", "seq").write.parquet(f"{days.path}/parts/append=broken")
+    return days.parts().select("day", F.col("place.append.n").alias("append"), F.col("place.seq").alias("seq"), "part")
 
 
 @query("a6_parquet_copy", "A6 X20", """
-SELECT 16 AS key_length, 1::BIGINT AS keys, o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority FROM orders""")
+SELECT 16 AS key_length, 1::BIGINT AS keys, * FROM orders""")
 def parquet_copy(spark, sf):
     folder, orders = scratch_path(spark, "copies"), table(spark, sf, "orders")
     key = src.table_key(orders)
     src.cached(spark, folder, key, lambda: orders)
     again = src.cached(spark, folder, key, lambda: orders.limit(0))
-    return again.drop("o_orderdate").select(
+    return again.select(
         F.lit(len(key)).alias("key_length"), F.lit(len(src.cached_keys(spark, folder))).cast("bigint").alias("keys"), "*"
     )
 

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import contextlib
 import datetime as dt
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dealscope import fixed_values as fv
 from dealscope.operators.profiling import _name, _text
 
+NULL_CELLS = list(fv.NA_TOKENS)
 VERSION_FORMAT = "%Y%m%dT%H%M%S_%fZ"
 
 
@@ -54,41 +57,44 @@ def list_folder(spark: SparkSession, folder: str, suffix: str = ".csv") -> list[
     return sorted(n for n in found if n.lower().endswith(suffix))
 
 
-def load_folder(spark: SparkSession, folder: str) -> tuple[dict[str, DataFrame], DataFrame]:
-    """A3: one table per CSV in a folder plus a status row per file.
+def data_files(spark: SparkSession, path: str) -> list[tuple[str, int]]:
+    """Path and modification time of a file, or of the files in a folder that Spark would read; empty ones left out."""
+    root, fs = _located(spark, path)
+    if not fs.exists(root):
+        raise FileNotFoundError(f"no file or folder at {path}")
+    found = [s for s in fs.listStatus(root) if s.isFile() and s.getLen() and s.getPath().getName()[0] not in "._"]
+    return [(s.getPath().toString(), s.getModificationTime()) for s in found]
 
-    A file that cannot be read becomes a failed status row; the others load.
-    """
-    tables, status = {}, []
-    for name in list_folder(spark, folder):
-        stem = name.rsplit(".", 1)[0]
-        try:
-            tables[stem] = read_csv(spark, f"{folder}/{name}")
-            if not tables[stem].columns:
-                raise ValueError("no columns")
-            status.append((stem, "loaded", len(tables[stem].columns), None))
-        except Exception as exc:  # isolate the failure to this file
-            tables.pop(stem, None)
-            status.append((stem, "failed", 0, str(exc)[:200]))
-    rows = spark.createDataFrame(status, "name string, status string, n_columns int, error string")
-    counts = None
-    for stem, df in tables.items():
-        one = df.agg(F.count("*").alias("n_rows")).withColumn("name", F.lit(stem))
-        counts = one if counts is None else counts.unionByName(one)
-    if counts is None:
-        return tables, rows.withColumn("n_rows", F.lit(0).cast("bigint"))
-    return tables, rows.join(F.broadcast(counts), "name", "left").fillna({"n_rows": 0})
-
-
-def load_summary(status: DataFrame) -> DataFrame:
-    """A5: files found, loaded, failed, rows and columns."""
-    return status.agg(
-        F.count("*").alias("files_found"),
-        F.count_if(F.col("status") == "loaded").alias("files_loaded"),
-        F.count_if(F.col("status") == "failed").alias("files_failed"),
-        F.sum("n_rows").alias("total_rows"),
-        F.sum("n_columns").alias("total_columns"),
-    )
+
+@contextlib.contextmanager
+def opened(spark: SparkSession, path: str):
+    """The lines of a text file, read one by one as they are asked for (for headers)."""
+    p, fs = _located(spark, path)
+    java = spark._jvm.java.io
+    reader = java.BufferedReader(java.InputStreamReader(fs.open(p), "UTF-8"))
+    try:
+        yield iter(reader.readLine, None)
+    finally:
+        reader.close()
+
+
+def create_empty(spark: SparkSession, path: str) -> bool:
+    """Create an empty file in one step; False if it is there already."""
+    p, fs = _located(spark, path)
+    if fs.exists(p):
+        return False
+    try:
+        fs.create(p, False).close()
+    except Py4JJavaError:
+        if fs.exists(p):  # another writer was faster
+            return False
+        raise
+    return True
+
+
+def delete_path(spark: SparkSession, path: str) -> bool:
+    p, fs = _located(spark, path)
+    return fs.delete(p, True)
 
 
 def source_keys(df: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from dealscope.functions.ordering import first_per_group
 from dealscope.operators.changes import fingerprint
 from dealscope.sources.tables import list_folder, path_exists
+from dealscope.streaming.seen import SeenItems
 
 
 def new_files(spark: SparkSession, folder: str, schema, fmt: str = "csv", per_trigger: int = 100, **options) -> DataFrame:
@@ -84,21 +85,20 @@ def unseen(stream: DataFrame, hash_col: str, event_time: str, keep: str = "7 day
     return stream.withWatermark(event_time, keep).dropDuplicatesWithinWatermark([hash_col])
 
 
-def ingest_unseen(stream: DataFrame, hash_col: str, target: str, checkpoint: str) -> None:
-    """Append items whose hash the target does not hold yet, one per hash and for good.
+def ingest_unseen(stream: DataFrame, hash_col: str, target: str, checkpoint: str, **settings) -> None:
+    """Append items whose hash was not seen before, one per hash and for good.
 
-    The list of seen items is the target itself, joined once per batch; no state is
-    kept in the stream. The folder is named by the batch number and a batch looks
-    at older numbers only, so a repeated batch replaces itself.
+    Seen hashes are in a registry beside the items (``SeenItems``; ``settings`` go there), of which a batch reads
+    the partitions its own hashes fall in. Items and registry are folders named by the batch number, and a batch
+    looks at older numbers only, so a repeated batch replaces itself.
     """
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        fresh = batch.dropDuplicates([hash_col])
-        if list_batches(spark, target):
-            held = spark.read.parquet(target).filter(F.col("batch") < number).select(hash_col)
-            fresh = fresh.join(held, hash_col, "left_anti")
-        fresh.write.mode("overwrite").parquet(f"{target}/batch={number}")
+        seen = SeenItems(spark, f"{target}/_seen", **settings)
+        folder = f"{target}/batch={number}"
+        seen.unseen(batch.dropDuplicates([hash_col]), hash_col, number).write.mode("overwrite").parquet(folder)
+        seen.add(number, spark.read.schema(batch.schema).parquet(folder), hash_col)
 
     _run(stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint))
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from dealscope.operators import quality as ql
 from dealscope.session import scratch_path, shared_folder
 from dealscope.sources import benchmarks as bm
+from dealscope.sources import loading as ld
 from dealscope.sources import tables as src
 
 
@@ -22,7 +23,7 @@ def test_csv_reads_text_and_nulls(spark):
 
 def test_missing_folder(spark):
     with pytest.raises(FileNotFoundError):
-        src.load_folder(spark, scratch_path(spark, "none"))
+        ld.load(spark, scratch_path(spark, "none"))
 
 
 def test_parquet_copies(spark):
