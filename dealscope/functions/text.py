@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -158,24 +157,33 @@ def character_vector(column: str, lowered: str, dims: int = fv.EMBEDDING_DIMS) -
 
 
 _CHAR_CODES = np.frombuffer(fv.EMBEDDING_CHARS.encode(), dtype=np.uint8)
+#: bytes of text counted at a time
+_COUNT_BYTES = 4_000_000
 
 
-def character_vector_batch(texts: pd.Series) -> pd.Series:
-    """X11 for one Arrow batch; null texts have no vector.
+def character_vectors_of(texts: pa.StringArray, digests: pa.BinaryArray) -> pa.Array:
+    """X11 for one Arrow batch, from the texts and their MD5 digests; null texts have no vector.
 
-    All counted characters are ASCII, and no byte of another UTF-8 character is, so
-    one byte histogram per text gives every count.
+    All counted characters are ASCII, and no byte of another UTF-8 character is, so one two-dimensional byte
+    histogram (text by byte value) of the batch's buffer gives every count.
     """
-
-    def vector(text: str | None) -> np.ndarray | None:
-        if text is None:
-            return None
-        low = text.lower()
-        counts = np.bincount(np.frombuffer(low.encode(), dtype=np.uint8), minlength=128)
-        out = np.zeros(fv.EMBEDDING_DIMS)
-        out[: len(_CHAR_CODES)] = counts[_CHAR_CODES] / max(1, len(low))
-        digest = np.frombuffer(hashlib.md5(text.encode()).digest(), dtype=np.uint8)
-        out[len(_CHAR_CODES) : len(_CHAR_CODES) + len(digest)] = digest / 255.0
-        return out
-
-    return texts.map(vector)
+    # the one character whose small form takes more than one
+    low = pc.utf8_lower(pc.replace_substring(pc.fill_null(texts, ""), "\u0130", "i\u0307"))
+    sizes = pc.binary_length(low).to_numpy(zero_copy_only=False).astype(np.int64)
+    ends = np.cumsum(sizes)
+    out = np.zeros((len(low), fv.EMBEDDING_DIMS))
+    begin = 0
+    while begin < len(low):
+        end = max(begin + 1, int(np.searchsorted(ends, ends[begin] - sizes[begin] + _COUNT_BYTES, "right")))
+        part = np.frombuffer(b"".join(low[begin:end].cast(pa.binary()).to_pylist()), np.uint8)
+        row = np.repeat(np.arange(end - begin), sizes[begin:end])
+        counts = np.bincount(row * 256 + part, minlength=(end - begin) * 256).reshape(-1, 256)
+        # every character has one byte that is no continuation
+        length = counts.sum(axis=1) - counts[:, 0x80:0xC0].sum(axis=1)
+        out[begin:end, : len(_CHAR_CODES)] = counts[:, _CHAR_CODES] / np.maximum(1, length)[:, None]
+        begin = end
+    known = pc.is_valid(texts).to_numpy(zero_copy_only=False)
+    digest = np.frombuffer(b"".join(digests.drop_null().to_pylist()), np.uint8).reshape(-1, 16)
+    out[known, len(_CHAR_CODES) : len(_CHAR_CODES) + 16] = digest / 255.0
+    offsets = np.arange(len(out) + 1, dtype=np.int32) * fv.EMBEDDING_DIMS
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(out.ravel()), mask=pa.array(~known))

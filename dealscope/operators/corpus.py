@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from dealscope import fixed_values as fv
 from dealscope.functions import text as tx
@@ -46,15 +48,26 @@ def embed(
 ) -> DataFrame:
     """Vectors for a text column: the character vector, or a batch function of the caller.
 
-    The default runs on Arrow batches: one byte histogram per text is about ten
-    times faster than the 43 text replacements of the ``native`` JVM expression,
-    which stays available where no Python worker is wanted.
+    The default counts the bytes of a whole Arrow batch at once, beside digests that Spark works out; ``native`` is
+    the JVM expression (43 text replacements a row, about ten times slower), where no Python worker is wanted.
     """
     if native:
         lowered = df.withColumn("_low", F.lower(text))
         return lowered.withColumn(name, tx.character_vector(text, "_low")).drop("_low")
-    batch = F.pandas_udf(fn or tx.character_vector_batch, "array<float>" if fn else "array<double>")
-    return df.withColumn(name, batch(F.col(text)))
+    if fn:
+        return df.withColumn(name, F.pandas_udf(fn, "array<float>")(F.col(text)))
+
+    kept = [f for f in df.schema.fields if f.name != name]
+    schema = T.StructType([*kept, T.StructField(name, T.ArrayType(T.DoubleType()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            vectors = tx.character_vectors_of(batch.column("_text"), batch.column("_digest"))
+            columns = [batch.column(i) for i in range(len(kept))]
+            yield pa.RecordBatch.from_arrays([*columns, vectors], names=schema.names)
+
+    digest = F.unhex(F.md5(F.col(text))).alias("_digest")
+    return df.select(*[f.name for f in kept], F.col(text).alias("_text"), digest).mapInArrow(run, schema)
 
 
 def question_vectors(spark: SparkSession, questions: list[str]) -> list[tuple[int, list[float]]]:

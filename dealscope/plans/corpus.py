@@ -8,6 +8,7 @@ from dealscope import fixed_values as fv
 from dealscope.functions import text as tx
 from dealscope.functions.vectors import cosine
 from dealscope.operators import corpus as cp
+from dealscope.operators import vector_index as vi
 from dealscope.plans import bindings as b
 from dealscope.plans.bindings import PHRASES, table, with_sql
 from dealscope.plans.registry import query
@@ -176,6 +177,69 @@ def retrieval_bundle(spark, sf):
     return cp.retrieval_bundle(asked, cp.assemble_context(_search(spark, sf), "id", "chunk", "source"))
 
 
+_QUESTIONS = f"""{with_sql("questions")}, {_CHUNKS},
+cv AS MATERIALIZED (SELECT source, chunk, 'doc_' || doc_id || '_' || chunk_no AS id, {_vector_sql('chunk')} AS v FROM chunks),
+qv AS MATERIALIZED (SELECT conv_id * 100 + turn AS question_id, question, {_vector_sql('question')} AS q FROM questions),
+dq AS (SELECT DISTINCT q FROM qv),
+d AS (SELECT q, id, source, chunk, round(list_sum(list_transform(list_zip(v, q), lambda p: (p[1] - p[2]) * (p[1] - p[2]))), 9) AS distance FROM cv, dq),
+r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY distance, id) AS rn FROM d WHERE distance <= 1.2),
+hits AS (SELECT question_id, question, id, source, chunk, distance FROM r JOIN qv USING (q) WHERE rn <= 5)"""
+
+
+def _asked(spark, sf):
+    return b.questions(spark, sf).select((F.col("conv_id") * 100 + F.col("turn")).alias("question_id"), "question")
+
+
+def _question_search(spark, sf):
+    chunks = _chunks(spark, sf).select("id", "source", "chunk")
+    index = vi.build_index(cp.embed(chunks.select("id", "chunk"), "chunk"), "id", "vector")
+    found = vi.search(cp.embed(_asked(spark, sf), "question"), "question_id", "vector", index, max_distance=fv.MAX_DISTANCE)
+    return found, chunks
+
+
+@query("d18_question_index", "D18 X11", _QUESTIONS + " SELECT question_id, id, round(distance, 6) AS distance FROM hits")
+def question_index(spark, sf):
+    """A table of questions against all chunks by the vector index."""
+    hits = _question_search(spark, sf)[0].hits
+    return hits.select(F.col("question").alias("question_id"), F.col("key").alias("id"), F.round("distance", 6).alias("distance"))
+
+
+@query("d18_pairs_computed", "D18", _QUESTIONS + """ SELECT (SELECT count(*) FROM qv) AS questions, (SELECT count(*) FROM cv) AS corpus,
+ (SELECT count(*) FROM qv) * (SELECT count(*) FROM cv) AS all_pairs, true AS fewer""")
+def pairs_computed(spark, sf):
+    """The pairs that the index looks at stay below questions x corpus."""
+    work = _question_search(spark, sf)[0].work
+    return work.select("questions", "corpus", "all_pairs", (F.col("pairs_computed") < F.col("all_pairs")).alias("fewer"))
+
+
+_NEIGHBOURS = """WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
+d AS (SELECT a.vec_id AS question, b.vec_id AS key, round(list_sum(list_transform(list_zip(a.v, b.v), lambda p: (p[1] - p[2]) * (p[1] - p[2]))), 9) AS distance FROM e a, e b),
+r AS (SELECT *, row_number() OVER (PARTITION BY question ORDER BY distance, key) AS rn FROM d)
+SELECT question, key, round(distance, 6) AS distance FROM r WHERE rn <= 10"""
+
+
+@query("d18_neighbour_graph", "D18", _NEIGHBOURS)
+def neighbour_graph(spark, sf):
+    """The ten nearest vectors of every vector, itself included."""
+    vectors = table(spark, sf, "embeddings")
+    index = vi.build_index(vectors, "vec_id", "embedding")
+    hits = vi.search(vectors, "vec_id", "embedding", index, k=10).hits
+    return hits.select("question", "key", F.round("distance", 6).alias("distance"))
+
+
+@query("m18_question_bundles", "M18 M17 D15", f"""{_QUESTIONS}, {_BENCH}, q AS (SELECT question_id AS qid, question FROM qv), {_BENCH_CTX},
+ctx AS (SELECT question_id, substring(string_agg('[' || source || ']' || chr(10) || chunk, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY distance, id), 1, 4000) AS document_context
+ FROM hits GROUP BY 1)
+SELECT question_id AS query_id, coalesce(document_context, '') AS document_context, benchmark_context, benchmark_context IS NOT NULL AS has_benchmark
+FROM qv LEFT JOIN ctx USING (question_id) LEFT JOIN bc ON question_id = qid""")
+def question_bundles(spark, sf):
+    """Contexts for every question of the table."""
+    found, chunks = _question_search(spark, sf)
+    hits = found.hits.select(F.col("question").alias("query_id"), F.col("key").alias("id"), "distance").join(chunks, "id")
+    contexts = cp.assemble_context(hits, "id", "chunk", "source")
+    return cp.retrieval_bundle(_asked(spark, sf).withColumnRenamed("question_id", "query_id"), contexts)
+
+
 @query("d17_similar_questions", "D17 X7", with_sql("questions") + f""",
 t AS (SELECT conv_id * 100 + turn AS question_id, {_TOKENS.format('question')} AS a FROM questions),
 p AS (SELECT DISTINCT 'code_' || conv_id || '_' || turn AS code, {_TOKENS.format("question || ' again'")} AS s FROM questions),
