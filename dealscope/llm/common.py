@@ -15,6 +15,8 @@ from dealscope.session import shared_folder
 WORD = r"[^\x20\x09-\x0D]+"
 #: rows up to which a table may be broadcast; counted before the hint is given
 BROADCAST_ROWS = 200_000
+#: rows of a small table that go to one file
+ROWS_A_FILE = 20_000
 #: id of rows without one; it sorts after every other
 NO_ID = 2**63 - 1
 
@@ -23,9 +25,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared checkpoint folder, so that a lost executor loses none of it."""
+def durable(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """``df`` written to the shared checkpoint folder, so that a lost executor loses none of it.
+
+    ``rows``: about how many narrow rows it has, where that is known. A table too small for all shuffle partitions
+    is written as few files and not as one per partition.
+    """
     context = df.sparkSession.sparkContext
+    if rows is not None and (files := rows // ROWS_A_FILE + 1) < partitions(df.sparkSession):
+        df = df.repartition(files)
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()

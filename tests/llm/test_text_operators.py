@@ -227,8 +227,27 @@ def test_contamination(spark, documents, mixed_rows):
 def test_contamination_without_broadcast(spark, documents, mixed_rows, monkeypatch):
     bench = spark.createDataFrame([(1, mixed_rows[0][1]), (2, "x y")], "item_id bigint, text string")
     want = decontamination.contamination(documents(mixed_rows), bench).collect()
-    monkeypatch.setattr(decontamination, "checked_broadcast", lambda df: df)
+    monkeypatch.setattr(decontamination, "BROADCAST_GRAMS", 0)
     assert sorted(want) == sorted(decontamination.contamination(documents(mixed_rows), bench).collect())
+    assert decontamination.contamination(documents(mixed_rows), bench.where("false")).where("n_hit > 0").count() == 0
+
+
+def test_many_ngrams_and_a_long_text(spark, documents, monkeypatch):
+    """Both ways agree on 20,001 n-grams, one of them held by 2,000 items, and a text of 20,000 words."""
+    draw = random.Random(11)
+    long = " ".join(f"w{draw.randrange(3_000)}" for _ in range(20_000))
+    ws = long.split()
+    items = [(i, " ".join(ws[10 * i : 10 * i + 22])) for i in range(1_990)]
+    items += [(10_000 + i, " ".join(f"q{i}x{j}" for j in range(14))) for i in range(50)] + [(20_000 + i, "one shared item") for i in range(2_000)]
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    rows = [(1, long), (2, "here is One Shared Item again"), (3, "nothing of it"), (4, "One shared one shared item")]
+    got = sorted(decontamination.contamination(documents(rows), bench).select("doc_id", "n_words", "n_hit", "items", "contaminated").collect())
+    assert [(r["doc_id"], r["n_words"]) for r in got] == [(1, 20_000), (2, 6), (3, 3), (4, 5)]
+    assert got[0]["n_hit"] == len({p for i in range(1_990) for p in range(10 * i, min(10 * i + 22, 20_000))}) and len(got[0]["items"]) == 1_990
+    assert [len(r["items"]) for r in got[1:]] == [2_000, 0, 2_000] and [r["n_hit"] for r in got[1:]] == [3, 0, 3]
+    monkeypatch.setattr(decontamination, "BROADCAST_BYTES", 1_000)
+    again = decontamination.contamination(documents(rows), bench).select("doc_id", "n_words", "n_hit", "items", "contaminated")
+    assert sorted(again.collect()) == got
 
 
 def test_spans_are_cut(spark, documents):
