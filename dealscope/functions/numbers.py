@@ -39,3 +39,33 @@ def to_number(col: Column) -> Column:
     plain = text.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$")
     return F.when(plain, text.try_cast("double"))
 
+
+# --- one form for equal numbers ---------------------------------------------------
+
+#: a plain number with or without exponent, as every type prints it
+NUMBER_TEXT = r"^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]{1,9})?$"
+
+
+def number_form_sql(text: str) -> str:
+    """SQL: sign, digits and exponent of a printed number, the same for every way to print it; 0 is ``0``.
+
+    ``12345678.5``, ``1.23456785E7`` and ``123456785e-1`` all give ``123456785e-1``. What is no plain number
+    (infinity among them) stays as it is.
+    """
+    pattern = NUMBER_TEXT.replace("\\", "\\\\")
+    whole, part = f"regexp_extract({text}, '^[+-]?([0-9]*)', 1)", f"regexp_extract({text}, '^[+-]?[0-9]*[.]([0-9]*)', 1)"
+    digits = f"ltrim('0', concat({whole}, {part}))"
+    bare = f"rtrim('0', {digits})"
+    power = f"coalesce(try_cast(regexp_extract({text}, '[eE]([+-]?[0-9]+)$', 1) AS INT), 0)"
+    exponent = f"({power} - length({part}) + length({digits}) - length({bare}))"
+    sign = f"if(startswith({text}, '-'), '-', '')"
+    form = f"if({bare} = '', '0', concat({sign}, {bare}, 'e', CAST({exponent} AS STRING)))"
+    return f"if({text} RLIKE '{pattern}', {form}, {text})"
+
+
+def whole_form_sql(value: str) -> str:
+    """The same form of a whole-number column, without patterns."""
+    digits = f"ltrim('-', CAST({value} AS STRING))"
+    bare = f"rtrim('0', {digits})"
+    form = f"concat(if({value} < 0, '-', ''), {bare}, 'e', CAST(length({digits}) - length({bare}) AS STRING))"
+    return f"if({value} = 0, '0', {form})"

@@ -1,8 +1,8 @@
 """Table changes: fingerprints, classification, diffs, merges, stale answers.
 
 Every comparison aligns rows by column name and explicit keys; row order plays no
-part. Row sets are compared by grouping equal rows once (combined on the map
-side), which yields added and removed rows in one shuffle.
+part. Row sets are compared by grouping the digests of rows once (combined on the map
+side), which yields added and removed rows in one narrow shuffle.
 """
 
 from __future__ import annotations
@@ -12,9 +12,9 @@ import datetime as dt
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dealscope.functions.numbers import ratio
+from dealscope.functions.numbers import number_form_sql, ratio, whole_form_sql
 from dealscope.functions.ordering import first_per_group
-from dealscope.operators.profiling import _name, _text
+from dealscope.operators.profiling import _name, _text, _value, digest_sql, kind_of
 from dealscope.session import scratch_path
 from dealscope.sources import tables as src
 
@@ -67,16 +67,39 @@ def register(registry: DataFrame, fingerprints: DataFrame) -> DataFrame:
     )
 
 
+def _row_cells(df: DataFrame, other: DataFrame) -> list[str]:
+    """Cells in column order of name: as they are where both tables have one type, else in the form both share."""
+    theirs = {f.name: f.dataType for f in other.schema.fields}
+    cells = []
+    for f in sorted(df.schema.fields, key=lambda f: f.name):
+        v, kind = _value(f), kind_of(f.dataType)
+        twin = theirs.get(f.name)
+        if twin is None or twin == f.dataType:
+            cells.append(v)
+        elif kind == kind_of(twin) == "number":
+            whole = f.dataType.typeName() in ("byte", "short", "integer", "long")
+            cells.append(whole_form_sql(v) if whole else number_form_sql(f"CAST({v} AS STRING)"))
+        elif kind == kind_of(twin) == "date":
+            cells.append(f"CAST({v} AS TIMESTAMP_NTZ)")
+        else:
+            cells.append(f"CAST({v} AS STRING)")
+    return cells
+
+
 def row_changes(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Distinct rows only in new and only in old; tables of other columns or types share no row."""
-    if set(old.dtypes) != set(new.dtypes):
-        added = new.distinct().agg(F.count("*").alias("rows_added"))
-        removed = old.distinct().agg(F.count("*").alias("rows_removed"))
+    """Distinct rows only in new and only in old; tables of other columns share no row.
+
+    Digests of rows are compared. A column whose type differs compares by value (1 is 1.0, a date its midnight).
+    """
+    sides = [df.selectExpr(*digest_sql(_row_cells(df, other)), f"{n} AS _new") for n, (df, other) in enumerate(((old, new), (new, old)))]
+    if set(old.columns) != set(new.columns):
+        added, removed = (
+            side.select("h1", "h2").distinct().agg(F.count("*").alias(name))
+            for side, name in ((sides[1], "rows_added"), (sides[0], "rows_removed"))
+        )
         return added.withColumn("rows_removed", removed.scalar())
-    columns = [_name(c) for c in old.columns]
-    tagged = old.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)))
-    sides = tagged.groupBy(*columns).agg(F.max("_new").alias("_hi"), F.min("_new").alias("_lo"))
-    return sides.agg(
+    both = sides[0].unionByName(sides[1]).groupBy("h1", "h2").agg(F.max("_new").alias("_hi"), F.min("_new").alias("_lo"))
+    return both.agg(
         F.count_if(F.col("_lo") == 1).alias("rows_added"),
         F.count_if(F.col("_hi") == 0).alias("rows_removed"),
     )
@@ -212,8 +235,9 @@ def process_update(
 ) -> tuple[DataFrame, DataFrame | None]:
     """The classified fingerprint and, unless a duplicate or new, the diff."""
     classified = classify(fingerprint(df, name, at), registry)
-    label = classified.select("class").first()[0]
-    if label == "DUPLICATE" or old is None:
+    found = classified.collect()  # one row: what the scan found is returned, not scanned for again
+    classified = df.sparkSession.createDataFrame(found, classified.schema)
+    if found[0]["class"] == "DUPLICATE" or old is None:
         return classified, None
     return classified, diff(old, df, keys)
 

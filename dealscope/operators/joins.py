@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 
 from dealscope import fixed_values as fv
 from dealscope.functions.names import name_similarity
-from dealscope.functions.numbers import count_if, ratio
+from dealscope.functions.numbers import NUMBER_TEXT, count_if, number_form_sql, ratio, whole_form_sql
 from dealscope.functions.ordering import first_per_group
 from dealscope.operators.profiling import _name, _value, kind_of
 from dealscope.operators.semantic_types import number_sql
@@ -61,30 +61,24 @@ def _all_numbers(df: DataFrame, columns: list[str]) -> dict[str, bool]:
 
 
 def _key_form(field: T.StructField, as_number: bool = True) -> str:
-    """Comparable text of a cell: whole numbers by all their digits, whatever type they come in.
+    """Comparable text of a cell: numbers in one form of sign, digits and exponent, whatever type they come in.
 
     ``as_number`` reads texts that are numbers as such; other texts are trimmed.
     """
     kind, v = kind_of(field.dataType), _value(field)
-    whole = f"concat('n', CAST(CAST({v} AS DECIMAL(38,0)) AS STRING))"
     if kind == "boolean":
-        return f"concat('n', CAST(CAST({v} AS INT) AS STRING))"
+        return f"concat('n', {whole_form_sql(f'CAST({v} AS INT)')})"
     if kind == "number":
         if field.dataType.typeName() in ("byte", "short", "integer", "long"):
-            return f"concat('n', CAST({v} AS STRING))"
-        if isinstance(field.dataType, T.DecimalType):
-            return f"IF({v} = floor({v}), {whole}, concat('n', rtrim('0', CAST({v} AS STRING))))"
-        return f"IF({v} = floor({v}) AND abs({v}) < 1e18, {whole}, concat('n', CAST({v} AS STRING)))"
+            return f"concat('n', {whole_form_sql(v)})"
+        return f"concat('n', {number_form_sql(f'CAST({v} AS STRING)')})"
     if kind == "date":
         return f"concat('d', CAST({v} AS STRING))"
     text = f"trim(CAST({v} AS STRING))"
     other = f"concat('s', {text})"
     if not as_number:
         return other
-    digits = f"{text} RLIKE '^[+-]?[0-9]{{1,38}}([.]0*)?$'"
-    plain = f"concat('n', CAST(CAST(regexp_extract({text}, '^[+-]?[0-9]+', 0) AS DECIMAL(38,0)) AS STRING))"
-    number = number_sql(_name(field.name))
-    return f"CASE WHEN {digits} THEN {plain} WHEN {number} IS NOT NULL THEN concat('n', CAST({number} AS STRING)) ELSE {other} END"
+    return f"if({text} RLIKE '{NUMBER_TEXT}', concat('n', {number_form_sql(text)}), {other})"
 
 
 def _comparable(left: DataFrame, right: DataFrame, left_col: str, right_col: str) -> tuple[str, str]:

@@ -18,7 +18,9 @@ from pyspark.sql import types as T
 from dealscope import fixed_values as fv
 from dealscope.functions.names import profile_type
 from dealscope.functions.numbers import ratio
-from dealscope.functions.ordering import first_per_group, quantile_bounds, slot_of
+from dealscope.functions.ordering import first_per_group
+from dealscope.functions.selection import medians
+from dealscope.session import delete_path, scratch_path
 
 _INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 _FLOATING = (T.FloatType, T.DoubleType, T.DecimalType)
@@ -111,7 +113,7 @@ def distinct_counts(counts: dict[str, DataFrame], name: str = "distinct_count")
     return _union(sized)
 
 
-def _facts(df: DataFrame, table: str, as_of: str, offset: int = 0, moments: bool = True) -> DataFrame:
+def _facts(df: DataFrame, table: str, as_of: str, offset: int = 0) -> DataFrame:
     """One row per column from a single wide aggregate."""
     aggs, rows = ["count(*) AS rows"], []
     for i, f in enumerate(df.schema.fields):
@@ -141,14 +143,13 @@ def _facts(df: DataFrame, table: str, as_of: str, offset: int = 0, moments: bool
             x = f"CAST({v} AS DOUBLE)"
             aggs += [f"count_if({x} = 0) AS zero{i}", f"count_if({x} < 0) AS neg{i}"]
             fact |= {"zero_count": f"zero{i}", "negative_count": f"neg{i}"}
-            if moments:
-                aggs += [
-                    f"round(min({x}), 4) AS min{i}",
-                    f"round(max({x}), 4) AS max{i}",
-                    f"round(avg({x}), 4) AS avg{i}",
-                    f"if(count({x}) > 0, round(coalesce(stddev_samp({x}), 0D), 4), NULL) AS std{i}",
-                ]
-                fact |= {"min_num": f"min{i}", "max_num": f"max{i}", "mean": f"avg{i}", "std": f"std{i}"}
+            aggs += [
+                f"round(min({x}), 4) AS min{i}",
+                f"round(max({x}), 4) AS max{i}",
+                f"round(avg({x}), 4) AS avg{i}",
+                f"if(count({x}) > 0, round(coalesce(stddev_samp({x}), 0D), 4), NULL) AS std{i}",
+            ]
+            fact |= {"min_num": f"min{i}", "max_num": f"max{i}", "mean": f"avg{i}", "std": f"std{i}"}
         elif kind == "date":
             today = f"CAST({_text(as_of)} AS {f.dataType.simpleString()})"
             aggs += [
@@ -161,53 +162,22 @@ def _facts(df: DataFrame, table: str, as_of: str, offset: int = 0, moments: bool
     return df.selectExpr(*aggs).selectExpr(f"inline(array({', '.join(rows)}))")
 
 
-def _medians(counts: dict[str, DataFrame]) -> DataFrame:
-    """Exact medians from value counts.
+def _number_facts(counts: dict[str, DataFrame]) -> DataFrame:
+    """ordinal, distinct_count, median of every number column: one row each, worked out by repeated selection.
 
-    Quantile bounds over the distinct values cut each column into slots; only the
-    slots holding the middle ranks are ordered, so no task sorts a whole column.
-    The limits have one row per column, hence the broadcast.
+    The value counts are stored for the passes over them and deleted behind them.
     """
-    # the value depends on n, so its filter stays above the counting shuffle and every
-    # use of the counts reads the same exchange
-    number = F.when(F.col("n") > 0, F.col("value").cast("double")).alias("value")
-    numbers = _union(
-        [c.select("ordinal", number, "n") for family, c in counts.items() if family[0] in "ldm"]
-    ).filter(F.col("value").isNotNull())
-    limits = (
-        numbers.groupBy("ordinal")
-        .agg(quantile_bounds("value", slots=16).alias("bounds"), F.sum("n").alias("total"))
-        .filter(F.col("total") > 0)
-    )
-    placed = numbers.join(F.broadcast(limits), "ordinal").withColumn(
-        "slot", slot_of(F.col("value"), F.col("bounds"))
-    )
-    w = Window.partitionBy("ordinal").orderBy("slot")
-    per_slot = (
-        placed.groupBy("ordinal", "slot")
-        .agg(F.sum("n").alias("slot_n"), F.max("total").alias("total"))
-        .withColumn("upto", F.sum("slot_n").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    )
-    low = F.floor((F.col("total") + 1) / 2)
-    high = F.floor(F.col("total") / 2) + 1
-    before = F.col("upto") - F.col("slot_n")
-    middle = per_slot.filter((before < high) & (low <= F.col("upto"))).select(
-        "ordinal", "slot", before.alias("start"), low.alias("low"), high.alias("high")
-    )
-    inside = Window.partitionBy("ordinal", "slot").orderBy("value")
-    end = F.col("start") + F.sum("n").over(inside.rowsBetween(Window.unboundedPreceding, 0))
-    ranked = (
-        placed.select("ordinal", "slot", "value", "n")
-        .join(F.broadcast(middle), ["ordinal", "slot"])
-        .withColumn("end", end)
-        .withColumn("begin", F.col("end") - F.col("n"))
-    )
-
-    def at(rank: str) -> Column:
-        hit = (F.col("begin") < F.col(rank)) & (F.col(rank) <= F.col("end"))
-        return F.max(F.when(hit, F.col("value")))
-
-    return ranked.groupBy("ordinal").agg(F.round((at("low") + at("high")) / 2, 4).alias("median"))
+    families = [c for family, c in counts.items() if family[0] in "ldm"]
+    spark = families[0].sparkSession
+    path = scratch_path(spark, "value-counts")
+    # one row per exact value, so counting rows counts distinct values although they are compared as doubles
+    rows = _union([c.select(F.col("ordinal").cast("int").alias("ordinal"), F.col("value").cast("double").alias("value"), "n") for c in families])
+    rows.write.parquet(path)
+    found = medians(spark.read.parquet(path))
+    delete_path(spark, path)
+    listed = [(ordinal, f.distinct, f.median) for ordinal, f in found.items()]
+    facts = spark.createDataFrame(listed, "ordinal int, distinct_count bigint, middle double")
+    return facts.select("ordinal", "distinct_count", F.round("middle", 4).alias("median"))
 
 
 def _union(frames: list[DataFrame]) -> DataFrame:
@@ -243,11 +213,12 @@ def profile_all(
     facts = _union([_facts(df, t, as_of, offsets[t]) for t, df in tables.items()])
     if exact:
         counts = value_counts(tables)
-        out = facts.join(F.broadcast(distinct_counts(counts)), "ordinal", "left")
-        if "l" in counts or "d" in counts:
-            out = out.join(F.broadcast(_medians(counts)), "ordinal", "left")
-        else:
-            out = out.withColumn("median", F.lit(None).cast("double"))
+        numbers = {family: c for family, c in counts.items() if family[0] in "ldm"}
+        others = {family: c for family, c in counts.items() if family not in numbers}
+        parts = [distinct_counts(others).withColumn("median", F.lit(None).cast("double"))] if others else []
+        if numbers:
+            parts.append(_number_facts(numbers))
+        out = facts.join(F.broadcast(_union(parts)), "ordinal", "left")
     else:
         out = facts.join(
             F.broadcast(_union([_sketched(df, offsets[t]) for t, df in tables.items()])), "ordinal"
@@ -301,22 +272,6 @@ def _sketched(df: DataFrame, offset: int) -> DataFrame:
     return df.selectExpr(f"array({', '.join(rows)}) AS s").selectExpr("inline(s)")
 
 
-def rule_facts(tables: dict[str, DataFrame], as_of: str) -> DataFrame:
-    """What the column rules need: one scan per table, no distinct counts, no sketches."""
-    facts = _union([_facts(df, t, as_of, moments=False) for t, df in tables.items()])
-    return facts.select(
-        "table",
-        "column",
-        F.coalesce("name_type", F.lit("text")).alias("semantic"),
-        "row_count",
-        "null_count",
-        _null_pct(),
-        "zero_count",
-        "negative_count",
-        "future_count",
-    )
-
-
 def null_rates(df: DataFrame, table: str) -> DataFrame:
     """E3/S8 without distinct counts: one scan, one row per task shuffled."""
     fields = df.schema.fields
@@ -374,46 +329,113 @@ def sample_values(df: DataFrame, table: str, n: int = 10) -> DataFrame:
     )
 
 
+def digest_sql(cells: list[str]) -> list[str]:
+    """A row's 128-bit digest as two 64-bit hashes of its cells, null marks among them."""
+    marked = ", ".join(f"{c} IS NULL, {c}" for c in cells)
+    return [f"xxhash64({marked}) AS h1", f"xxhash64('', {marked}) AS h2"]
+
+
+def _cells(df: DataFrame) -> list[str]:
+    return [_value(f) if isinstance(f.dataType, (T.FloatType, T.DoubleType)) else _name(f.name) for f in df.schema.fields]
+
+
 def duplicate_rows(df: DataFrame) -> DataFrame:
-    """Rows beyond the first of each distinct row, after map-side counting."""
-    counted = df.groupBy(*[_name(c) for c in df.columns]).agg(F.count("*").alias("_n"))
+    """Rows beyond the first of each distinct row; digests are grouped, so no row crosses the network."""
+    counted = df.selectExpr(*digest_sql(_cells(df))).groupBy("h1", "h2").agg(F.count("*").alias("_n"))
     return counted.agg(
         F.coalesce(F.sum("_n"), F.lit(0)).alias("row_count"),
         F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).alias("duplicate_rows"),
     )
 
 
-def profile_table(df: DataFrame, table: str) -> DataFrame:
-    """Rows, columns, duplicates, overall null rate and empty columns.
+#: marks of a cell, and columns whose marks fit one 64-bit word
+_MARKS, _PER_WORD = ("null", "zero", "negative", "future"), 15
 
-    Null counts are weighted by the size of each group of equal rows, so the same
-    shuffle gives duplicates and null rates.
+
+def _row_groups(df: DataFrame, as_of: str | None) -> tuple[DataFrame, dict[tuple[int, str], str]]:
+    """Equal rows grouped by digest with the marks of their cells, and how often (column, mark) was set as SQL.
+
+    One scan and one shuffle of a few numbers a row give duplicates and all counters of the column rules: equal
+    rows have equal marks, so a mark counts as often as its row. Without ``as_of`` only nulls are marked.
+    """
+    words: dict[int, list[str]] = {}
+    counters = {}
+    for i, f in enumerate(df.schema.fields):
+        v, kind = _value(f), kind_of(f.dataType)
+        marks = {"null": _missing(f)}
+        if as_of is not None and kind == "number":
+            marks |= {"zero": f"CAST({v} AS DOUBLE) = 0", "negative": f"CAST({v} AS DOUBLE) < 0"}
+        elif as_of is not None and kind == "date":
+            marks["future"] = f"{v} > CAST({_text(as_of)} AS {f.dataType.simpleString()})"
+        word, at = f"w{i // _PER_WORD}", i % _PER_WORD * len(_MARKS)
+        for mark, test in marks.items():
+            bit = 1 << at + _MARKS.index(mark)
+            words.setdefault(i // _PER_WORD, []).append(f"if(coalesce({test}, false), {bit}L, 0L)")
+            counters[i, mark] = f"coalesce(sum(if({word} & {bit}L != 0, _n, 0L)), 0L)"
+    packed = [f"{' | '.join(parts)} AS w{w}" for w, parts in words.items()]
+    rows = df.selectExpr(*digest_sql(_cells(df)), *packed)
+    return rows.groupBy(*rows.columns).agg(F.count("*").alias("_n")), counters
+
+
+def quality_facts(df: DataFrame, table: str, as_of: str | None = None) -> DataFrame:
+    """Facts for the table rules (one row, ``column`` null) and, given ``as_of``, for the column rules (a row each).
+
+    Everything comes from one grouped pass over the table.
     """
     fields = df.schema.fields
-    counted = df.groupBy(*[_name(f.name) for f in fields]).agg(F.count("*").alias("_n"))
+    counted, counters = _row_groups(df, as_of)
     one = counted.selectExpr(
         "coalesce(sum(_n), 0L) AS row_count",
         "coalesce(sum(_n - 1), 0L) AS duplicate_rows",
-        *[f"coalesce(sum(if({_missing(f)}, _n, 0L)), 0L) AS _null{i}" for i, f in enumerate(fields)],
+        *[f"{sql} AS {mark}{i}" for (i, mark), sql in counters.items()],
     )
-    nulls = " + ".join(f"_null{i}" for i in range(len(fields)))
+    nulls = " + ".join(f"null{i}" for i in range(len(fields)))
     by_name = sorted(range(len(fields)), key=lambda i: fields[i].name)
-    empty = ", ".join(
-        f"if(_null{i} = row_count AND row_count > 0, {_text(fields[i].name)}, NULL)" for i in by_name
-    )
+    empty = ", ".join(f"if(null{i} = row_count AND row_count > 0, {_text(fields[i].name)}, NULL)" for i in by_name)
     dup = "coalesce(try_divide(CAST(duplicate_rows AS DOUBLE), CAST(row_count AS DOUBLE)), 0D)"
     rate = f"coalesce(try_divide(CAST({nulls} AS DOUBLE), CAST(row_count * {len(fields)} AS DOUBLE)), 0D)"
-    return one.selectExpr(
-        f"{_text(table)} AS `table`",
-        "row_count",
-        f"{len(fields)}L AS col_count",
-        "duplicate_rows",
-        f"round({dup} * 100, 2) AS duplicate_pct",
-        f"round({rate} * 100, 2) AS overall_null_pct",
-        f"concat_ws(',', {empty}) AS empty_columns",
+    none = {"column": "CAST(NULL AS STRING)", "semantic": "CAST(NULL AS STRING)"} | dict.fromkeys(
+        ("null_count", "zero_count", "negative_count", "future_count"), "0L"
+    )
+    rows = [
+        {
+            **none, "null_pct": "0D", "duplicate_rows": "duplicate_rows", "duplicate_pct": f"round({dup} * 100, 2)",
+            "overall_null_pct": f"round({rate} * 100, 2)", "empty_columns": f"concat_ws(',', {empty})",
+        }
+    ]
+    for i, f in enumerate(fields if as_of is not None else []):
+        semantic = profile_type(f.name, kind_of(f.dataType)) or "text"
+        count = lambda mark, i=i: f"{mark}{i}" if (i, mark) in counters else "0L"
+        pct = f"round(coalesce(try_divide(CAST(null{i} AS DOUBLE), CAST(row_count AS DOUBLE)), 0D) * 100, 2)"
+        rows.append(
+            {
+                "column": _text(f.name), "semantic": _text(semantic), "null_count": count("null"), "zero_count": count("zero"),
+                "negative_count": count("negative"), "future_count": count("future"), "null_pct": pct, "duplicate_rows": "0L",
+                "duplicate_pct": "0D", "overall_null_pct": "0D", "empty_columns": "''",
+            }
+        )
+    listed = [
+        "struct(" + ", ".join(f"{sql} AS `{name}`" for name, sql in row.items()) + f", row_count, {len(fields)}L AS col_count)" for row in rows
+    ]
+    return one.selectExpr(f"inline(array({', '.join(listed)}))").withColumn("table", F.lit(table))
+
+
+def all_quality_facts(tables: dict[str, DataFrame], as_of: str) -> DataFrame:
+    return _union([quality_facts(df, name, as_of) for name, df in tables.items()])
+
+
+def table_rows(facts: DataFrame) -> DataFrame:
+    """The table profile among the facts."""
+    return facts.where(F.col("column").isNull()).select(
+        "table", "row_count", "col_count", "duplicate_rows", "duplicate_pct", "overall_null_pct", "empty_columns"
     )
 
 
+def profile_table(df: DataFrame, table: str) -> DataFrame:
+    """Rows, columns, duplicates, overall null rate and empty columns."""
+    return table_rows(quality_facts(df, table))
+
+
 def profile_tables(tables: dict[str, DataFrame]) -> DataFrame:
     return _union([profile_table(df, name) for name, df in tables.items()])
 

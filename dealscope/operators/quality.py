@@ -33,7 +33,7 @@ def _issue(severity, rule: str, text: Column, rows: Column, pct: Column, column:
     )
 
 
-def column_issues(profile: DataFrame) -> DataFrame:
+def _column_rules() -> Column:
     """Empty and null-heavy columns, zero and negative money, future dates."""
     name, nulls = F.col("column"), F.col("null_pct")
     money = F.col("semantic") == "currency"
@@ -52,7 +52,7 @@ def column_issues(profile: DataFrame) -> DataFrame:
     heavy = F.concat(
         F.lit("Column '"), name, F.lit("' is "), _shown(nulls), F.lit("% null (threshold: 30%)")
     )
-    found = F.array(
+    return F.array(
         F.when(
             nulls == fv.NULL_ERROR_PCT,
             _issue("error", "FULLY_EMPTY", empty, F.col("row_count"), nulls, name),
@@ -64,10 +64,9 @@ def column_issues(profile: DataFrame) -> DataFrame:
         counted("NEGATIVE_REVENUE", "negative_count", "negative values", money),
         counted("FUTURE_DATES", "future_count", "dates beyond today", F.lit(True)),
     )
-    return profile.select(F.inline(F.array_compact(found)))
 
 
-def table_issues(profile: DataFrame) -> DataFrame:
+def _table_rules() -> Column:
     """Duplicate rows and a high overall null rate."""
     dup, nulls = F.col("duplicate_pct"), F.col("overall_null_pct")
     severity = F.when(dup >= fv.DUPLICATE_ERROR_PCT, "error").otherwise("warning")
@@ -75,7 +74,7 @@ def table_issues(profile: DataFrame) -> DataFrame:
         F.col("duplicate_rows").cast("string"), F.lit(" duplicate rows found ("), _shown(dup), F.lit("%)")
     )
     null_text = F.concat(F.lit("Table-wide null rate is "), _shown(nulls), F.lit("%"))
-    found = F.array(
+    return F.array(
         F.when(
             F.col("duplicate_rows") > 0,
             _issue(severity, "DUPLICATE_ROWS", dup_text, F.col("duplicate_rows"), dup, F.lit(None)),
@@ -85,7 +84,16 @@ def table_issues(profile: DataFrame) -> DataFrame:
             _issue("warning", "HIGH_OVERALL_NULL", null_text, F.lit(0), nulls, F.lit(None)),
         ),
     )
-    return profile.select(F.inline(F.array_compact(found)))
+
+
+def column_issues(facts: DataFrame) -> DataFrame:
+    """The issues of columns, from column facts."""
+    return facts.where(F.col("column").isNotNull()).select(F.inline(F.array_compact(_column_rules())))
+
+
+def table_issues(tables: DataFrame) -> DataFrame:
+    """The issues of tables, from table profiles."""
+    return tables.select(F.inline(F.array_compact(_table_rules())))
 
 
 def severity_rank(col: Column | str = "severity") -> Column:
@@ -93,10 +101,10 @@ def severity_rank(col: Column | str = "severity") -> Column:
     return F.array_position(F.array(*[F.lit(s) for s in fv.SEVERITIES]), c).cast("bigint")
 
 
-def all_issues(columns: DataFrame, tables: DataFrame) -> DataFrame:
-    """Table and column issues together, errors first."""
-    both = table_issues(tables).unionByName(column_issues(columns))
-    return both.withColumn("severity_rank", severity_rank()).orderBy(
+def all_issues(facts: DataFrame) -> DataFrame:
+    """Table and column issues together, errors first; the facts are gone through once."""
+    found = F.when(F.col("column").isNull(), _table_rules()).otherwise(_column_rules())
+    return facts.select(F.inline(F.array_compact(found))).withColumn("severity_rank", severity_rank()).orderBy(
         "severity_rank", F.col("affected_pct").desc(), "table", "column", "rule"
     )
 

@@ -157,9 +157,8 @@ _ALL = f"{_BASE}, {_COLUMNS}, {_TABLES}, {_ISSUES}"
 
 
 def _issues(spark, sf):
-    frames = _tables(spark, sf)
-    tables = pf.profile_tables(frames)
-    return ql.all_issues(pf.rule_facts(frames, AS_OF), tables), tables
+    facts = pf.all_quality_facts(_tables(spark, sf), AS_OF)
+    return ql.all_issues(facts), pf.table_rows(facts)
 
 
 @query("e1_profile_orders", "E1 E3 E4 E5 E6 B16", _BASE + " " + _column_sql("orders"))
@@ -208,7 +207,7 @@ def table_profiles(spark, sf):
 
 @query("e10_column_issues", "E10 E11 E12", _ALL + ' SELECT severity, "table", "column", rule, description, affected_rows, affected_pct FROM i WHERE "column" IS NOT NULL')
 def column_issues(spark, sf):
-    return ql.column_issues(pf.rule_facts(_tables(spark, sf), AS_OF))
+    return ql.column_issues(pf.all_quality_facts(_tables(spark, sf), AS_OF))
 
 
 @query("e13_table_issues", "E13", _ALL + ' SELECT severity, "table", "column", rule, description, affected_rows, affected_pct FROM i WHERE "column" IS NULL')

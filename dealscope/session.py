@@ -53,3 +53,8 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     """A new path below the shared folder, never used before."""
     return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
 
+
+def delete_path(spark: SparkSession, path: str) -> bool:
+    """Delete a file or folder by whatever file system it lies in; False if it is not there."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)

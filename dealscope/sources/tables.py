@@ -92,11 +92,6 @@ def create_empty(spark: SparkSession, path: str) -> bool:
     return True
 
 
-def delete_path(spark: SparkSession, path: str) -> bool:
-    p, fs = _located(spark, path)
-    return fs.delete(p, True)
-
-
 def source_keys(df: DataFrame) -> DataFrame:
     """Cache key of each source file, from its path and modification time."""
     path, changed = F.col("_metadata.file_path"), F.col("_metadata.file_modification_time")

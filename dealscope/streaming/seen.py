@@ -19,7 +19,8 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dealscope.sources.tables import delete_path, list_folder, path_exists
+from dealscope.session import delete_path
+from dealscope.sources.tables import list_folder, path_exists
 
 #: bits of one filter (the size of Spark's bitmaps), hashes set in it at most on average, and bits set by each
 BITS, PER_FILTER, PROBES = 32_768, 3_000, 3
@@ -175,7 +176,7 @@ def _holds(bits: Column, hash_col: Column) -> Column:
     for probe in range(PROBES):
         at = _bit(hash_col, probe)
         byte = F.conv(F.hex(F.substring(bits, (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-        one = F.shiftright(byte, 0).bitwiseAND(F.element_at(F.array(*[F.lit(1 << i) for i in range(8)]), (at % 8).cast("int") + 1)) != 0
+        one = byte.bitwiseAND(F.element_at(F.array(*[F.lit(1 << i) for i in range(8)]), (at % 8).cast("int") + 1)) != 0
         out = one if out is None else out & one
     return out
 

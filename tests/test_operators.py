@@ -193,7 +193,7 @@ def test_approximate_profile_has_the_same_shape(spark):
 
 
 def rules(spark, name, values, kind):
-    facts = pf.rule_facts({"t": column(spark, name, values, kind)}, "2024-01-01")
+    facts = pf.quality_facts(column(spark, name, values, kind), "t", "2024-01-01")
     return [(r["severity"], r["rule"]) for r in ql.column_issues(facts).collect()]
 
 
