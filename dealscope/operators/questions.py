@@ -264,6 +264,83 @@ def duplicate_accounts(accounts: DataFrame, key: Column) -> DataFrame:
     )
 
 
+#: edits between two spellings, and the name length up to which all deletions are listed
+EDITS, LONG_NAME = 2, 40
+
+
+def _deletions(name: Column) -> Column:
+    """The name and what is left of it without one or two of its characters, each once."""
+    without = lambda x, i: F.concat(F.substring(x, F.lit(1), i - 1), F.substring(x, i + 1, F.length(x)))
+    places = lambda x: F.filter(F.sequence(F.lit(0), F.length(x)), lambda i: i > 0)
+    one = F.transform(places(name), lambda i: without(name, i))
+    # the second character is one behind the first
+    two = F.transform(one, lambda x, k: F.transform(F.filter(places(x), lambda i: i > k), lambda i: without(x, i)))
+    return F.array_distinct(F.concat(F.array(name), one, F.flatten(two)))
+
+
+def _segments(length: Column) -> Column:
+    """Begin (from 0) and size of EDITS + 1 segments of a name of that length; two edits leave one of them whole."""
+    n = EDITS + 1
+    cut = lambda k: F.floor(length * k / n).cast("int")
+    return F.array(*[F.struct(F.lit(k).alias("k"), cut(k).alias("begin"), (cut(k + 1) - cut(k)).alias("size")) for k in range(n)])
+
+
+def _blocks_of(names: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(block, name) rows of every name, and the rows that look for partners among them.
+
+    Two short names within two edits become equal when at most two characters of each are left out, so both are in
+    the block of what is left. Long ones, whose deletions grow with the square of the length, share a segment that
+    lies at most two places aside; they look under the lengths and places a partner may have.
+    """
+    length = F.length("name")
+    short = names.where(length <= LONG_NAME + EDITS).select(
+        "name", F.explode(F.transform(_deletions(F.col("name")), lambda d: F.xxhash64(F.lit("d"), d))).alias("block")
+    )
+    long = names.where(length > LONG_NAME)
+    key = lambda size, k, text: F.xxhash64(F.lit("s"), size, k, text)
+    held = F.transform(_segments(length), lambda s: key(length, s["k"], F.substring("name", s["begin"] + 1, s["size"])))
+    aside = F.sequence(F.lit(-EDITS), F.lit(EDITS))
+    sizes = F.transform(aside, lambda d: length + d)
+    asked = F.flatten(
+        F.transform(
+            sizes,
+            lambda n: F.flatten(
+                F.transform(
+                    _segments(n),
+                    lambda s: F.transform(
+                        F.filter(aside, lambda d: s["begin"] + d >= 0),
+                        lambda d: key(n, s["k"], F.substring("name", s["begin"] + d + 1, s["size"])),
+                    ),
+                )
+            ),
+        )
+    )
+    holding = short.unionByName(long.select("name", F.explode(held).alias("block")))
+    asking = short.unionByName(long.select("name", F.explode(F.array_distinct(asked)).alias("block")))
+    return holding, asking
+
+
+def similar_accounts(accounts: DataFrame, key: Column) -> DataFrame:
+    """Q20: pairs of different normalised names within two edits (inserted, deleted or changed characters).
+
+    Every such pair is found: distinct names meet in blocks that it cannot miss, and the edit distance decides. All
+    names of a deletion block are within four edits of each other, so blocks are as large as the names are close;
+    a block that many share is a join key that Spark splits, and blocks of one name are left out before the join.
+    """
+    names = accounts.withColumn("name", key).where(F.col("name") != "").groupBy("name").agg(F.count("*").alias("accounts"))
+    holding, asking = _blocks_of(names.select("name"))
+    shared = holding.groupBy("block").agg(F.count("*").alias("n"), F.min("name").alias("one"))
+    # a block held by one name is of use to others only
+    useful = asking.join(shared, "block").where((F.col("n") > 1) | (F.col("one") != F.col("name"))).select("block", "name")
+    other = holding.select("block", F.col("name").alias("other"))
+    pairs = useful.join(other, "block").where(F.col("name") < F.col("other"))
+    near = pairs.withColumn("distance", F.levenshtein("name", "other", EDITS)).where(F.col("distance") >= 0)
+    found = near.select("name", "other", "distance").distinct()
+    sized = names.withColumnsRenamed({"name": "n", "accounts": "a"})
+    out = found.join(sized, F.col("name") == F.col("n")).select("name", "other", "distance", F.col("a").alias("accounts"))
+    return out.join(sized, F.col("other") == F.col("n")).select("name", "other", "distance", "accounts", F.col("a").alias("other_accounts"))
+
+
 def unclassified_share(deals: DataFrame) -> DataFrame:
     """Q21: share of open deals and of open value without a service line."""
     missing = F.col("service_line").isNull()

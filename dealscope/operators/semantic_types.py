@@ -8,14 +8,19 @@ near a threshold an exact count.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from dealscope import fixed_values as fv
 from dealscope.functions import names
+from dealscope.functions.ordering import first_per_group
 from dealscope.operators.profiling import (
     _name,
     _text,
@@ -250,6 +255,51 @@ def column_schema(df: DataFrame, types: dict[str, Inferred], table: str = "") ->
     )
 
 
+SAMPLES = 3
+
+
+def first_values(df: DataFrame, n: int = SAMPLES) -> DataFrame:
+    """The first ``n`` non-null values of every column of a file table, in file order; dates and times in ISO form.
+
+    A task holds ``n`` values per column, and as many leave it for each file block; order is file, place in the file.
+    """
+    columns = df.columns
+    shown = F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_at")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[str, int], list[list[str]]] = {}
+        for batch in batches:
+            files, starts = batch.column("_file"), batch.column("_at").to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(starts) != 0) + 1).tolist(), batch.num_rows]
+            if batch.num_rows and pc.count_distinct(files).as_py() > 1:  # blocks of several files may begin alike
+                turns = pc.indices_nonzero(pc.not_equal(files[1:], files[:-1])).to_numpy() + 1
+                cuts = sorted({*cuts, *turns.tolist()})
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                own = held.setdefault((files[a].as_py(), int(starts[a])), [[] for _ in columns])
+                for i, values in enumerate(own):
+                    if len(values) < n:
+                        found = batch.column(i).slice(a, b - a).drop_null()[: n - len(values)]
+                        values += [iso_text(v) for v in found.to_pylist()]
+        rows = [(i, file, at, k, v) for (file, at), own in held.items() for i, values in enumerate(own) for k, v in enumerate(values)]
+        types = pa.int32(), pa.string(), pa.int64(), pa.int32(), pa.string()
+        made = [pa.array([r[c] for r in rows], t) for c, t in enumerate(types)]
+        yield pa.RecordBatch.from_arrays(made, names=["ordinal", "file", "at", "k", "value"])
+
+    found = df.select("*", *shown).mapInArrow(run, "ordinal int, file string, at bigint, k int, value string")
+    place = F.struct("file", "at", "k").alias("place")
+    first = first_per_group(found.select("ordinal", "value", place), ["ordinal"], [F.col("place")], n)
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("place", "value"))), lambda s: s["value"])
+    label = F.array(*[F.lit(c) for c in columns])
+    return first.groupBy("ordinal").agg(listed.alias("samples")).select(F.get(label, F.col("ordinal")).alias("column"), "samples")
+
+
+def iso_text(value) -> str:
+    """A sample as text."""
+    if isinstance(value, bool):
+        return str(value).lower()
+    return value.isoformat() if hasattr(value, "isoformat") else str(value)
+
+
 def detect_schema(df: DataFrame, table: str = "") -> DataFrame:
     """The schema rows of an existing table, without applying the casts."""
     cast, types = infer_and_cast(df)

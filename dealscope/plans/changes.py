@@ -49,9 +49,36 @@ def fingerprint(spark, sf):
     return ch.fingerprint(table(spark, sf, "orders"), "orders", AT).select("table", "row_count", "col_hash")
 
 
-@query("u1_row_hash", "U1")
+@query("u1_row_hash", "U1", """
+WITH n AS (SELECT count(*) AS row_count, max(l_orderkey) AS last FROM lineitem)
+SELECT v AS variant, CASE v WHEN 'one row less' THEN row_count - 1 ELSE row_count END AS row_count,
+ v IN ('columns turned', 'rows dealt anew') AS same_rows, v <> 'column renamed' AS same_columns
+FROM n, (VALUES ('columns turned'), ('rows dealt anew'), ('one cell changed'), ('one row less'), ('column renamed'), ('two cells swapped')) t(v)""")
 def row_hash(spark, sf):
-    return ch.fingerprint(table(spark, sf, "lineitem"), "lineitem", AT).drop("columns")
+    """What the row hash tells apart: neither the order of rows nor of columns, but any change of a cell or row."""
+    lines = table(spark, sf, "lineitem")
+    first = lines.agg(F.min(F.struct("l_orderkey", "l_linenumber"))).scalar()
+    is_first = F.struct("l_orderkey", "l_linenumber") == first
+    variants = {
+        "columns turned": lines.select(*reversed(lines.columns)),
+        "rows dealt anew": lines.repartition(3, "l_partkey"),
+        "one cell changed": lines.withColumn("l_tax", F.when(is_first, F.col("l_tax") + 1).otherwise(F.col("l_tax"))),
+        "one row less": lines.where(~is_first),
+        "column renamed": lines.withColumnRenamed("l_tax", "l_duty"),
+        "two cells swapped": lines.withColumns({
+            "l_tax": F.when(is_first, F.col("l_quantity")).otherwise(F.col("l_tax")),
+            "l_quantity": F.when(is_first, F.col("l_tax")).otherwise(F.col("l_quantity")),
+        }),
+    }
+    own = ch.fingerprint(lines, "lineitem", AT).select(F.struct("row_hash", "col_hash")).scalar()
+    prints = None
+    for name, df in variants.items():
+        one = ch.fingerprint(df, "lineitem", AT).select(
+            F.lit(name).alias("variant"), "row_count", (F.col("row_hash") == own["row_hash"]).alias("same_rows"),
+            (F.col("col_hash") == own["col_hash"]).alias("same_columns"),
+        )
+        prints = one if prints is None else prints.unionByName(one)
+    return prints
 
 
 @query("u2_classified_updates", "U2", """

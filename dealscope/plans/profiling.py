@@ -233,10 +233,17 @@ def report_totals(spark, sf):
     return ql.report_totals(tables, issues)
 
 
-@query("e15_nested_report", "E15")
+@query("e15_nested_report", "E15", _ALL + """ SELECT t."table", row_count, duplicate_rows, overall_null_pct, severity, "column", rule, affected_rows, affected_pct
+ FROM t LEFT JOIN r ON r."table" = t."table\"""")
 def nested_report(spark, sf):
+    """The JSON documents, read back as rows."""
     issues, tables = _issues(spark, sf)
-    return ql.nested_report(tables, issues)
+    issue = "severity string, column string, rule string, affected_rows bigint, affected_pct double"
+    document = f"row_count bigint, duplicate_rows bigint, overall_null_pct double, issues array<struct<{issue.replace(' ', ':').replace(',:', ',')}>>"
+    read = ql.nested_report(tables, issues).select("table", F.from_json("report", document).alias("d"))
+    return read.select("table", "d.row_count", "d.duplicate_rows", "d.overall_null_pct", F.explode_outer("d.issues").alias("i")).select(
+        "table", "row_count", "duplicate_rows", "overall_null_pct", "i.*"
+    )
 
 
 _SUMMARY = """, c AS (SELECT "table", count(*) AS issues, count(*) FILTER (severity = 'error') AS errors FROM r GROUP BY 1),

@@ -194,6 +194,31 @@ def incomplete_deals(spark, sf):
     return qs.incomplete_deals(b.deals_with_gaps(spark, sf))
 
 
+_SPELLINGS = r"""s AS (SELECT substring(md5(c_custkey::VARCHAR), 1, 12) AS m, c_custkey AS k FROM customer),
+n AS (SELECT m AS name FROM s UNION ALL SELECT left(m, (k % 11)::INT) || substr(m, (k % 11)::INT + 2) FROM s WHERE k % 3 = 0
+ UNION ALL SELECT left(m, (k % 7)::INT) || 'zz' || substr(m, (k % 7)::INT + 1) FROM s WHERE k % 5 = 0 UNION ALL SELECT m || 'xyz' FROM s WHERE k % 4 = 0
+ UNION ALL SELECT p_name FROM part),
+u AS (SELECT regexp_replace(lower(name), '[^\p{L}\p{M}\p{N}]', '', 'g') AS name, count(*) AS accounts FROM n GROUP BY 1)"""
+
+
+@query("q20_similar_accounts", "Q20", f"""WITH {_SPELLINGS}
+SELECT a.name, b.name AS other, levenshtein(a.name, b.name)::INT AS distance, a.accounts, b.accounts AS other_accounts
+FROM u a JOIN u b ON a.name < b.name AND abs(length(a.name) - length(b.name)) <= 2 WHERE levenshtein(a.name, b.name) <= 2""")
+def similar_accounts(spark, sf):
+    """Customers under names of letters and digits, some entered again with a character lost or two too many."""
+    made = table(spark, sf, "customer").select(F.substring(F.md5(F.col("c_custkey").cast("string")), 1, 12).alias("m"), F.col("c_custkey").alias("k"))
+    cut = lambda n, extra, skip: F.expr(f"concat(left(m, CAST(k % {n} AS INT)), '{extra}', substring(m, CAST(k % {n} AS INT) + {skip}))")
+    names = made.select(F.col("m").alias("account_name"))
+    for part in (
+        made.where("k % 3 = 0").select(cut(11, "", 2).alias("account_name")),
+        made.where("k % 5 = 0").select(cut(7, "zz", 1).alias("account_name")),
+        made.where("k % 4 = 0").select(F.concat("m", F.lit("xyz")).alias("account_name")),
+        table(spark, sf, "part").select(F.col("p_name").alias("account_name")),
+    ):
+        names = names.unionByName(part)
+    return qs.similar_accounts(names, qs.name_key(F.col("account_name")))
+
+
 @query("q20_duplicate_accounts", "Q20", r"""
 WITH a AS (SELECT c_name AS account_name FROM customer UNION ALL SELECT s_name FROM supplier UNION ALL SELECT p_name FROM part),
 k AS (SELECT account_name, regexp_replace(regexp_replace(lower(account_name), '[^\p{L}\p{M}\p{N}]', '', 'g'), '^(customer|supplier)', '') AS name_key FROM a)

@@ -50,6 +50,17 @@ def column_schema(spark, sf):
     return st.detect_schema(b.deals_as_text(spark, sf))
 
 
+_SAMPLED = ("o_orderkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority")
+
+
+@query("b14_first_values", "B14", "WITH o AS (SELECT *, row_number() OVER () AS rn FROM orders) " + " UNION ALL ".join(f"""
+SELECT '{c}' AS "column", (SELECT string_agg(v, '|' ORDER BY rn) FROM (SELECT rn, {"strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S')" if c == "o_orderdate" else c + "::VARCHAR"} AS v
+ FROM o WHERE {c} IS NOT NULL ORDER BY rn LIMIT 3)) AS samples""" for c in _SAMPLED))
+def first_values(spark, sf):
+    found = st.first_values(table(spark, sf, "orders").select(*_SAMPLED))
+    return found.select("column", F.array_join("samples", "|").alias("samples"))
+
+
 @query("b15_currency_columns", "B15 B3", """
 SELECT 'o_totalprice' AS "column", 'double' AS raw_dtype, 'currency' AS inferred_type, 0::BIGINT AS null_count, 0.0::DOUBLE AS null_pct,
  count(DISTINCT o_totalprice) AS unique_count FROM orders""")
