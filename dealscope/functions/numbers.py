@@ -24,6 +24,29 @@ def money_sum_double(col: Column | str) -> Column:
     return F.coalesce(money_sum(col), F.lit(0).cast("decimal(30,9)")).cast("double")
 
 
+#: from here on a value is added as a double and not as a decimal
+LARGE = 1e20
+
+
+def number_parts(col: Column | str) -> tuple[Column, Column]:
+    """A number as an exact decimal and what that cannot hold, as a double; NaN is null in both.
+
+    The rest is null for a number of at most nine decimals below ``LARGE``. Of a smaller fraction it is what lies
+    behind the ninth decimal, of larger and infinite numbers all.
+    """
+    value = F.col(col) if isinstance(col, str) else col
+    x = F.when(~F.isnan(value), value)
+    exact = F.when(F.abs(x) < LARGE, x).cast("decimal(30,9)")
+    rest = x.cast("double") - F.coalesce(exact.cast("double"), F.lit(0.0))
+    return exact, F.when(rest != 0, rest)
+
+
+def joined_parts(exact: Column, rest: Column) -> Column:
+    """One double from the sums of both parts; null where neither has a value."""
+    both = F.coalesce(exact.cast("double"), F.lit(0.0)) + F.coalesce(rest, F.lit(0.0))
+    return F.when(exact.isNotNull() | rest.isNotNull(), both)
+
+
 def ratio(a: Column, b: Column) -> Column:
     """Double division, null when the divisor is 0."""
     return F.try_divide(a.cast("double"), b.cast("double"))

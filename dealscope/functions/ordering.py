@@ -81,9 +81,12 @@ def with_global_order(
     running: str | None = None,
     rows: str | None = None,
     total: str | None = None,
+    sums: tuple[str, ...] = (),
 ) -> DataFrame:
     """Row number by ``value`` then ``key`` ascending, and the running sum of ``value``.
 
+    Each column of ``sums`` gets its running sum as ``<name>_run`` and its total as ``<name>_all``.
+
     ``value`` must be numeric and not null; ``key`` unique, a number, date or text. With a
     decimal ``value`` the running sums are exact and independent of task order.
     """
@@ -96,13 +99,15 @@ def with_global_order(
     )
     starts = (
         placed.groupBy(*place)
-        .agg(F.count("*").alias("_o_n"), F.sum(v).alias("_o_s"))
+        .agg(F.count("*").alias("_o_n"), F.sum(v).alias("_o_s"), *[F.sum(c).alias(f"_o_{c}") for c in sums])
         .select(
             *place,
             F.coalesce(F.sum("_o_n").over(before), F.lit(0)).alias("_o_n0"),
             F.sum("_o_s").over(before).alias("_o_s0"),
             F.sum("_o_n").over(whole).alias("_o_rows"),
             F.sum("_o_s").over(whole).alias("_o_total"),
+            *[F.sum(f"_o_{c}").over(before).alias(f"_o0_{c}") for c in sums],
+            *[F.sum(f"_o_{c}").over(whole).alias(f"{c}_all") for c in sums],
         )
     )
     inside = Window.partitionBy(*place).orderBy(v.desc() if descending else v.asc(), k)
@@ -111,11 +116,17 @@ def with_global_order(
     if running:
         within = F.sum(v).over(inside.rowsBetween(Window.unboundedPreceding, 0))
         out = out.withColumn(running, within + F.coalesce(F.col("_o_s0"), F.lit(0)))
+    for c in sums:
+        kind = df.schema[c].dataType
+        # one digit below the widest decimal, so that adding two keeps all decimals
+        wide = T.DecimalType(37, kind.scale) if isinstance(kind, T.DecimalType) else kind
+        within = F.sum(c).over(inside.rowsBetween(Window.unboundedPreceding, 0)).cast(wide)
+        out = out.withColumn(f"{c}_run", within + F.coalesce(F.col(f"_o0_{c}"), F.lit(0)).cast(wide))
     if rows:
         out = out.withColumn(rows, F.col("_o_rows"))
     if total:
         out = out.withColumn(total, F.col("_o_total"))
-    return out.drop(*place, "_o_n0", "_o_s0", "_o_rows", "_o_total")
+    return out.drop(*place, "_o_n0", "_o_s0", "_o_rows", "_o_total", *[f"_o0_{c}" for c in sums])
 
 
 def with_ntiles(

@@ -13,9 +13,11 @@ from dealscope import fixed_values as fv
 from dealscope.functions.dates import age_days, month_of, whole_days
 from dealscope.functions.numbers import (
     count_if,
+    joined_parts,
     money,
     money_sum,
     money_sum_double,
+    number_parts,
     ratio,
     to_number,
 )
@@ -29,38 +31,59 @@ def won(stage: str = "stage") -> Column:
 
 
 def group_totals(df: DataFrame, key: str, value: str) -> DataFrame:
-    """Sum, count and mean per key; null keys are dropped."""
+    """Sum, count and mean per key; null keys are dropped, an infinite value makes its sum infinite."""
+    exact, rest = number_parts(value)
+    total = joined_parts(F.col("_s"), F.col("_r"))
     return (
         df.filter(F.col(key).isNotNull())
         .groupBy(key)
         .agg(
-            money_sum(value).alias("_s"),
-            F.count(money(value)).alias("_n"),
+            F.sum(exact).alias("_s"),
+            F.sum(rest).alias("_r"),
+            F.count(F.when(~F.isnan(value), F.col(value))).alias("_n"),
             F.count("*").alias("row_count"),
         )
         .select(
             key,
-            F.coalesce(F.col("_s").cast("double"), F.lit(0.0)).alias("total"),
+            F.coalesce(total, F.lit(0.0)).alias("total"),
             "row_count",
-            F.round(ratio(F.col("_s"), F.col("_n")), 4).alias("mean"),
+            F.round(ratio(total, F.col("_n")), 4).alias("mean"),
         )
     )
 
 
+def _summed_parts(df: DataFrame, key: str, value: str, measure: Column | None = None) -> DataFrame:
+    """key, ``_value`` (double) and the two parts it was summed in; keys without a value are left out."""
+    if measure is not None:
+        sums = [F.sum(measure).alias("_exact"), F.lit(None).cast("double").alias("_rest")]
+    else:
+        exact, rest = number_parts(value)
+        sums = [F.sum(exact).alias("_exact"), F.sum(rest).alias("_rest")]
+    grouped = df.groupBy(key).agg(*sums)
+    grouped = grouped.withColumn("_value", joined_parts(F.col("_exact"), F.col("_rest"))).filter(F.col("_value").isNotNull())
+    return grouped.withColumn("_exact", F.coalesce("_exact", F.lit(0))).withColumn("_rest", F.coalesce("_rest", F.lit(0.0)))
+
+
 def pareto(df: DataFrame, key: str, value: str, measure: Column | None = None) -> DataFrame:
-    """Totals per key in descending order with the running share of all rows."""
-    total = F.sum(measure) if measure is not None else money_sum(value)
-    grouped = df.filter(F.col(key).isNotNull()).groupBy(key).agg(total.alias("_value"))
-    grouped = grouped.filter(F.col("_value").isNotNull())
-    ordered = with_global_order(grouped, "_value", key, running="_running", total="_total")
-    share = ratio(F.col("_running"), F.col("_total")) * 100
-    before = ratio(F.col("_running") - F.col("_value"), F.col("_total")) * 100
+    """Totals per key in descending order with the running share of all rows.
+
+    Where a value is infinite it comes first; the infinite ones together are all of the total.
+    """
+    grouped = _summed_parts(df.filter(F.col(key).isNotNull()), key, value, measure)
+    ordered = with_global_order(grouped, "_value", key, sums=("_exact", "_rest"))
+    running, total = (joined_parts(F.col(f"_exact_{s}"), F.col(f"_rest_{s}")) for s in ("run", "all"))
+    endless = F.abs(total) == float("inf")
+    before = joined_parts(F.col("_exact_run") - F.col("_exact").cast("decimal(28,9)"), F.col("_rest_run") - F.col("_rest"))
+    infinite = F.abs("_value") == float("inf")
     return ordered.select(
         key,
-        F.col("_value").cast("double").alias(value),
+        F.col("_value").alias(value),
         F.col("row_num").cast("bigint").alias("rank"),
-        F.when(F.col("_total") == 0, 0.0).otherwise(F.round(share, 6)).alias("cum_pct"),
-        F.when(F.col("_total") == 0, 0.0).otherwise(before).alias("_before_pct"),
+        F.when(total == 0, 0.0).when(endless, 100.0).otherwise(F.round(ratio(running, total) * 100, 6)).alias("cum_pct"),
+        F.when(total == 0, 0.0)
+        .when(endless, F.when(infinite, 0.0).otherwise(100.0))
+        .otherwise(ratio(before, total) * 100)
+        .alias("_before_pct"),
     )
 
 
@@ -370,10 +393,9 @@ def period_trend(df: DataFrame, day: str, value: str) -> DataFrame:
 
 def ranked(df: DataFrame, key: str, value: str) -> DataFrame:
     """Result rows numbered 1..n by descending value."""
-    grouped = df.groupBy(key).agg(money_sum(value).alias("_value"))
-    grouped = grouped.filter(F.col("_value").isNotNull())
+    grouped = _summed_parts(df, key, value).select(key, "_value")
     return with_global_order(grouped, "_value", key, position="rank").select(
-        F.col("rank").cast("bigint").alias("rank"), key, F.col("_value").cast("double").alias(value)
+        F.col("rank").cast("bigint").alias("rank"), key, F.col("_value").alias(value)
     )
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from dealscope.functions import selection as sl
 from dealscope.functions.numbers import number_form_sql, whole_form_sql
+from dealscope.operators import analytics as an
 from dealscope.operators import changes as ch
 from dealscope.operators import joins as jn
 from dealscope.operators import profiling as pf
@@ -153,3 +154,23 @@ def test_an_update_is_scanned_once(spark):
     classified, _ = ch.process_update("t", df, registry, None, ["id"], "t1")
     before = reads.value
     assert classified.first()["class"] == "NEW_TABLE" and classified.count() == 1 and reads.value == before
+
+
+# ---- sums
+
+
+def test_sums_keep_small_large_and_infinite_values(spark):
+    inf = float("inf")
+    rows = [("small", 4e-10), ("small", 4e-10), ("large", 1e22), ("large", 1e22), ("inf", inf), ("inf", 1.0), ("nan", float("nan")), ("none", None), ("plain", 0.1), ("plain", 0.2)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    totals = {r["k"]: (r["total"], r["mean"]) for r in an.group_totals(df, "k", "v").collect()}
+    assert totals["small"][0] == pytest.approx(8e-10) and totals["large"] == (2e22, 1e22) and totals["inf"][0] == inf
+    assert totals["plain"][0] == 0.3 and totals["nan"] == totals["none"] == (0.0, None)
+    order = [(r["k"], r["rank"], r["cum_pct"]) for r in an.pareto(df, "k", "v").orderBy("rank").collect()]
+    assert order == [("inf", 1, 100.0), ("large", 2, 100.0), ("plain", 3, 100.0), ("small", 4, 100.0)]
+    assert [r["k"] for r in an.leading_accounts(df, "k", "v").collect()] == ["inf"]
+    finite = df.where("k IN ('small', 'plain', 'large')")
+    assert [(r["k"], r["cum_pct"]) for r in an.pareto(finite, "k", "v").orderBy("rank").collect()] == [("large", 100.0), ("plain", 100.0), ("small", 100.0)]
+    tiny = spark.createDataFrame([("a", 6e-10), ("b", 3e-10), ("c", 1e-10)], "k string, v double")
+    assert [(r["k"], r["cum_pct"]) for r in an.pareto(tiny, "k", "v").orderBy("rank").collect()] == [("a", 60.0), ("b", 90.0), ("c", 100.0)]
+    assert [(r["rank"], r["k"]) for r in an.ranked(df, "k", "v").orderBy("rank").collect()] == [(1, "inf"), (2, "large"), (3, "plain"), (4, "small")]
