@@ -247,7 +247,7 @@ def _candidates(classes: DataFrame) -> DataFrame:
     size = 4 * ROWS
     bands = [F.xxhash64(F.lit(b), F.substring("sig", b * size + 1, size)) for b in range(BANDS)]
     bucketed = classes.select("key", F.explode(F.array(*bands)).alias("bucket"))
-    shared = durable(bucketed.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1"))
+    shared = durable(bucketed.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), classes.count())
     members = bucketed.join(shared, "bucket").join(classes.select("key", "sig"), "key")
     return _dealt(members, "bucket", BLOCK).mapInArrow(_connect, "a binary, b binary")
 
@@ -258,17 +258,19 @@ def linked(docs: DataFrame) -> DataFrame:
     class_id is the smallest doc_id with the same shingles, group_id the smallest one reached by links, n_links
     the number of other documents of similarity 0.8 or more, copies included.
     """
+    n = docs.count()
     signed = durable(
-        identified(docs, "text").mapInArrow(_sign, "doc_id bigint, row_hash bigint, key binary, sig binary")
+        identified(docs, "text").mapInArrow(_sign, "doc_id bigint, row_hash bigint, key binary, sig binary"), n
     ).withColumn("place", F.struct(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"), F.col("row_hash").alias("row")))
     classes = durable(
         signed.where(F.col("key").isNotNull())
         .groupBy("key")
-        .agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("copies"), F.min("sig").alias("sig"))
+        .agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("copies"), F.min("sig").alias("sig")),
+        n,
     )
     found = components(_candidates(classes))
-    sizes = durable(found.groupBy("root").agg(F.count(F.lit(1)).alias("size")))
-    members = durable(found.join(sizes, "root").join(classes, found["node"] == classes["key"]).drop("node"))
+    sizes = durable(found.groupBy("root").agg(F.count(F.lit(1)).alias("size")), n)
+    members = durable(found.join(sizes, "root").join(classes, found["node"] == classes["key"]).drop("node"), n)
     texts = identified(docs, "text")
     reps = members.withColumnRenamed("root", "found")
     sets = texts.join(
@@ -276,7 +278,7 @@ def linked(docs: DataFrame) -> DataFrame:
         (F.coalesce(texts["doc_id"], F.lit(NO_ID)) == reps["first.doc"]) & (texts["row_hash"] == reps["first.row"]),
     ).select("key", "found", "size", "copies", "sig", "text")
     sets = sets.mapInArrow(_sets, "key binary, found binary, size bigint, copies bigint, sig binary, shingles binary")
-    verified = durable(_dealt(sets, "found", SET_BLOCK).mapInArrow(_verify, "key binary, links bigint, root binary"))
+    verified = durable(_dealt(sets, "found", SET_BLOCK).mapInArrow(_verify, "key binary, links bigint, root binary"), n)
     groups = components(verified.select(F.col("key").alias("a"), F.col("root").alias("b")))
     links = verified.groupBy("key").agg(F.sum("links").alias("links"))
     known = (
@@ -285,9 +287,9 @@ def linked(docs: DataFrame) -> DataFrame:
         .join(groups.withColumnRenamed("node", "key"), "key", "left")
         .withColumn("root", F.coalesce("root", "key"))
     )
-    known = durable(known)
-    firsts = durable(known.groupBy("root").agg(F.min("first").alias("group_first")))
-    known = durable(known.join(firsts, "root").drop("root"))
+    known = durable(known, n)
+    firsts = durable(known.groupBy("root").agg(F.min("first").alias("group_first")), n)
+    known = durable(known.join(firsts, "root").drop("root"), n)
     own = F.coalesce("first", "place")
     group = F.coalesce("group_first", "place")
     return signed.select("doc_id", "row_hash", "place", "key").join(known, "key", "left").select(
@@ -301,7 +303,7 @@ def linked(docs: DataFrame) -> DataFrame:
 
 def first_of_each_group(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are first in their group; of repeated rows one stays."""
-    rows = durable(linked(docs).where("first"))
+    rows = durable(linked(docs).where("first"), docs.count())
     kept = kept_rows(docs, rows, "left_semi")
     repeated = rows.groupBy("doc_id", "row_hash").count().where("count > 1").limit(1).count()
     if not repeated:
