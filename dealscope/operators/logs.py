@@ -210,20 +210,23 @@ def action_table(answers: DataFrame, session: str, position: str, ties: tuple[st
     )
 
 
-def _first_texts(answers: DataFrame, session: str, position: str, name: str, n: int) -> DataFrame:
-    listed = answers.select(session, position, F.col(f"rec.{name}").alias("_t")).filter(F.col("_t") != "")
-    top = first_per_group(listed, [session], [F.col(position)], n)
-    ordered = F.array_sort(F.collect_list(F.struct(position, "_t")))
-    return top.groupBy(session).agg(F.array_join(F.transform(ordered, lambda s: s["_t"]), "; ").alias(name))
+#: texts of a session's summary and how many of each are told
+_TOLD = {"priority_action": 3, "risk_flag": 3, "opportunity": 2}
 
 
 def session_summary(answers: DataFrame, session: str, position: str) -> DataFrame:
-    """Items, sections, first three actions and risks, first two opportunities."""
-    out = answers.groupBy(session).agg(
-        F.count("*").alias("items"), F.count_distinct("section").alias("sections")
-    )
-    for name, n in (("priority_action", 3), ("risk_flag", 3), ("opportunity", 2)):
-        out = out.join(_first_texts(answers, session, position, name, n), session, "left")
+    """Items, sections, first three actions and risks, first two opportunities.
+
+    The texts of all three kinds are taken in one pass, of which the first few per session and kind leave a task.
+    """
+    cells = F.array(*[F.struct(F.lit(name).alias("_kind"), F.col(f"rec.{name}").alias("_text")) for name in _TOLD])
+    listed = answers.select(session, position, F.inline(cells)).filter(F.col("_text") != "")
+    first = first_per_group(listed, [session, "_kind"], [F.col(position)], max(_TOLD.values()))
+    own = lambda name: F.collect_list(F.when(F.col("_kind") == name, F.struct(position, "_text")))
+    told = first.groupBy(session).agg(*[F.slice(F.array_sort(own(name)), 1, n).alias(name) for name, n in _TOLD.items()])
+    joined = [F.nullif(F.array_join(F.transform(name, lambda s: s["_text"]), "; "), F.lit("")).alias(name) for name in _TOLD]
+    counts = answers.groupBy(session).agg(F.count("*").alias("items"), F.count_distinct("section").alias("sections"))
+    out = counts.join(told.select(session, *joined), session, "left")
     text = F.concat_ws(
         " ",
         F.concat(
@@ -237,9 +240,22 @@ def session_summary(answers: DataFrame, session: str, position: str) -> DataFram
     return out.select(session, "items", "sections", text.alias("summary"))
 
 
-def transcript_lines(messages: DataFrame, session: str, turn: str) -> DataFrame:
-    """Chat transcript lines keyed by (session, turn, line number)."""
+TRANSCRIPT_TITLE = "--- Chat transcript ---"
+
+
+def transcript_lines(
+    messages: DataFrame, session: str, turn: str, time: str | None = None, day: str | None = None
+) -> DataFrame:
+    """Chat transcript lines keyed by (session, turn, line number).
+
+    ``time`` names a column whose text (its first five characters) stands before a message. With ``day`` (a date)
+    each session begins with a header: its lines have a null turn, which sorts first.
+    """
     pad = "         "
+    at = F.lit("")
+    if time:
+        shown = F.substring(F.col(time).cast("string"), 1, 5)
+        at = F.when(F.coalesce(shown, F.lit("")) != "", F.concat(F.lit("["), shown, F.lit("] "))).otherwise("")
 
     def extra(title: str, name: str) -> Column:
         value = F.col(f"rec.{name}")
@@ -248,7 +264,7 @@ def transcript_lines(messages: DataFrame, session: str, turn: str) -> DataFrame:
     score = F.col("confidence")
     level = F.when(score >= 85, "High").when(score >= 60, "Review").otherwise("Low")
     agent = F.array(
-        F.concat(F.lit("AGENT: "), F.col("text")),
+        F.concat(at, F.lit("AGENT: "), F.col("text")),
         extra("RECOMMENDATION: Priority Action", "priority_action"),
         extra("Risk Flag", "risk_flag"),
         extra("Opportunity", "opportunity"),
@@ -258,10 +274,16 @@ def transcript_lines(messages: DataFrame, session: str, turn: str) -> DataFrame:
         ),
         F.lit(""),
     )
-    lines = F.when(F.col("role") == "user", F.array(F.concat(F.lit("USER: "), F.col("text")))).when(
+    lines = F.when(F.col("role") == "user", F.array(F.concat(at, F.lit("USER: "), F.col("text")))).when(
         F.col("role") == "assistant", F.array_compact(agent)
     )
-    return messages.select(session, turn, F.posexplode(lines).alias("line_no", "line"))
+    out = messages.select(session, turn, F.posexplode(lines).alias("line_no", "line"))
+    if day is None:
+        return out
+    title = [F.lit(TRANSCRIPT_TITLE), F.lit(f"Date: {day}"), F.concat(F.lit("Session ID: "), F.col(session).cast("string")), F.lit("")]
+    nothing = F.lit(None).cast(messages.schema[turn].dataType).alias(turn)
+    header = messages.select(session).distinct().select(session, nothing, F.posexplode(F.array(*title)).alias("line_no", "line"))
+    return header.unionByName(out)
 
 
 def call_summary(log: DataFrame, percentiles: tuple[int, ...] = (50, 95)) -> DataFrame:

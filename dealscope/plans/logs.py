@@ -238,6 +238,21 @@ def transcript_lines(spark, sf):
     return lg.transcript_lines(_messages(spark, sf), "conv_id", "turn")
 
 
+@query("m14_headed_transcript", "M14", f"""WITH m AS (SELECT conv_id, turn, role, text, '[' || printf('%02d:%02d', 9 + turn // 60, turn % 60) || '] ' AS said FROM conversations),
+l AS (SELECT conv_id, turn, 0 AS k, said || CASE role WHEN 'user' THEN 'USER: ' ELSE 'AGENT: ' END || text AS line FROM m WHERE role IN ('user', 'assistant')
+ UNION ALL SELECT conv_id, turn, 1, '' FROM m WHERE role = 'assistant'
+ UNION ALL SELECT DISTINCT conv_id, NULL, unnest([0, 1, 2, 3]), unnest(['{lg.TRANSCRIPT_TITLE}', 'Date: 2024-02-01', 'Session ID: ' || conv_id, '']) FROM m)
+SELECT conv_id, turn, CAST(k AS INT) AS line_no, line FROM l""")
+def headed_transcript(spark, sf):
+    """Transcripts with a header per session and the minute of each message."""
+    talk = table(spark, sf, "conversations").select(
+        "conv_id", "turn", "role", "text", F.lit(None).cast("bigint").alias("confidence"),
+        F.struct(*[F.lit("").alias(n) for n in ("priority_action", "risk_flag", "opportunity")]).alias("rec"),
+        F.format_string("%02d:%02d:00", (F.lit(9) + F.floor(F.col("turn") / 60)).cast("int"), (F.col("turn") % 60).cast("int")).alias("said_at"),
+    )
+    return lg.transcript_lines(talk, "conv_id", "turn", time="said_at", day="2024-02-01")
+
+
 @query("e26_session_scores", "E26", """SELECT CAST(conv_id AS VARCHAR) AS session_id, count(*) AS queries,
  round(sum(length(text) % 101) / count(*)::DOUBLE, 4) AS avg_confidence FROM conversations WHERE role = 'assistant' GROUP BY 1""")
 def session_scores(spark, sf):

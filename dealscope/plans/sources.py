@@ -184,6 +184,17 @@ def text_tree(spark, sf):
     return files.groupBy("source_type").agg(F.sum(F.length("text")).cast("bigint").alias("n_chars"))
 
 
+@query("a15_text_files", "A15", """
+SELECT 'scraped_item_id=' || item_id AS prefix, 'item_id=' || item_id AS source_type, md5(text || chr(10)) AS text_md5 FROM benchmark""")
+def text_files(spark, sf):
+    """One file per test item, each text compared as a whole."""
+    base = scratch_path(spark, "knowledge")
+    items = table(spark, sf, "benchmark").select("item_id", "text")
+    items.repartition("item_id").write.partitionBy("item_id").text(f"{base}/scraped", lineSep="\n")
+    files = src.read_text_tree(spark, base)
+    return files.select(F.regexp_replace("prefix", "_part-.*$", "").alias("prefix"), "source_type", F.md5("text").alias("text_md5"))
+
+
 @query("a17_benchmark_table", "A17", """
 SELECT o_orderpriority AS service_line, count(*) FILTER (o_totalprice < 100000) AS small, count(*) FILTER (o_totalprice >= 100000 AND o_totalprice < 500000) AS mid
 FROM orders GROUP BY 1""")
