@@ -14,7 +14,7 @@ import numpy as np
 
 START, UNREACHED = -1, -2
 #: bits of the table of remembered pairs, and the odd factor that spreads pairs over it
-SLOTS, MIX = 22, np.int64(-7046029254386353131)
+SLOTS, MIX = 20, np.int64(-7046029254386353131)
 
 
 class Merges:

@@ -29,8 +29,8 @@ from dealscope.llm.common import slices
 
 SPACE = "▁"
 #: bytes of text in one batch, and words that a worker remembers
-BATCH_BYTES = 4_000_000
-REMEMBERED = 300_000
+BATCH_BYTES = 2_000_000
+REMEMBERED = 200_000
 _WORD = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
 
