@@ -74,10 +74,12 @@ def failing(docs: DataFrame) -> DataFrame:
         F.coalesce("lang", F.lit("")).alias("part"),
         F.coalesce("text", F.lit("")).cast("binary").alias("raw"),
     )
-    own = durable(texts.mapInArrow(_measured, "id bigint, part string, bits int, digest binary"))
+    n = docs.count()
+    own = durable(texts.mapInArrow(_measured, "id bigint, part string, bits int, digest binary"), n)
     rows = own.groupBy("id", "part", "digest", "bits").agg(F.count(F.lit(1)).alias("copies"))
     shared = durable(
-        own.groupBy("digest").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").drop("last")
+        own.groupBy("digest").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").drop("last"),
+        n,
     )
     later = F.when(F.col("id") > F.col("first"), 1 << FILTERS.index("E")).otherwise(0)
     return rows.join(shared, "digest", "left").select(
@@ -195,7 +197,7 @@ def audit(docs: DataFrame, labels: DataFrame) -> DataFrame:
         F.coalesce("_quality", F.lit(0)).alias("good"), F.coalesce("_toxic", F.lit(0)).alias("toxic"),
     )
     order = ["part", "id", "digest"]
-    ranges = durable(marked).repartitionByRange(partitions(docs.sparkSession), *order).sortWithinPartitions(*order)
+    ranges = durable(marked, docs.count()).repartitionByRange(partitions(docs.sparkSession), *order).sortWithinPartitions(*order)
     schema = "part string, filter_order string, step int, " + ", ".join(f"{c} bigint" for c in COUNTS)
     found = ranges.mapInArrow(_audited, schema).groupBy("part", "filter_order", "step")
     return found.agg(*[F.sum(c).alias(c) for c in COUNTS])
