@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dealscope.llm import decontamination, line_dedup, ngram_join, quality_rules, sentencepiece_codec
-from dealscope.llm.common import kept_rows, table
+from dealscope.llm.common import discard, kept_rows, table
 from dealscope.llm.queries import PIECES, vocabulary
 from dealscope.session import shared_folder
 
@@ -59,10 +59,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the table ``documents``, each result written to the shared folder and read again."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over the table ``documents``, each result written to the shared folder and read again.
+
+    A stage's copy goes when the next one is written; the last one stays for the reader of the result.
+    """
+    docs, read = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         path = f"{shared_folder(spark)}/pipeline-{name}-{uuid.uuid4().hex}"
         stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        if read:
+            discard(spark, read)
+        docs, read = spark.read.parquet(path), path
     return docs

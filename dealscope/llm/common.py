@@ -80,7 +80,7 @@ MATCH_BLOCK = 256
 
 
 def located(text: Column, pattern: str, keep: Callable[[Column], Column]) -> Column:
-    """start (from 0, in code points), match and the text before it back to the last match, of every match kept.
+    """start (from 0, in code points), match and the text on both sides up to the next matches, of every match kept.
 
     Positions are running sums of the lengths of matches and of the pieces between them, summed by blocks so that
     a text of many matches takes no square of their number. A match is not empty.
@@ -88,11 +88,11 @@ def located(text: Column, pattern: str, keep: Callable[[Column], Column]) -> Col
     length = lambda x: F.length(x["before"]) + F.length(x["match"])
 
     def placed(found: Column, begin: Column) -> Column:
-        zero = F.struct(begin.alias("at"), F.array().cast("array<struct<start:int,match:string,before:string>>").alias("out"))
+        zero = F.struct(begin.alias("at"), F.array().cast("array<struct<start:int,match:string,before:string,after:string>>").alias("out"))
 
         def add(state: Column, x: Column) -> Column:
             start = state["at"] + F.length(x["before"])
-            one = F.struct(start.alias("start"), x["match"].alias("match"), x["before"].alias("before"))
+            one = F.struct(start.alias("start"), x["match"].alias("match"), x["before"].alias("before"), x["after"].alias("after"))
             kept = F.when(keep(x["match"]), F.concat(state["out"], F.array(one))).otherwise(state["out"])
             return F.struct((state["at"] + length(x)).alias("at"), kept.alias("out"))
 
@@ -120,7 +120,10 @@ def located(text: Column, pattern: str, keep: Callable[[Column], Column]) -> Col
     )
     pairs = let(
         both,
-        lambda x: F.transform(x["match"], lambda m, i: F.struct(m.alias("match"), F.get(x["before"], i).alias("before"))),
+        lambda x: F.transform(
+            x["match"],
+            lambda m, i: F.struct(m.alias("match"), F.get(x["before"], i).alias("before"), F.get(x["before"], i + 1).alias("after")),
+        ),
     )
     return let(pairs, in_blocks)
 

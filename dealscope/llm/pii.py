@@ -4,8 +4,9 @@ Base kinds are found as leftmost non-overlapping matches of their pattern, kind
 its check (parts of an address at most 255, Luhn with 14 to 19 digits, 10 to 15 digits of a phone number) is
 dropped without another try. The method adds the kinds ``iban`` (mod 97), ``ssn`` (number groups) and
 ``account`` (runs of 8 to 17 digits); a span of an added kind is reported if its score reaches ``REPORT``.
-A score starts at the kind's prior, gains for a passed checksum and for a context word within the
-``CONTEXT`` code points before it, and loses for a word that tells of something else. Base spans stay whatever their score.
+A score starts at the kind's prior, gains for a passed checksum and for a context word within ``CONTEXT`` code points on
+either side (up to the neighbouring matches of its pattern), and loses for a word that tells of something else. Base
+spans stay whatever their score.
 
 A pattern's matches are taken with the pieces of text between them, so that positions follow from lengths. The
 patterns are possessive and begin a run of their characters only at its start or where the last match ended,
@@ -43,13 +44,14 @@ SIGN = {
 PRIOR = {"email": 0.9, "ip": 0.6, "card": 0.5, "phone": 0.6, "iban": 0.4, "ssn": 0.5, "account": 0.2}
 CHECKSUM_GAIN, CONTEXT_GAIN, CONTEXT_LOSS, REPORT = 0.4, 0.3, 0.3, 0.5
 CONTEXT = 40
-#: fixed values: words that speak for and against a kind
+#: fixed values: words that speak for and against a kind, in the languages of the corpus
 FOR = {
-    "email": "e-?mail|contact|write", "ip": "ip|address|host|server", "card": "card|visa|credit|payment",
-    "phone": "phone|call|tel|mobile|fax", "iban": "iban|bank|account|transfer", "ssn": "ssn|social|security",
-    "account": "account|konto|cuenta|compte|bank",
+    "email": "e-?mail|contact|write|kontakt|correo|courriel", "ip": "ip|address|host|server|adresse|servidor|serveur",
+    "card": "card|visa|credit|payment|karte|tarjeta|carte", "phone": "phone|call|tel|mobile|fax|telefon|tel[ée]fono|t[ée]l[ée]phone",
+    "iban": "iban|bank|account|transfer|konto|cuenta|compte|banque|banco", "ssn": "ssn|social|security",
+    "account": "account|konto|cuenta|compte|bank|banque|banco",
 }
-AGAINST = "version|order|invoice|isbn|serial|page"
+AGAINST = "version|order|invoice|isbn|serial|page|rechnung|seite|factura|p[áa]gina|facture"
 
 #: zeros may lead; the last of them is given back where nothing else stands
 _AT_MOST_255 = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2})"
@@ -91,8 +93,8 @@ def _confirmed(kind: str, match: Column) -> Column:
     return F.lit(True)
 
 
-def _score(kind: str, before: Column) -> Column:
-    near = F.lower(F.substring(before, -CONTEXT, CONTEXT))
+def _score(kind: str, before: Column, after: Column) -> Column:
+    near = F.lower(F.concat(F.substring(before, -CONTEXT, CONTEXT), F.lit("\n"), F.substring(after, 1, CONTEXT)))
     checked = CHECKSUM_GAIN if kind in ("card", "iban") else 0.0
     gain = F.when(near.rlike(rf"(?<!\p{{L}})(?:{FOR[kind]})(?!\p{{L}})"), CONTEXT_GAIN).otherwise(0.0)
     loss = F.when(near.rlike(rf"(?<!\p{{L}})(?:{AGAINST})(?!\p{{L}})"), CONTEXT_LOSS).otherwise(0.0)
@@ -110,7 +112,7 @@ def _spans(kind: str, rank: int, pattern: str) -> Column:
         found,
         lambda s: F.struct(
             s["start"].alias("start"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"),
-            (s["start"] + F.length(s["match"])).alias("end"), _score(kind, s["before"]).alias("score"),
+            (s["start"] + F.length(s["match"])).alias("end"), _score(kind, s["before"], s["after"]).alias("score"),
         ),
     ).cast(_SPAN)
     return F.when(F.col("text").rlike(SIGN[kind]), spans).otherwise(F.array().cast(_SPAN))

@@ -87,6 +87,7 @@ def op7_pii(spark, sf_dir):
         "doc_id", *[pii.counted(F.col("base"), kind).alias(f"n_{kind}") for kind in pii.BASE],
         F.sha2(pii.listed(F.col("base")), 256).alias("base_sha256"),
         pii.listed(F.concat("base", "added")).alias("spans"),
+        F.array_max(F.transform(F.concat("base", "added"), lambda s: s["score"])).alias("top_score"),
     )
 
 
