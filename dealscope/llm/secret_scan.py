@@ -3,8 +3,8 @@
 A candidate is a run of 16 or more of ``[A-Za-z0-9+/_-]``. Its features are its length, how often the character
 class changes, digit and upper-case shares, character entropy, dictionary coverage (the share of its letter
 trigrams that are among the ``DICTIONARY`` most frequent of the corpus' own words), the path it was found
-in, and the words and signs next to it. The forest is trained on labelled findings, at most
-``TRAINING_ROWS`` of them, those with the smallest hash.
+in, and the words and signs on both sides of it. The forest is trained on distinct labelled findings, weighted by how
+often they occur, at most ``TRAINING_ROWS`` of them, half for each label, those with the smallest hash.
 
 Where no labels are given, findings are labelled by rules of high precision: a known key format or a value
 assigned to a name that tells of a secret is one; a capitalised or lower-case word, or a run of digits, with no such
@@ -35,12 +35,12 @@ DICTIONARY = 1_000
 NEAR = 24
 #: fixed values: names that tell of a secret, known formats, paths of examples
 NAMES = r"(?i)(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth|credential)"
-ASSIGNED = rf"{NAMES}[\"']?\s*[=:]\s*[\"']?$"
+ASSIGNED = rf"{NAMES}[\"']?\s*[=:]\s*[\"']?\z"
 FORMATS = r"^(?:AKIA[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[abp]-[A-Za-z0-9-]{10,})$"
 EXAMPLE_PATH = r"(?i)test|example|fixture|sample|doc"
 FEATURES = (
     "length", "transitions", "digit_share", "upper_share", "entropy", "coverage", "path_depth", "path_example",
-    "named", "assigned", "quoted",
+    "named", "assigned", "quoted", "named_after",
 )
 
 
@@ -60,6 +60,7 @@ def candidates(docs: DataFrame, trigrams: list[str], path: str = "source") -> Da
     rows = rows.select(
         "doc_id", "path", F.col("c.start").alias("start"), (F.col("c.start") + F.length("c.match")).alias("end"),
         F.col("c.match").alias("value"), F.substring("c.before", -NEAR, NEAR).alias("before"),
+        F.substring("c.after", 1, NEAR).alias("after"),
     )
     size = F.length("value")
     count = lambda pattern: F.regexp_count("value", F.lit(pattern))
@@ -69,16 +70,16 @@ def candidates(docs: DataFrame, trigrams: list[str], path: str = "source") -> Da
     known = F.size(F.filter(pieces, lambda g: g.isin(trigrams))) if trigrams else F.lit(0)
     flag = lambda column, pattern: column.rlike(pattern).cast("double")
     return rows.select(
-        "doc_id", "start", "end", "value", "before",
-        F.least(size, F.lit(1000)).cast("double").alias("length"),
+        "doc_id", "start", "end", "value", "before", "after",
+        size.cast("double").alias("length"),
         (count(changes) / size).alias("transitions"),
         (count("[0-9]") / size).alias("digit_share"), (count("[A-Z]") / size).alias("upper_share"),
-        entropy(F.substring("value", F.lit(1), F.least(size, F.lit(1000)))).alias("entropy"),
+        entropy(F.col("value")).alias("entropy"),
         (known / size).alias("coverage"),
         F.regexp_count("path", F.lit("/")).cast("double").alias("path_depth"),
         flag(F.col("path"), EXAMPLE_PATH).alias("path_example"),
-        flag(F.col("before"), NAMES).alias("named"), flag(F.col("before"), r"[=:]\s*[\"']?$").alias("assigned"),
-        flag(F.col("before"), "[\"']$").alias("quoted"),
+        flag(F.col("before"), NAMES).alias("named"), flag(F.col("before"), r"[=:]\s*[\"']?\z").alias("assigned"),
+        flag(F.col("before"), r"[\"']\z").alias("quoted"), flag(F.col("after"), NAMES).alias("named_after"),
     )
 
 
@@ -92,17 +93,17 @@ def rule_label() -> Column:
 def train(labelled: DataFrame, rows: int = TRAINING_ROWS):
     """The forest on candidates with a ``label``, or None if only one label occurs."""
     known = labelled.where(F.col("label").isNotNull())
+    # distinct findings with their number as weight, so that a repeated one does not fill the sample
+    distinct = known.groupBy("label", "value", "before", "after", *FEATURES).agg(F.count(F.lit(1)).cast("double").alias("weight"))
     # half of the bound for each label, so that the rarer one is not lost
-    drawn = [
-        known.where(F.col("label") == v).orderBy(F.xxhash64("value", "before"), "value", "before", "label").limit(rows // 2)
-        for v in (0, 1)
-    ]
-    training = durable(drawn[0].union(drawn[1]).select("label", *FEATURES).coalesce(1))
+    order = [F.xxhash64("value", "before", "after"), "value", "before", "after", *FEATURES]
+    drawn = [distinct.where(F.col("label") == v).orderBy(*order).limit(rows // 2) for v in (0, 1)]
+    training = durable(drawn[0].union(drawn[1]).select("label", "weight", *FEATURES).coalesce(1))
     if training.select("label").distinct().count() < 2:
         return None
     vectors = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(training)
-    forest = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=11)
-    return forest.fit(vectors.select("features", F.col("label").cast("double").alias("label")))
+    forest = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=11, weightCol="weight")
+    return forest.fit(vectors.select("features", "weight", F.col("label").cast("double").alias("label")))
 
 
 def scored(found: DataFrame, model) -> DataFrame:
