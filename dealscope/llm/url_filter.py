@@ -2,8 +2,8 @@
 
 A rule names a host with a path prefix; it fits that host and all its subdomains if the path begins with the
 prefix, and the longest rule that fits wins. URLs that a rule decides are labelled by it; at most
-``TRAINING_ROWS`` of them (those with the smallest hash, so a fixed set for fixed data) train the trees, whose
-verdict covers every URL that no rule fits. With labelled URLs of one class only, that class is the verdict; with
+``TRAINING_ROWS`` distinct ones, weighted by how often they occur (half for each label, those with the smallest
+hash, so a fixed set for fixed data), train the trees, whose verdict covers every URL that no rule fits. With labelled URLs of one class only, that class is the verdict; with
 none, ``allow``.
 
 Features: length, path depth, digit and letter ratios, character entropy, parameter count, label count and
@@ -93,7 +93,7 @@ def lexical(urls: DataFrame, *more: Column) -> DataFrame:
 
 
 def _rates(training: DataFrame, of: str, overall: float) -> DataFrame:
-    shrunk = (F.sum("label") + SUFFIX_WEIGHT * overall) / (F.count(F.lit(1)) + SUFFIX_WEIGHT)
+    shrunk = (F.sum(F.col("label") * F.col("weight")) + SUFFIX_WEIGHT * overall) / (F.sum("weight") + SUFFIX_WEIGHT)
     return durable(training.groupBy(of).agg(shrunk.alias(f"{of}_rate")))  # at most as many rows as were drawn
 
 
@@ -102,14 +102,17 @@ class UrlModel:
 
     def __init__(self, labelled: DataFrame, rows: int = TRAINING_ROWS):
         known = labelled.where(F.col("label").isNotNull())
-        drawn = known.orderBy(F.xxhash64("url"), "url", "label").limit(rows)
-        training = durable(lexical(drawn, F.col("label").cast("double").alias("label")).coalesce(4))
-        seen = training.agg(F.count(F.lit(1)).alias("n"), F.avg("label").alias("rate")).first()
+        # distinct URLs with their number as weight, half of the bound for each label: no URL or label fills the sample
+        distinct = known.groupBy("url", "label").agg(F.count(F.lit(1)).cast("double").alias("weight"), F.min("page_id").alias("page_id"))
+        drawn = [distinct.where(F.col("label") == v).orderBy(F.xxhash64("url"), "url").limit(rows // 2) for v in (0, 1)]
+        both = drawn[0].union(drawn[1])
+        training = durable(lexical(both, F.col("label").cast("double").alias("label"), F.col("weight")).coalesce(4))
+        seen = training.agg((F.sum(F.col("label") * F.col("weight")) / F.sum("weight")).alias("rate")).first()
         self.rate, self.model = seen["rate"] or 0.0, None
         if 0.0 < self.rate < 1.0:
             self.rates = [_rates(training, of, self.rate) for of in ("suffix", "section")]
-            assembled = self._assembled(training).select("features", "label")
-            self.model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, seed=7, checkpointInterval=-1).fit(assembled)
+            assembled = self._assembled(training).select("features", "label", "weight")
+            self.model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, seed=7, checkpointInterval=-1, weightCol="weight").fit(assembled)
 
     def _assembled(self, features: DataFrame) -> DataFrame:
         rated = features
