@@ -69,26 +69,43 @@ def to_number(col: Column) -> Column:
 NUMBER_TEXT = r"^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]{1,9})?$"
 
 
+#: numbers with more zeros than this are written with an exponent
+MOST_ZEROS = 40
+
+
 def number_form_sql(text: str) -> str:
-    """SQL: sign, digits and exponent of a printed number, the same for every way to print it; 0 is ``0``.
+    """SQL: a printed number in plain digits without needless zeros, the same for every way to print it.
 
-    ``12345678.5``, ``1.23456785E7`` and ``123456785e-1`` all give ``123456785e-1``. What is no plain number
+    ``12345678.50``, ``1.23456785E7`` and ``123456785e-1`` all give ``12345678.5``. What is no plain number
     (infinity among them) stays as it is.
     """
-    pattern = NUMBER_TEXT.replace("\\", "\\\\")
     whole, part = f"regexp_extract({text}, '^[+-]?([0-9]*)', 1)", f"regexp_extract({text}, '^[+-]?[0-9]*[.]([0-9]*)', 1)"
     digits = f"ltrim('0', concat({whole}, {part}))"
     bare = f"rtrim('0', {digits})"
     power = f"coalesce(try_cast(regexp_extract({text}, '[eE]([+-]?[0-9]+)$', 1) AS INT), 0)"
     exponent = f"({power} - length({part}) + length({digits}) - length({bare}))"
-    sign = f"if(startswith({text}, '-'), '-', '')"
-    form = f"if({bare} = '', '0', concat({sign}, {bare}, 'e', CAST({exponent} AS STRING)))"
-    return f"if({text} RLIKE '{pattern}', {form}, {text})"
+    before = f"(length({bare}) + {exponent})"
+    plain = (
+        f"CASE WHEN abs({exponent}) > {MOST_ZEROS} THEN concat({bare}, 'e', CAST({exponent} AS STRING)) "
+        f"WHEN {exponent} >= 0 THEN concat({bare}, repeat('0', {exponent})) "
+        f"WHEN {before} > 0 THEN concat(left({bare}, {before}), '.', substring({bare}, {before} + 1)) "
+        f"ELSE concat('0.', repeat('0', -{before}), {bare}) END"
+    )
+    form = f"if({bare} = '', '0', concat(if(startswith({text}, '-'), '-', ''), {plain}))"
+    return f"if({text} RLIKE '{NUMBER_TEXT}', {form}, {text})"
 
 
 def whole_form_sql(value: str) -> str:
-    """The same form of a whole-number column, without patterns."""
-    digits = f"ltrim('-', CAST({value} AS STRING))"
-    bare = f"rtrim('0', {digits})"
-    form = f"concat(if({value} < 0, '-', ''), {bare}, 'e', CAST(length({digits}) - length({bare}) AS STRING))"
-    return f"if({value} = 0, '0', {form})"
+    """The same form of a whole-number column."""
+    return f"CAST({value} AS STRING)"
+
+
+def fraction_form_sql(value: str, decimal: bool) -> str:
+    """The same form of a floating or decimal column; patterns are used only where it prints with an exponent."""
+    text = f"CAST({value} AS STRING)"
+    if decimal:
+        bare = f"rtrim('.', rtrim('0', {text}))"
+        return f"if(contains({text}, 'E'), {number_form_sql(text)}, if(contains({text}, '.'), if({value} = 0, '0', {bare}), {text}))"
+    whole = f"{value} = floor({value}) AND abs({value}) < 1e15"
+    short = f"abs({value}) >= 1e-3 AND abs({value}) < 1e7"
+    return f"CASE WHEN {whole} THEN CAST(CAST({value} AS BIGINT) AS STRING) WHEN {short} THEN {text} ELSE {number_form_sql(text)} END"

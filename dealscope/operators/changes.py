@@ -12,7 +12,7 @@ import datetime as dt
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dealscope.functions.numbers import number_form_sql, ratio, whole_form_sql
+from dealscope.functions.numbers import fraction_form_sql, ratio, whole_form_sql
 from dealscope.functions.ordering import first_per_group
 from dealscope.operators.profiling import _name, _text, _value, digest_sql, kind_of
 from dealscope.session import scratch_path
@@ -78,7 +78,7 @@ def _row_cells(df: DataFrame, other: DataFrame) -> list[str]:
             cells.append(v)
         elif kind == kind_of(twin) == "number":
             whole = f.dataType.typeName() in ("byte", "short", "integer", "long")
-            cells.append(whole_form_sql(v) if whole else number_form_sql(f"CAST({v} AS STRING)"))
+            cells.append(whole_form_sql(v) if whole else fraction_form_sql(v, f.dataType.typeName() == "decimal"))
         elif kind == kind_of(twin) == "date":
             cells.append(f"CAST({v} AS TIMESTAMP_NTZ)")
         else:

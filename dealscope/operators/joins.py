@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 
 from dealscope import fixed_values as fv
 from dealscope.functions.names import name_similarity
-from dealscope.functions.numbers import NUMBER_TEXT, count_if, number_form_sql, ratio, whole_form_sql
+from dealscope.functions.numbers import NUMBER_TEXT, count_if, fraction_form_sql, number_form_sql, ratio, whole_form_sql
 from dealscope.functions.ordering import first_per_group
 from dealscope.operators.profiling import _name, _value, kind_of
 from dealscope.operators.semantic_types import number_sql
@@ -61,7 +61,7 @@ def _all_numbers(df: DataFrame, columns: list[str]) -> dict[str, bool]:
 
 
 def _key_form(field: T.StructField, as_number: bool = True) -> str:
-    """Comparable text of a cell: numbers in one form of sign, digits and exponent, whatever type they come in.
+    """Comparable text of a cell: numbers in one form of plain digits, whatever type they come in.
 
     ``as_number`` reads texts that are numbers as such; other texts are trimmed.
     """
@@ -71,7 +71,7 @@ def _key_form(field: T.StructField, as_number: bool = True) -> str:
     if kind == "number":
         if field.dataType.typeName() in ("byte", "short", "integer", "long"):
             return f"concat('n', {whole_form_sql(v)})"
-        return f"concat('n', {number_form_sql(f'CAST({v} AS STRING)')})"
+        return f"concat('n', {fraction_form_sql(v, isinstance(field.dataType, T.DecimalType))})"
     if kind == "date":
         return f"concat('d', CAST({v} AS STRING))"
     text = f"trim(CAST({v} AS STRING))"
