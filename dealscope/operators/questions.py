@@ -285,17 +285,20 @@ def _segments(length: Column) -> Column:
     return F.array(*[F.struct(F.lit(k).alias("k"), cut(k).alias("begin"), (cut(k + 1) - cut(k)).alias("size")) for k in range(n)])
 
 
-def _blocks_of(names: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(block, name) rows of every name, and the rows that look for partners among them.
+def _short_blocks(names: DataFrame) -> DataFrame:
+    """(name, block): two short names within two edits become equal when at most two characters of each are left out."""
+    return names.where(F.length("name") <= LONG_NAME + EDITS).select(
+        "name", F.explode(F.transform(_deletions(F.col("name")), lambda d: F.xxhash64(F.lit("d"), d))).alias("block")
+    )
+
 
-    Two short names within two edits become equal when at most two characters of each are left out, so both are in
-    the block of what is left. Long ones, whose deletions grow with the square of the length, share a segment that
-    lies at most two places aside; they look under the lengths and places a partner may have.
+def _long_blocks(names: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(name, block) of the segments that long names hold, and of those that they look for.
+
+    Their deletions grow with the square of the length, so they share a segment that lies at most two places aside,
+    and look under the lengths and places a partner may have.
     """
     length = F.length("name")
-    short = names.where(length <= LONG_NAME + EDITS).select(
-        "name", F.explode(F.transform(_deletions(F.col("name")), lambda d: F.xxhash64(F.lit("d"), d))).alias("block")
-    )
     long = names.where(length > LONG_NAME)
     key = lambda size, k, text: F.xxhash64(F.lit("s"), size, k, text)
     held = F.transform(_segments(length), lambda s: key(length, s["k"], F.substring("name", s["begin"] + 1, s["size"])))
@@ -315,9 +318,23 @@ def _blocks_of(names: DataFrame) -> tuple[DataFrame, DataFrame]:
             ),
         )
     )
-    holding = short.unionByName(long.select("name", F.explode(held).alias("block")))
-    asking = short.unionByName(long.select("name", F.explode(F.array_distinct(asked)).alias("block")))
-    return holding, asking
+    return long.select("name", F.explode(held).alias("block")), long.select("name", F.explode(F.array_distinct(asked)).alias("block"))
+
+
+def _blocks_of(names: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(block, name) rows of every name, and the rows that look for partners among them."""
+    short, (held, asked) = _short_blocks(names), _long_blocks(names)
+    return short.unionByName(held), short.unionByName(asked)
+
+
+def _met(asking: DataFrame, holding: DataFrame) -> DataFrame:
+    """Names that meet in a block, the smaller first.
+
+    The blocks are many times the names they come from, which Spark's size estimate does not see: the hint keeps
+    them from being broadcast, and one exchange serves both sides where they are the same rows.
+    """
+    near = asking.alias("a").join(holding.alias("b").hint("merge"), F.expr("a.block = b.block AND a.name < b.name"))
+    return near.select(F.col("a.name").alias("name"), F.col("b.name").alias("other"))
 
 
 def similar_accounts(accounts: DataFrame, key: Column) -> DataFrame:
@@ -325,18 +342,16 @@ def similar_accounts(accounts: DataFrame, key: Column) -> DataFrame:
 
     Every such pair is found: distinct names meet in blocks that it cannot miss, and the edit distance decides. All
     names of a deletion block are within four edits of each other, so blocks are as large as the names are close;
-    a block that many share is a join key that Spark splits, and blocks of one name are left out before the join.
+    a block that many share is a join key that Spark splits.
     """
     names = accounts.withColumn("name", key).where(F.col("name") != "").groupBy("name").agg(F.count("*").alias("accounts"))
-    holding, asking = _blocks_of(names.select("name"))
-    shared = holding.groupBy("block").agg(F.count("*").alias("n"), F.min("name").alias("one"))
-    # a block held by one name is of use to others only
-    useful = asking.join(shared, "block").where((F.col("n") > 1) | (F.col("one") != F.col("name"))).select("block", "name")
-    other = holding.select("block", F.col("name").alias("other"))
-    pairs = useful.join(other, "block").where(F.col("name") < F.col("other"))
+    # by number: adaptive execution would put the few bytes of the names, which make many blocks, into one task
+    dealt = names.select("name").repartition(int(names.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("name"))
+    short, (held, asked) = _short_blocks(dealt), _long_blocks(dealt)
+    pairs = _met(short, short).unionByName(_met(asked, held))
     near = pairs.withColumn("distance", F.levenshtein("name", "other", EDITS)).where(F.col("distance") >= 0)
     found = near.select("name", "other", "distance").distinct()
-    sized = names.withColumnsRenamed({"name": "n", "accounts": "a"})
+    sized = names.withColumnsRenamed({"name": "n", "accounts": "a"}).hint("merge")
     out = found.join(sized, F.col("name") == F.col("n")).select("name", "other", "distance", F.col("a").alias("accounts"))
     return out.join(sized, F.col("other") == F.col("n")).select("name", "other", "distance", "accounts", F.col("a").alias("other_accounts"))
 

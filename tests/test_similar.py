@@ -60,6 +60,13 @@ def test_names_are_not_compared_pair_by_pair(spark):
     assert holding.count() == asking.count()
 
 
+def test_blocks_of_names_are_not_broadcast(spark):
+    """A small table of names makes a large one of blocks: it has no place in the driver."""
+    names = spark.range(300).select(F.md5(F.col("id").cast("string")).alias("account_name"))
+    plan = qs.similar_accounts(names, F.col("account_name"))._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and plan.count("SortMergeJoin") >= 4
+
+
 def test_first_values_in_file_order(spark):
     path = scratch_path(spark, "typed")
     rows = [(None, None, None, None)] + [(i, i / 4, i % 2 == 0, dt.datetime(2024, 1, 1, 0, 0, i % 60)) for i in range(500)]
