@@ -80,6 +80,27 @@ def test_small_blocks_are_not_joined_to_one_row(spark, clouds, monkeypatch):
     same(found(vi.search(spark.createDataFrame(asked, "name string, vec array<double>"), "name", "vec", index, 3).hits), brute(asked, rows, 3, "l2"))
 
 
+def test_blocks_are_sent_to_groups_of_questions(spark, monkeypatch):
+    """Vectors that pivots can't tell apart, with many ties: a block is sent once a group, not once a question."""
+    monkeypatch.setattr(vi, "BLOCK_ROWS", 32)
+    monkeypatch.setattr(vi, "GROUP", 150)
+    monkeypatch.setattr(vi, "FEWEST_BLOCKS", 2)
+    kept = {}
+    stored = vi._stored
+    monkeypatch.setattr(vi, "_stored", lambda df, path, name: kept.setdefault(name, stored(df, path, name)))
+    draw = np.random.default_rng(4)
+    rows = [(f"k{i}", draw.integers(0, 3, 6).astype(float).tolist()) for i in range(900)]
+    asked = [(i, draw.integers(0, 3, 6).astype(float).tolist() if i % 3 else draw.uniform(0, 2, 6).tolist()) for i in range(700)]
+    index = vi.build_index(spark.createDataFrame(rows, "id string, vec array<double>"), "id", "vec")
+    result = vi.search(spark.createDataFrame(asked, "name long, vec array<double>"), "name", "vec", index, 6)
+    same(found(result.hits), brute(asked, rows, 6, "l2"))
+    questions, blocks = kept["asked"].count(), index.blocks(spark).count()
+    groups = kept["grouped"].select("group").distinct().count()
+    assert 1 < groups < questions / 50 and blocks > 10
+    assert kept["near"].count() <= groups * blocks
+    assert kept["second"].count() <= 6 * questions * -(-blocks // 2) < questions * blocks * 6
+
+
 def test_empty_sides(spark, clouds):
     rows, asked = clouds
     corpus, questions = spark.createDataFrame(rows, "id long, vec array<double>"), spark.createDataFrame(asked, "name string, vec array<double>")
