@@ -97,3 +97,8 @@ def test_global_order_scans_the_facts_once(spark, sf):
     df.collect()
     final = plan_of(df).split("== Initial Plan ==")[0]
     assert final.count("FileScan parquet") == 1
+
+
+def test_row_hash_deals_rows_to_as_many_tasks_as_the_session_shuffles(spark, sf):
+    plan = plan_of(load_all()["u1_row_hash"].plan(spark, sf))
+    assert "REPARTITION_BY_COL" in plan and "REPARTITION_BY_NUM" not in plan
