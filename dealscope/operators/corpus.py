@@ -187,11 +187,12 @@ def similar_patterns(
 
     Exact prefix-filter join. Token sets are reduced to distinct ones first, so a
     third of all rows asking the same thing is one set; per pattern set only the
-    best ``n`` codes can appear in a result. Tokens are ordered rare first, so a
-    phrase that a third of the questions share comes last and makes no candidates;
-    two sets that reach the threshold share one of their first
-    ``size - ceil(threshold * size) + 1`` tokens and lie in the same or adjacent
-    size bands. Both are exact bounds. Candidate rows carry set digests, the tokens
+    best ``n`` codes can appear in a result. Tokens are ordered by the number of sets
+    that hold them, so a phrase that a third of the questions share comes last and
+    makes no candidates; two sets that reach the threshold share one of their first
+    ``size - ceil(threshold * size) + 1`` tokens, lie in the same or adjacent size
+    bands, and behind the first token they share both have enough tokens left to
+    reach it. All three are exact bounds. Candidate rows carry set digests, the tokens
     join back only for the surviving pairs.
     """
     asked = _with_token_set(questions.select("question_id", "question"))
@@ -201,15 +202,18 @@ def similar_patterns(
     )
     asked_sets = asked.select("set_id", "tokens").dropDuplicates(["set_id"])
     stored_sets = stored.select("set_id", "tokens").dropDuplicates(["set_id"])
-    hot = _hot_tokens(asked_sets.unionByName(stored_sets))
-    other = _prefixes(_rare_first(stored_sets, hot), threshold).withColumnsRenamed(
-        {"set_id": "other_id", "size": "other_size"}
+    counts = _token_counts(asked_sets.unionByName(stored_sets))
+    other = _prefixes(_rare_first(stored_sets, counts), threshold).withColumnsRenamed(
+        {"set_id": "other_id", "size": "other_size", "pos": "other_pos"}
     )
     size, other_size = F.col("size"), F.col("other_size")
+    # tokens two sets must share, and at most share from this one on if it is the first
+    least = (size + other_size) * (threshold / (1 + threshold)) - 1e-6
+    left = F.least(size - F.col("pos"), other_size - F.col("other_pos"))
     pairs = (
-        _prefixes(_rare_first(asked_sets, hot), threshold, spread=True)
-        .join(other, ["token", "band"])
-        .filter((size * threshold <= other_size + 1e-9) & (other_size * threshold <= size + 1e-9))
+        _prefixes(_rare_first(asked_sets, counts), threshold, spread=True)
+        .join(other.hint("merge"), ["token", "band"])
+        .filter((size * threshold <= other_size + 1e-9) & (other_size * threshold <= size + 1e-9) & (left >= least))
         .select("set_id", "other_id")
         .distinct()
     )
@@ -234,34 +238,29 @@ def _with_token_set(df: DataFrame) -> DataFrame:
     return (
         df.withColumn("tokens", F.array_sort(tx.tokens(F.col("question"))))
         .filter(F.size("tokens") > 0)
-        .withColumn("set_id", F.md5(F.array_join("tokens", " ")))
+        .withColumn("set_id", F.unhex(F.md5(F.array_join("tokens", " "))))
         .drop("question")
     )
 
 
-def _hot_tokens(sets: DataFrame, share: int = 1000) -> DataFrame:
-    """Tokens in at least one of ``share`` sets, with their counts.
+def _token_counts(sets: DataFrame) -> DataFrame:
+    """(token, sets): the number of sets that hold a token."""
+    return sets.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("sets"))
 
-    There are at most ``share`` times the mean set size of them, whatever the number
-    of sets, which is the bound behind their broadcast.
-    """
-    counts = sets.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("sets"))
-    total = sets.agg(F.count("*")).scalar()
-    return counts.filter(F.col("sets") * share >= total)
 
+def _rare_first(sets: DataFrame, counts: DataFrame) -> DataFrame:
+    """Tokens of each set in one global order: those of the fewest sets first, longest first among them.
 
-def _rare_first(sets: DataFrame, hot: DataFrame) -> DataFrame:
-    """Tokens of each set in one global order: rare ones first, longest first among them."""
-    cells = sets.select("set_id", F.explode("tokens").alias("token")).join(F.broadcast(hot), "token", "left")
-    place = F.struct(
-        F.coalesce("sets", F.lit(0)).alias("sets"), (-F.length("token")).alias("l"), "token"
-    )
+    The counts are joined by shuffle: a vocabulary has no bound, and a token of every set is one row a set.
+    """
+    cells = sets.select("set_id", F.explode("tokens").alias("token")).join(counts.hint("merge"), "token")
+    place = F.struct("sets", (-F.length("token")).alias("l"), "token")
     ordered = F.transform(F.array_sort(F.collect_list(place)), lambda p: p["token"])
     return cells.groupBy("set_id").agg(ordered.alias("tokens"))
 
 
 def _prefixes(sets: DataFrame, threshold: float, spread: bool = False) -> DataFrame:
-    """(set_id, size, token, band) rows of the prefix tokens.
+    """(set_id, size, pos, token, band) rows of the prefix tokens.
 
     Sizes whose ratio is within the threshold differ by at most one band, because a
     band is a hair wider than the threshold; ``spread`` adds the two neighbours.
@@ -271,12 +270,12 @@ def _prefixes(sets: DataFrame, threshold: float, spread: bool = False) -> DataFr
     width = math.log(1 / threshold) * (1 + 1e-6) if threshold < 1 else 1.0
     band = F.floor(F.log(size.cast("double")) / width).cast("int")
     out = sets.select(
-        "set_id", size.alias("size"), band.alias("band"), F.explode(F.slice("tokens", F.lit(1), keep)).alias("token")
+        "set_id", size.alias("size"), band.alias("band"), F.posexplode(F.slice("tokens", F.lit(1), keep)).alias("pos", "token")
     )
     if not spread:
         return out
     near = F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1))
-    return out.select("set_id", "size", "token", near.alias("band"))
+    return out.select("set_id", "size", "pos", "token", near.alias("band"))
 
 
 # --- links and articles -------------------------------------------------------------

@@ -5,6 +5,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from dealscope.operators import corpus as cp
 from dealscope.operators import questions as qs
 from dealscope.operators import semantic_types as st
 from dealscope.session import scratch_path
@@ -80,3 +81,27 @@ def test_first_values_in_file_order(spark):
         "at": ["2024-01-01T00:00:00", "2024-01-01T00:00:01", "2024-01-01T00:00:02"],
     }
     assert st.first_values(df.where("false")).count() == 0
+
+
+def test_similar_patterns_equal_all_pairs_and_tokens_are_ordered_by_frequency(spark):
+    draw = random.Random(3)
+    words = [f"w{i}" for i in range(40)] + ["longestcommonword"]
+    asked = [(i, " ".join(draw.sample(words, draw.randint(1, 12)) + ["longestcommonword"])) for i in range(120)]
+    stored = [(f"c{i:03d}_{n}", q + draw.choice(["", " again", " w1 w2"])) for i, q in asked for n in range(2)] + [("none", ""), ("null", None)]
+    rows = spark.createDataFrame(asked, "question_id int, question string"), spark.createDataFrame(stored, "code string, question string")
+    got = sorted((r["question_id"], r["code"], round(r["similarity"], 9)) for r in cp.similar_patterns(*rows, threshold=0.6).collect())
+    want = []
+    for i, q in asked:
+        a, hits = set(q.split()), set()
+        for code, s in stored:
+            b = set((s or "").split())
+            if b and len(a & b) / len(a | b) >= 0.6:
+                hits.add((len(a & b) / len(a | b), code))
+        best = {}
+        for similarity, code in sorted(hits, reverse=True)[:3]:
+            best[code, round(similarity, 9)] = 1
+        want += [(i, code, similarity) for code, similarity in best]
+    assert got == sorted(want) and len(got) > 150
+    sets = spark.createDataFrame([(str(i), [f"x{i}", "pairedlongword" if i < 2 else f"y{i}"]) for i in range(3_000)], "set_id string, tokens array<string>")
+    ordered = cp._rare_first(sets, cp._token_counts(sets)).where("set_id = '1'").first()["tokens"]
+    assert ordered == ["x1", "pairedlongword"]
