@@ -2,7 +2,7 @@
 
 The values of each group lie in a stored table with their counts. A group's wanted ranks start with the whole
 range; as long as a range holds more than ``SLOT_ROWS`` distinct values, one pass cuts it at quantiles, counts
-what falls between, and keeps the slot the rank is in. What is sorted in the end, a task per rank, has a stated
+what falls between, and keeps the slot the rank is in; ranks in one range share the pass. What is sorted in the end, a task per rank, has a stated
 size however many values a group has, and the ranges (two a group) are all the driver sees.
 """
 
@@ -10,10 +10,10 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from dealscope.functions.ordering import quantile_bounds, slot_of
+from dealscope.functions.ordering import quantile_bounds
 
 #: distinct values that one task sorts at most, and cuts of a range in one pass
 SLOT_ROWS, CUTS = 100_000, 64
@@ -38,16 +38,30 @@ def _inside(values: DataFrame, ranges: list[Range]) -> DataFrame:
     return joined.where((F.col("value") >= F.col("low")) & (F.col("value") <= F.col("high")))
 
 
+def _slot(value: Column, bounds: Column) -> Column:
+    """``slot_of`` for less than ``CUTS`` bounds in two steps of comparisons that are compiled, not a lambda a bound."""
+    below = lambda i: F.when(F.get(bounds, i) < value, 1).otherwise(0)
+    step = int(CUTS**0.5)
+    coarse = sum((below(F.lit(i)) for i in range(step - 1, CUTS, step)), F.lit(0)) * step
+    before = coarse + sum((below(coarse + i) for i in range(step - 1)), F.lit(0))
+    return before * 2 + F.when(F.get(bounds, before) == value, 1).otherwise(0)
+
+
 def _narrowed(values: DataFrame, ranges: list[Range]) -> list[Range]:
-    inside = _inside(values, ranges)
-    bounds = inside.groupBy("ordinal", "rank").agg(quantile_bounds("value", CUTS).alias("bounds"))
-    slots = inside.join(F.broadcast(bounds), ["ordinal", "rank"]).withColumn("slot", slot_of(F.col("value"), F.col("bounds")))
-    sized = slots.groupBy("ordinal", "rank", "slot").agg(
+    spark = values.sparkSession
+    # ranks that lie in one range, as the two of a median do, are looked for in one pass over it
+    parts = {key: i for i, key in enumerate(dict.fromkeys((r.ordinal, r.low, r.high, r.before) for r in ranges))}
+    wanted = spark.createDataFrame([(i, *key) for key, i in parts.items()], "part int, ordinal int, low double, high double, before bigint")
+    ranks = spark.createDataFrame([(parts[r.ordinal, r.low, r.high, r.before], r.rank) for r in ranges], "part int, rank bigint")
+    inside = values.join(F.broadcast(wanted), "ordinal").where((F.col("value") >= F.col("low")) & (F.col("value") <= F.col("high")))
+    bounds = inside.groupBy("part").agg(quantile_bounds("value", CUTS).alias("bounds"))
+    slots = inside.join(F.broadcast(bounds), "part").withColumn("slot", _slot(F.col("value"), F.col("bounds")))
+    sized = slots.groupBy("part", "ordinal", "slot").agg(
         F.sum("n").alias("n"), F.count(F.lit(1)).alias("rows"), F.min("value").alias("low"), F.max("value").alias("high"),
         F.first("before").alias("before"),
     )
-    order = Window.partitionBy("ordinal", "rank").orderBy("slot")
-    ended = sized.withColumn("end", F.col("before") + F.sum("n").over(order))
+    order = Window.partitionBy("part").orderBy("slot")
+    ended = sized.withColumn("end", F.col("before") + F.sum("n").over(order)).join(F.broadcast(ranks), "part")
     own = ended.where((F.col("end") >= F.col("rank")) & (F.col("end") - F.col("n") < F.col("rank")))
     return [Range(r["ordinal"], r["rank"], r["low"], r["high"], r["end"] - r["n"], r["rows"]) for r in own.collect()]
 

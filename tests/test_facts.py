@@ -7,6 +7,7 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
+from dealscope.functions import ordering
 from dealscope.functions import selection as sl
 from dealscope.functions.numbers import number_form_sql, whole_form_sql
 from dealscope.operators import analytics as an
@@ -15,6 +16,7 @@ from dealscope.operators import joins as jn
 from dealscope.operators import profiling as pf
 from dealscope.operators import quality as ql
 from dealscope.plans import load_all
+from dealscope.session import scratch_path
 
 
 def plan_of(df):
@@ -174,3 +176,17 @@ def test_sums_keep_small_large_and_infinite_values(spark):
     tiny = spark.createDataFrame([("a", 6e-10), ("b", 3e-10), ("c", 1e-10)], "k string, v double")
     assert [(r["k"], r["cum_pct"]) for r in an.pareto(tiny, "k", "v").orderBy("rank").collect()] == [("a", 60.0), ("b", 90.0), ("c", 100.0)]
     assert [(r["rank"], r["k"]) for r in an.ranked(df, "k", "v").orderBy("rank").collect()] == [(1, "inf"), (2, "large"), (3, "plain"), (4, "small")]
+
+def test_slots_of_a_range_and_ranks_that_share_it(spark):
+    """The compiled slot is the one of the global order, and the two ranks of a median cost one pass."""
+    cases = [([], [0.0]), ([1.0], [0.0, 1.0, 2.0]), ([float(i) for i in range(63)], [-1.0, 0.0, 7.0, 7.5, 8.0, 31.0, 55.5, 62.0, 70.0])]
+    rows = spark.createDataFrame([(b, v) for b, vs in cases for v in vs], "bounds array<double>, value double")
+    value, bounds = F.col("value"), F.col("bounds")
+    assert rows.where(sl._slot(value, bounds) != ordering.slot_of(value, bounds)).count() == 0 and rows.count() == 13
+    path = scratch_path(spark, "values")
+    spark.range(1_000).selectExpr("CAST(id % 2 AS INT) AS ordinal", "CAST(id AS DOUBLE) AS value", "2L AS n").write.parquet(path)
+    values = spark.read.parquet(path)
+    ranges = [sl.Range(o, k, 0.0, 999.0, 0, 500) for o in (0, 1) for k in (500, 501)]
+    got = sl._narrowed(values, ranges)
+    assert len(got) == 4 and all(r.low <= (499.0 if r.rank == 500 else 500.0) + r.ordinal <= r.high + 2 for r in got)
+    assert {o: (f.distinct, f.median) for o, f in sl.medians(values, slot_rows=20).items()} == {0: (500, 499.0), 1: (500, 500.0)}
