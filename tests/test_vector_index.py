@@ -126,3 +126,34 @@ def test_character_vectors_of_a_batch(spark):
         expected += [b / 255.0 for b in hashlib.md5(text.encode()).digest()]
         assert got[i] == pytest.approx(expected + [0.0] * (64 - len(expected))), text[:20]
     assert cp.embed(rows.where("false"), "t").count() == 0
+
+
+def test_no_vector_is_shuffled_for_another_group(spark, monkeypatch):
+    """Blocks are read where they are stored, and questions are dealt once, whatever the groups and stripes."""
+    monkeypatch.setattr(vi, "BLOCK_ROWS", 16)
+    monkeypatch.setattr(vi, "GROUP", 60)
+    monkeypatch.setattr(vi, "FEWEST_BLOCKS", 2)
+    kept, shuffled = {}, []
+    stored = vi._stored
+
+    def spy(df, path, name):
+        def walk(node):
+            if "Exchange" in node.nodeName():
+                shuffled.append((name, node.output().toString()))
+            for i in range(node.children().size()):
+                walk(node.children().apply(i))
+
+        walk(df._jdf.queryExecution().sparkPlan())
+        return kept.setdefault(name, stored(df, path, name))
+
+    monkeypatch.setattr(vi, "_stored", spy)
+    draw = np.random.default_rng(6)
+    rows = [(f"k{i}", draw.uniform(0, 1, 12).tolist()) for i in range(500)]
+    asked = [(i, draw.uniform(0, 1, 12).tolist()) for i in range(150)]
+    index = vi.build_index(spark.createDataFrame(rows, "id string, vec array<double>").repartition(4), "id", "vec")
+    result = vi.search(spark.createDataFrame(asked, "name long, vec array<double>"), "name", "vec", index, 4)
+    same(found(result.hits), brute(asked, rows, 4, "l2"))
+    assert kept["grouped"].select("group").distinct().count() > 1
+    assert kept["second"].where("q IS NULL").count() > kept["grouped"].select("group").distinct().count()
+    assert not [x for x in shuffled if "data#" in x[1]]
+    assert len([name for name, out in shuffled if name == "second"]) == 1
