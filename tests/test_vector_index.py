@@ -3,6 +3,7 @@
 import hashlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -157,3 +158,27 @@ def test_no_vector_is_shuffled_for_another_group(spark, monkeypatch):
     assert kept["second"].where("q IS NULL").count() > kept["grouped"].select("group").distinct().count()
     assert not [x for x in shuffled if "data#" in x[1]]
     assert len([name for name, out in shuffled if name == "second"]) == 1
+
+
+@pytest.mark.parametrize("shift,scale", [(0.0, 1.0), (3e4, 1.0), (0.0, 1e18), (0.0, 1e-25)])
+def test_single_precision_leaves_no_neighbour_out(shift, scale):
+    """Bounds that single precision cannot tell, or cannot hold, are judged in double precision."""
+    draw = np.random.default_rng(8)
+    blocks = [draw.uniform(0, 1, (40, 6)) * scale + shift for _ in range(8)]
+    asked = np.vstack([draw.uniform(0, 1, (300, 6)) * scale + shift, blocks[0][:9]])
+    row = {
+        "q": pa.array([list(range(len(asked)))], pa.list_(pa.int64())),
+        "theta": pa.array([[2.0 * scale * scale + 1.0] * len(asked)], pa.list_(pa.float64())),
+        "home": pa.array([["none"] * len(asked)]),
+        "v": pa.array([asked.tobytes()], pa.binary()),
+    }
+    unit = vi._Asked(pa.RecordBatch.from_pydict(row), np.zeros((1, 6)), 3, 9, False)
+    for n, block in enumerate(blocks):
+        unit.meet(f"b{n}", block, pa.array(range(40 * n, 40 * n + 40)), np.zeros(1), np.full(1, np.inf))
+    got = pa.Table.from_batches([next(unit.result(pa.int64()))]).to_pylist()
+    everything = np.vstack(blocks)
+    want = []
+    for q, v in enumerate(asked):
+        gap = np.round(((everything - v) ** 2).sum(axis=1), 9)
+        want += [(q, rep) for rep in sorted(range(len(gap)), key=lambda i: (gap[i], i))[:3]]
+    assert [(r["q"], r["rep"]) for r in got] == want
